@@ -10,7 +10,6 @@ found are located by walking back to the next sampled suffix, and the spans of e
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriframe.llm.common import durable
-
 WINDOW = 10
 #: Words of a shard; items of the benchmark that are searched in one pass over the corpus.
 SHARD_WORDS, BLOCK_CHARS = 1_500_000, 20_000_000
@@ -200,16 +197,22 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
+_FOUND = T.StructType([T.StructField("_n_words", T.LongType()), T.StructField("_spans", SPANS), T.StructField("_items", T.ArrayType(T.StringType()))])
+_FOUND_ARROW = [("_n_words", pa.int64()), ("_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("_items", pa.list_(pa.string()))]
+
+
 def _pass(docs: DataFrame, windows: Windows, shard_words: int) -> DataFrame:
-    """(_key, _n_words, _spans, _items) of every row of ``docs`` (_key, _text): one pass over the corpus."""
+    """``docs`` (..., _text) with _n_words, _spans, _items of every row; those that an earlier pass has found are merged in."""
     shared = docs.sparkSession.sparkContext.broadcast(windows)  # bounded by BLOCK_CHARS
-    schema = T.StructType([T.StructField("_key", T.StringType()), T.StructField("_n_words", T.LongType()), T.StructField("_spans", SPANS), T.StructField("_items", T.ArrayType(T.StringType()))])
-    arrow = pa.schema([("_key", pa.string()), ("_n_words", pa.int64()), ("_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("_items", pa.list_(pa.string()))])
+    again = "_spans" in docs.columns
+    own = [c for c in docs.columns if c not in _FOUND.names]
+    docs = docs.select(*own, *_FOUND.names) if again else docs.select(*own)
+    schema = T.StructType([docs.schema[c] for c in own] + _FOUND.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: Windows = shared.value
         get, overlap = w.ids.get, max(0, w.longest - 1)
-        keys: list = []  # of rows begun; their words, spans and items so far
+        begun: list[pa.RecordBatch] = []  # not yet given out; of their rows the words, spans and items so far
         totals: list[int] = []
         spans: dict[int, list[tuple[int, int]]] = {}
         items: dict[int, set[str]] = {}
@@ -232,32 +235,44 @@ def _pass(docs: DataFrame, windows: Windows, shard_words: int) -> DataFrame:
             parts.clear()
             held = 0
 
-        def emit() -> pa.RecordBatch:
-            rows = [{"_key": k, "_n_words": n, "_spans": [{"start": a, "end": b} for a, b in spans.get(i, [])], "_items": sorted(items.get(i, ()))} for i, (k, n) in enumerate(zip(keys, totals))]
-            for x in (keys, totals, spans, items):
+        def emit() -> Iterator[pa.RecordBatch]:
+            flush()
+            row = 0
+            for batch in begun:
+                mine = range(row, row + batch.num_rows)
+                row += batch.num_rows
+                found = [
+                    pa.array([totals[i] for i in mine], _FOUND_ARROW[0][1]),
+                    pa.array([[{"start": a, "end": b} for a, b in spans.get(i, [])] for i in mine], _FOUND_ARROW[1][1]),
+                    pa.array([sorted(items.get(i, ())) for i in mine], _FOUND_ARROW[2][1]),
+                ]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *found], names=[*own, *_FOUND.names])
+            for x in (begun, totals, spans, items):
                 x.clear()
-            return pa.RecordBatch.from_pylist(rows, schema=arrow)
 
+        words_begun = 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            earlier = zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()) if again else [(None, None)] * batch.num_rows
+            begun.append(batch)
+            for text, (old_spans, old_items) in zip(batch.column("_text").to_pylist(), earlier):
                 found = words_of(text)
-                row = len(keys)
-                keys.append(key)
+                row = len(totals)
                 totals.append(len(found))
+                words_begun += len(found)
+                if old_spans:
+                    spans[row], items[row] = [(x["start"], x["end"]) for x in old_spans], set(old_items)
                 for at in range(0, len(found), shard_words):  # a longer text goes on, with an overlap, in the next shard
                     numbers = np.array([get(x, 0) for x in found[at : at + shard_words + overlap]], np.int64)
                     parts.append((row, at, numbers))
                     held += len(numbers)
                     if held >= shard_words:
                         flush()
-                if held >= shard_words or len(keys) >= 50_000:
-                    flush()
-                    yield emit()
-        flush()
-        if keys:
-            yield emit()
+            if words_begun >= shard_words or len(totals) >= 50_000:
+                yield from emit()
+                words_begun = 0
+        yield from emit()
 
-    return docs.select("_key", "_text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _blocks(bench: DataFrame, block_chars: int) -> Iterator[list[tuple[str, bytes | None]]]:
@@ -274,21 +289,31 @@ def _blocks(bench: DataFrame, block_chars: int) -> Iterator[list[tuple[str, byte
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` (_key string, _text binary), ``bench`` (item_id, text) -> (_key, _n_words, _spans, _items), one row for each row of docs.
+    """``docs`` (_text binary, ...), ``bench`` (item_id, text, ...) -> docs with _n_words, _spans, _items; one row for each row, no shuffle.
 
     Spans are merged ranges of word numbers that lie inside an occurrence of a window of ``window`` consecutive words of
-    an item (the whole item, if shorter). A benchmark beyond ``block_chars`` is searched in several passes, whose
-    results are merged by ``_key``. Null and empty texts have no words; items without words have no windows.
+    an item (the whole item, if shorter). A benchmark beyond ``block_chars`` is searched in several passes, each adding to
+    what the one before found. Null and empty texts have no words; items without words have no windows; items that repeat
+    an id count once. Repeated rows of docs each get a row. An empty table gives an empty result.
     """
-    passes = [_pass(docs, Windows(block, window), shard_words) for block in _blocks(bench, block_chars)]
-    if len(passes) == 1:
-        return passes[0]
-    whole = passes[0]
-    for more in passes[1:]:
-        whole = whole.unionByName(more)
-    merged = whole.groupBy("_key").agg(F.max("_n_words").alias("_n_words"), F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
-    union = F.udf(lambda s: _union([(x["start"], x["end"]) for x in s]), SPANS)
-    return merged.withColumn("_spans", union("_spans"))
+    for block in _blocks(bench, block_chars):
+        docs = _pass(docs, Windows(block, window), shard_words)
+    return docs
+
+
+def cut_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` (text, ...) with what find_contamination finds cut out of ``text``; other columns and clean texts stay as they are."""
+    columns = docs.columns
+    others = [c for c in columns if c != "text"]
+    found = find_contamination(docs.select(*others, F.col("text").cast("binary").alias("_text")), bench, window)
+    schema = T.StructType([docs.schema[c] if c != "text" else T.StructField("text", T.StringType()) for c in [*others, "text"]])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if t is None else cut_spans(t, s) if s else t.decode("utf-8", "replace") for t, s in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.string())], names=[*others, "text"])
+
+    return found.select(*others, "_text", "_spans").mapInArrow(cut, schema).select(*columns)
 
 
 def cut_spans(text: bytes, spans: list) -> str:
@@ -316,19 +341,15 @@ def cut_spans(text: bytes, spans: list) -> str:
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("_key"), F.col("text").cast("binary").alias("_text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("binary").alias("_text"))
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
-        F.col("_key").cast("long").alias("doc_id"), F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
+        "doc_id", F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
 
 
-def digest_items(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 ORACLE_OP8 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -104,16 +104,17 @@ def _land(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(prob=land(rows.prob.to_numpy(), rows["size"].to_numpy()))
 
 
-def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``docs`` (doc_id, text, source) -> (doc_id, source, size, source_size, target, copies, taken), one row for each input row.
+def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (doc_id, text, source, ...) -> (doc_id, source, size, source_size, target, copies, taken, *keep), one row for each input row.
 
     ``size`` is the number of words (null text: 0), ``taken`` is copies * size with 0, 1 or 2 copies. Nothing is random: rows are taken
     longest first, then by a hash of doc_id, within blocks set by another hash, so reruns agree. Documents without words and sources
     without words get no copies and a target of 0. Rows that repeat a doc_id and text count each; equal rows may swap their copies. Other columns are
     ignored. An empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size"))
-    rows = durable(rows.withColumn("key", F.xxhash64("doc_id", "size")), "mix-sizes")
+    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size"), *keep)
+    wide = wide.withColumn("key", F.xxhash64("doc_id", "size"))
+    rows = durable(wide.drop(*keep), "mix-sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: their totals are not collected")
@@ -121,8 +122,12 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = WEIGHT
     of = targets([(r.source, r.size) for r in sums], weights, share, most)
     table = [(r.source, r.size, float(of[r.source]), of[r.source] / r.size if r.size else 0.0, r.n) for r in sums]
     plan = F.broadcast(spark.createDataFrame(table, "source string, source_size long, target double, rate double, n long"))  # at most MAX_SOURCES rows
-    known = rows.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    known = known.withColumn("whole", F.floor("rate")).withColumn("prob", F.col("rate") - F.col("whole"))
+
+    def planned(rows: DataFrame) -> DataFrame:
+        known = rows.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        return known.withColumn("whole", F.floor("rate")).withColumn("prob", F.col("rate") - F.col("whole"))
+
+    known = planned(rows)
     # Rows that repeat a key are told apart by a number, so that each gets its own copies.
     counted = known.where("size > 0 AND prob > 0").groupBy("source", "key", "size", "prob", "n").agg(F.count("*").alias("times"))
     moving = counted.select("source", "key", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("number"), "size", "prob", "n")
@@ -144,10 +149,9 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = WEIGHT
     for more in settled[1:]:
         chosen = chosen.unionByName(more)
     picked = chosen.where("prob >= 1").groupBy("source", "key").agg(F.count("*").alias("extra"))
-    numbered = known.withColumn("number", F.lit(1).cast("long"))
     repeated = known.groupBy("source", "key").count().where("count > 1").select(F.col("source").alias("_s"), F.col("key").alias("_k"))
-    out = numbered.join(picked.select(F.col("source").alias("_s"), F.col("key").alias("_k"), "extra"), (F.col("key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "_k", "number")
-    return _share(out, durable(repeated, "mix-repeated")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = planned(wide if keep else rows).join(picked.select(F.col("source").alias("_s"), F.col("key").alias("_k"), "extra"), (F.col("key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "_k")
+    return _share(out, durable(repeated, "mix-repeated")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
 
 
 def _share(rows: DataFrame, repeated: DataFrame) -> DataFrame:

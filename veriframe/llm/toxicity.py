@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veriframe.llm.decontaminate import words_of
 
@@ -320,26 +321,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     return model
 
 
-def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` (doc_id, text, ...) -> (doc_id, score), one row for each input row, in the order of the partitions.
+def score_rows(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` (text, ...) with ``_score``, one row for each input row; no shuffle.
 
     Null and empty texts are scored as one window of nothing. Without a model every score is 0. Repeated rows each get
-    their score, ids may be null, other columns are ignored. An empty table gives an empty result.
+    their score; other columns pass through. An empty table gives an empty result.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     if model is None:
-        return narrow.select("doc_id", F.lit(0.0).alias("score"))
+        return docs.withColumn("_score", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the module's constants
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.score(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
+            texts = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.score(texts), pa.float64())], names=[*batch.schema.names, "_score"])
 
-    return narrow.mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score_rows(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
