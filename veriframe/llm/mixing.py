@@ -150,7 +150,9 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = WEIGHT
         chosen = chosen.unionByName(more)
     picked = chosen.where("prob >= 1").groupBy("source", "key").agg(F.count("*").alias("extra"))
     repeated = known.groupBy("source", "key").count().where("count > 1").select(F.col("source").alias("_s"), F.col("key").alias("_k"))
-    out = planned(wide if keep else rows).join(picked.select(F.col("source").alias("_s"), F.col("key").alias("_k"), "extra"), (F.col("key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "_k")
+    picks = picked.select(F.col("source").alias("_s"), F.col("key").alias("_k"), "extra")
+    picks = picks.hint("merge") if keep else picks  # texts are joined the same way at every size
+    out = planned(wide if keep else rows).join(picks, (F.col("key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "_k")
     return _share(out, durable(repeated, "mix-repeated")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
 
 
