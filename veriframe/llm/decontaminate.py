@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veriframe.llm.common import slices
+
 WINDOW = 10
 #: Words of a shard; items of the benchmark that are searched in one pass over the corpus.
 SHARD_WORDS, BLOCK_CHARS = 1_500_000, 20_000_000
@@ -251,7 +253,7 @@ def _pass(docs: DataFrame, windows: Windows, shard_words: int) -> DataFrame:
                 x.clear()
 
         words_begun = 0
-        for batch in batches:
+        for batch in slices(batches):
             earlier = zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()) if again else [(None, None)] * batch.num_rows
             begun.append(batch)
             for text, (old_spans, old_items) in zip(batch.column("_text").to_pylist(), earlier):
@@ -309,7 +311,7 @@ def cut_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -
     schema = T.StructType([docs.schema[c] if c != "text" else T.StructField("text", T.StringType()) for c in [*others, "text"]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if t is None else cut_spans(t, s) if s else t.decode("utf-8", "replace") for t, s in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.string())], names=[*others, "text"])
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import SPACES, durable, maybe_broadcast, text_or_empty
+from veriframe.llm.common import SPACES, durable, maybe_broadcast, slices, text_or_empty
 
 #: Rows of a sender's run at most, and fingerprints of an owner on average.
 RUN_ROWS, OWNER_ROWS = 200_000, 1_000_000
@@ -61,7 +61,7 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, seen = TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
+        for batch in slices(batches):
             if seen + batch.num_rows > RUN_ROWS:
                 number, seen = number + 1, 0
             seen += batch.num_rows

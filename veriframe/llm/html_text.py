@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import durable, fits
+from veriframe.llm.common import durable, fits, slices
 from veriframe.llm.url_filter import split_url
 
 #: Hosts whose winners are broadcast at most; more are joined by a shuffle.
@@ -228,7 +228,7 @@ def main_text(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataF
     joined = narrow.join(side, F.col("_host") == F.col("_h"), "left").select("page_id", "url", "html", "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [extract(page or "", path) for page, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import durable
+from veriframe.llm.common import durable, slices
 from veriframe.llm.components import connected_components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) of every row; null and blank texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t or b"") for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 

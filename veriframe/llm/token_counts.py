@@ -24,6 +24,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriframe.llm.common import slices
+
 #: Pre-tokens of a block on average; a block of four times as many makes the tree be built anew.
 BLOCK = 64
 #: Pre-tokens whose counts a task keeps.
@@ -205,7 +207,7 @@ def build_trees(docs: DataFrame, find_edits: Callable[[str], list[Edit]] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 lengths, counts = encoder.leaves(text or "")
@@ -229,7 +231,7 @@ def apply_edits(trees: DataFrame, path: str | None = None, pattern: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text, data, edits in zip(*(batch.column(k).to_pylist() for k in (1, 2, 5))):
                 text = text or ""

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veriframe.llm.common import slices
 from veriframe.llm.decontaminate import words_of
 
 WINDOW, STRIDE = 64, 48
@@ -333,7 +334,7 @@ def score_rows(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.score(texts), pa.float64())], names=[*batch.schema.names, "_score"])
 
