@@ -75,7 +75,7 @@ def check_d4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dq_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asserted = [("system 0", "gxp_systems", "SYS-0", "name", "ALGERIA"), ("supplier 1", "suppliers", "SUP-1", "status", "APPROVED"), ("absent", "suppliers", "SUP-0", "status", "APPROVED")]
+    asserted = [("system 0", "gxp_systems", "SYS-0", "name", "NATION_0"), ("supplier 1", "suppliers", "SUP-1", "status", "APPROVED"), ("absent", "suppliers", "SUP-none", "status", "APPROVED")]
     return quality.assert_equal(Records(spark, sf_dir), asserted)
 
 

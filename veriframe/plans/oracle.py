@@ -125,7 +125,7 @@ _SELECTS = {f"policy_p{n:02d}": f"SELECT * FROM v{n}" for n in range(1, 11)} | {
     "dq_schema": "SELECT * FROM (VALUES ('tables', 27, 27, true), ('references', 21, 21, true), ('ns_columns', 8, 8, true)) t(gate, expected, actual, passed)",
     "dq_fk_orphans": " UNION ALL ".join(f"SELECT '{child}' AS child, '{column}' AS column_name, '{parent}' AS parent, (SELECT count(*) FROM {t} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT id FROM {parent})) AS n_orphans" for child, t, column, parent in _FK),
     "dq_ns_guard": " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{column}' AS column_name, count({column}) AS n_values, count(*) FILTER (WHERE {column} < 1000000000000000000) AS n_below, n_below = 0 AS passed FROM {t}" for t, column in _NS),
-    "dq_assertions": "SELECT 'system 0' AS label, 'ALGERIA' AS expected, name AS actual, name = 'ALGERIA' AS passed FROM gxp_systems WHERE id = 'SYS-0' UNION ALL "
+    "dq_assertions": "SELECT 'system 0' AS label, 'NATION_0' AS expected, name AS actual, name = 'NATION_0' AS passed FROM gxp_systems WHERE id = 'SYS-0' UNION ALL "
     "SELECT 'supplier 1', 'APPROVED', status, status = 'APPROVED' FROM suppliers WHERE id = 'SUP-1' UNION ALL SELECT 'absent', 'APPROVED', NULL, false",
     "dq_insert_if_absent": "SELECT id, system_id, user_status FROM access_records",
     "upsert_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
