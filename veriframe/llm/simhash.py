@@ -205,6 +205,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     member = labels.select(F.col("node").alias("fp"), "root")
     low = member.join(nodes, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
     of = nodes.join(member.join(low, "root").drop("root"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    of = durable(of, "simhash-of")  # both sides of the last join are then plain exchanges, so that a fingerprint of very many rows can be split
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
