@@ -203,10 +203,9 @@ _FOUND = T.StructType([T.StructField("_n_words", T.LongType()), T.StructField("_
 _FOUND_ARROW = [("_n_words", pa.int64()), ("_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("_items", pa.list_(pa.string()))]
 
 
-def _pass(docs: DataFrame, windows: Windows, shard_words: int) -> DataFrame:
-    """``docs`` (..., _text) with _n_words, _spans, _items of every row; those that an earlier pass has found are merged in."""
+def _pass(docs: DataFrame, windows: Windows, shard_words: int, again: bool) -> DataFrame:
+    """``docs`` (..., _text) with _n_words, _spans, _items of every row; ``again``: those that an earlier pass has found are merged in."""
     shared = docs.sparkSession.sparkContext.broadcast(windows)  # bounded by BLOCK_CHARS
-    again = "_spans" in docs.columns
     own = [c for c in docs.columns if c not in _FOUND.names]
     docs = docs.select(*own, *_FOUND.names) if again else docs.select(*own)
     schema = T.StructType([docs.schema[c] for c in own] + _FOUND.fields)
@@ -296,10 +295,10 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
     Spans are merged ranges of word numbers that lie inside an occurrence of a window of ``window`` consecutive words of
     an item (the whole item, if shorter). A benchmark beyond ``block_chars`` is searched in several passes, each adding to
     what the one before found. Null and empty texts have no words; items without words have no windows; items that repeat
-    an id count once. Repeated rows of docs each get a row. An empty table gives an empty result.
+    an id count once. Input columns with the results' names are replaced. Repeated rows of docs each get a row. An empty table gives an empty result.
     """
-    for block in _blocks(bench, block_chars):
-        docs = _pass(docs, Windows(block, window), shard_words)
+    for k, block in enumerate(_blocks(bench, block_chars)):
+        docs = _pass(docs, Windows(block, window), shard_words, again=k > 0)
     return docs
 
 
@@ -307,15 +306,15 @@ def cut_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -
     """``docs`` (text, ...) with what find_contamination finds cut out of ``text``; other columns and clean texts stay as they are."""
     columns = docs.columns
     others = [c for c in columns if c != "text"]
-    found = find_contamination(docs.select(*others, F.col("text").cast("binary").alias("_text")), bench, window)
-    schema = T.StructType([docs.schema[c] if c != "text" else T.StructField("text", T.StringType()) for c in [*others, "text"]])
+    found = find_contamination(docs.select(F.struct(*others).alias("_row"), F.col("text").cast("binary").alias("_text")), bench, window).select("_row", "_text", "_spans")
+    schema = T.StructType([found.schema["_row"], T.StructField("text", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [None if t is None else cut_spans(t, s) if s else t.decode("utf-8", "replace") for t, s in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.string())], names=[*others, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], names=["_row", "text"])
 
-    return found.select(*others, "_text", "_spans").mapInArrow(cut, schema).select(*columns)
+    return found.mapInArrow(cut, schema).select(*["text" if c == "text" else F.col(f"_row.{c}").alias(c) for c in columns])
 
 
 def cut_spans(text: bytes, spans: list) -> str:

@@ -112,9 +112,9 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = WEIGHT
     without words get no copies and a target of 0. Rows that repeat a doc_id and text count each; equal rows may swap their copies. Other columns are
     ignored. An empty table gives an empty result.
     """
-    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size"), *keep)
+    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size"), *([F.struct(*keep).alias("_row")] if keep else []))
     wide = wide.withColumn("key", F.xxhash64("doc_id", "size"))
-    rows = durable(wide.drop(*keep), "mix-sizes")
+    rows = durable(wide.drop("_row"), "mix-sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: their totals are not collected")
@@ -153,7 +153,7 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = WEIGHT
     picks = picked.select(F.col("source").alias("_s"), F.col("key").alias("_k"), "extra")
     picks = picks.hint("merge") if keep else picks  # texts are joined the same way at every size
     out = planned(wide if keep else rows).join(picks, (F.col("key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "_k")
-    return _share(out, durable(repeated, "mix-repeated")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
+    return _share(out, durable(repeated, "mix-repeated")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"_row.{c}").alias(c) for c in keep])
 
 
 def _share(rows: DataFrame, repeated: DataFrame) -> DataFrame:

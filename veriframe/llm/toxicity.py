@@ -323,11 +323,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 
 def score_rows(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` (text, ...) with ``_score``, one row for each input row; no shuffle.
+    """``docs`` (text, ...) with ``_score`` (an input column of that name is replaced), one row for each input row; no shuffle.
 
     Null and empty texts are scored as one window of nothing. Without a model every score is 0. Repeated rows each get
     their score; other columns pass through. An empty table gives an empty result.
     """
+    docs = docs.drop("_score")
     if model is None:
         return docs.withColumn("_score", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the module's constants

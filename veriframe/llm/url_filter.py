@@ -108,12 +108,13 @@ def judge_urls(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES, defau
 
     A rule fits its host and all subdomains where the path starts with the rule's; the longest rule (host and path
     together, then host) wins; urls under no rule get ``default``. Null and malformed urls have empty host and path and no
-    rule. Repeated rows each get their answer; other columns pass through. An empty table gives an empty result.
+    rule. Input columns with those names are replaced. Repeated rows each get their answer; other columns pass through. An empty table gives an empty result.
     """
     spark: SparkSession = urls.sparkSession
     lengths = sorted({len(p) for _, p, _ in rules})
     host, path = split_url(F.col("url"))
-    parts = urls.withColumn("_host", host).withColumn("_path", path)
+    out = ("_host", "_path", "_rule", "_verdict")
+    parts = urls.select(F.struct(*[c for c in urls.columns if c not in out]).alias("_row"), host.alias("_host"), path.alias("_path"))
     keys = candidates(F.col("_host"), F.col("_path"), lengths) if rules else F.array().cast("array<string>")
     universe = durable(urls.select("url").distinct().withColumn("_host", host).withColumn("_path", path).select(F.explode(keys).alias("key")).distinct(), "url-keys")
     by = {}
@@ -122,7 +123,7 @@ def judge_urls(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES, defau
         by[verdict] = Cascade(spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in listed]).cast("array<string>")).alias("key")), universe)
     allowed, blocked = by["allow"].has, by["block"].has
     judged = parts.withColumn("_m", F.get(F.filter(F.transform(keys, lambda k: F.struct(k.alias("key"), F.when(allowed(k), "allow").when(blocked(k), "block").alias("verdict"))), lambda x: x["verdict"].isNotNull()), F.lit(0)))
-    return judged.withColumn("_rule", F.replace(F.col("_m.key"), F.lit("\n"), F.lit(""))).withColumn("_verdict", F.coalesce(F.col("_m.verdict"), F.lit(default))).drop("_m")
+    return judged.withColumn("_rule", F.replace(F.col("_m.key"), F.lit("\n"), F.lit(""))).withColumn("_verdict", F.coalesce(F.col("_m.verdict"), F.lit(default))).select("_row.*", *out)
 
 
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:
