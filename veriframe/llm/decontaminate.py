@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriframe.llm.common import slices
+from veriframe.llm.common import slices, small_batches
 
 WINDOW = 10
 #: Words of a shard; items of the benchmark that are searched in one pass over the corpus.
@@ -273,7 +273,7 @@ def _pass(docs: DataFrame, windows: Windows, shard_words: int, again: bool) -> D
                 words_begun = 0
         yield from emit()
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def _blocks(bench: DataFrame, block_chars: int) -> Iterator[list[tuple[str, bytes | None]]]:

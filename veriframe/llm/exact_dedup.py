@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import SPACES, durable, maybe_broadcast, slices, text_or_empty
+from veriframe.llm.common import SPACES, durable, maybe_broadcast, slices, small_batches, text_or_empty
 
 #: Rows of a sender's run at most, and fingerprints of an owner on average.
 RUN_ROWS, OWNER_ROWS = 200_000, 1_000_000
@@ -73,7 +73,7 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
                 [batch.column(0), chars, pa.array(digests, pa.binary()), pa.array(fps.view(np.int64)), pa.array(np.full(len(texts), task << 20 | number))], names=["doc_id", "chars", "sha", "fp", "run"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, chars long, sha binary, fp long, run long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, chars long, sha binary, fp long, run long")
 
 
 def suspects(fps: DataFrame, owners: int) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import durable, fits, slices
+from veriframe.llm.common import durable, fits, slices, small_batches
 from veriframe.llm.url_filter import split_url
 
 #: Hosts whose winners are broadcast at most; more are joined by a shuffle.
@@ -206,7 +206,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["host", "path", "score"])
 
     host = split_url(F.col("url"))[0]
-    votes = pages.select(host.alias("host"), F.col("html").cast("string").alias("html")).mapInPandas(score, "host string, path string, score double")
+    votes = small_batches(pages).select(host.alias("host"), F.col("html").cast("string").alias("html")).mapInPandas(score, "host string, path string, score double")
     sums = durable(votes.groupBy("host", "path").agg(F.sum(F.round("score", 3).cast("decimal(28,3)")).alias("score"), F.count("*").alias("pages")), "host-votes")
     total = sums.where("path IS NULL").select("host", F.col("pages").alias("total"))
     best = Window.partitionBy("host").orderBy(F.desc("score"), "path")

@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import slices
+from veriframe.llm.common import slices, small_batches
 
 #: Pre-tokens of a block on average; a block of four times as many makes the tree be built anew.
 BLOCK = 64
@@ -217,7 +217,7 @@ def build_trees(docs: DataFrame, find_edits: Callable[[str], list[Edit]] | None
             arrays = [batch.column(0), batch.column(1), pa.array(trees, pa.binary()), pa.array(pretokens, pa.int64()), pa.array(tokens, pa.int64()), pa.array(edits, pa.list_(edit))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "tree", "n_pretokens", "n_tokens", "edits"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, text string, tree binary, n_pretokens long, n_tokens long, edits array<struct<start:long,end:long,text:string>>")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriframe.llm.common import slices
+from veriframe.llm.common import slices, small_batches
 from veriframe.llm.decontaminate import words_of
 
 WINDOW, STRIDE = 64, 48
@@ -303,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
                 rows += [(doc_id, toxic, s, len(picked), b" ".join(words[s : s + WINDOW])) for s in picked]
             yield pd.DataFrame(rows, columns=["doc_id", "toxic", "start", "of", "words"])
 
-    rows = sorted(sample.mapInPandas(cut, "doc_id long, toxic int, start long, of long, words binary").collect())
+    rows = sorted(small_batches(sample).mapInPandas(cut, "doc_id long, toxic int, start long, of long, words binary").collect())
     windows = [(bytes(r.words).split(), r.toxic, 1.0 / r.of**0.5) for r in rows]
     model = train([w for w in windows if w[0]] or [([b"-"], 0, 1.0)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -339,7 +339,7 @@ def score_rows(docs: DataFrame, model: Model | None) -> DataFrame:
             texts = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.score(texts), pa.float64())], names=[*batch.schema.names, "_score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
