@@ -38,7 +38,7 @@ def reach(edges: DataFrame, sources: DataFrame, max_hops: int = 50) -> DataFrame
     Breadth first: each round joins only the newest nodes to the edges and leaves out those seen; rounds are written to
     the shared folder. Cycles end, sources that no edge has give no rows, and paths beyond ``max_hops`` raise.
     """
-    links = edges.select("source_id", "target_id").distinct()
+    links = checkpointed(edges.select("source_id", "target_id").distinct())  # read again in every round
     ends = links.select(F.col("source_id").alias("source")).unionByName(links.select(F.col("target_id").alias("source")))
     front = checkpointed(sources.select("source").distinct().join(ends, "source", "left_semi").select("source", F.col("source").alias("node"), F.lit(0).alias("hop")))
     seen = front

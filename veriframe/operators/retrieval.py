@@ -17,10 +17,13 @@ K1, B, RRF_K, CANDIDATES, KEEP = 1.2, 0.75, 60, 20, 8
 
 def chunks(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``docs`` (doc_id, text) -> (doc_id, chunk_index, content). Null and empty texts have none; the last may lie inside the one before."""
-    n = F.char_length("text")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size - overlap)))
-    at = docs.select("doc_id", "text", F.posexplode(starts).alias("chunk_index", "_at"))
-    return at.select("doc_id", "chunk_index", F.substring("text", F.col("_at") + 1, F.lit(size)).alias("content"))
+    step = size - overlap
+    if not 0 <= overlap <= step:
+        raise ValueError("an overlap of more than half a chunk")
+    # One pass over the text: blocks of a step, each with the beginning of the next.
+    blocks = docs.select("doc_id", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("_b"))
+    parts = F.transform("_b", lambda b, i: F.concat(b, F.substring(F.coalesce(F.get("_b", i + 1), F.lit("")), 1, overlap)))
+    return blocks.select("doc_id", F.posexplode(parts).alias("chunk_index", "content"))
 
 
 def alcoa_prescore(documents: DataFrame) -> DataFrame:
@@ -57,25 +60,28 @@ def dense_topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.withColumn("score", cosine(F.col("embedding"), query)).drop("embedding").orderBy(F.desc("score"), "id").limit(k)
 
 
-def _frequency(tokens: str, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == term))
+def _count(text: str, part: str) -> Column:
+    """How often ``part`` stands in ``text``, by what leaving it out takes off."""
+    return F.expr(f"cast((char_length({text}) - char_length(replace({text}, '{part}', ''))) / {len(part)} AS int)")
 
 
 def bm25_topk(passages: DataFrame, terms: list[str], k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """``passages`` (content, ...) -> the ``k`` rows that rank highest for the terms, with ``score``.
+    """``passages`` (content, ...) -> the ``k`` rows that rank highest for the terms (runs of a-z and 0-9), with ``score``.
 
     Two scans and no shuffle of passages: the first sums a row of statistics, the second scores and keeps k rows a task.
     """
-    tokens = F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0))
     keep = [c for c in passages.columns if c != "content"]
-    counted = passages.select(*keep, tokens.alias("_t")).select(*keep, F.size("_t").alias("_n"), *[_frequency("_t", w).alias(f"_tf{i}") for i, w in enumerate(terms)])
+    words = passages.select(*keep, F.trim(F.regexp_replace(F.lower("content"), "[^a-z0-9]+", " ")).alias("_t"))
+    words = words.select(*keep, F.when(F.col("_t") == "", 0).otherwise(_count("_t", " ") + 1).alias("_n"), F.concat(F.lit(" "), F.replace("_t", F.lit(" "), F.lit("  ")), F.lit(" ")).alias("_t"))
+    counted = words.select(*keep, "_n", *[_count("_t", f" {w} ").alias(f"_tf{i}") for i, w in enumerate(terms)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("_n").alias("mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
         weight = math.log(1 + (stats.n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))
         tf = F.col(f"_tf{i}")
         score = score + weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_n") / (stats.mean or 1.0)))
-    return counted.withColumn("score", score).where("score > 0").select(*keep, "score").orderBy(F.desc("score"), *keep).limit(k)
+    best = counted.withColumn("score", score).select(*keep, "score").orderBy(F.desc("score"), *keep).limit(k)
+    return best.where("score > 0")  # behind the limit: pushed below the projections it would tokenise once for each term
 
 
 def ranked(hits: DataFrame, key: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.functions.expressions import confidence, true_count
+from veriframe.functions.runtime import checkpointed
 from veriframe.operators.policies import EVIDENCE
 
 
@@ -25,6 +26,7 @@ def evidence_ids(t: Mapping[str, DataFrame]) -> DataFrame:
 def verify_findings(findings: DataFrame, violations: DataFrame, t: Mapping[str, DataFrame]) -> DataFrame:
     """Each finding with db_record_found, opa_corroborated, opa_rule_ids and confidence. No findings, no rows; of findings with one id the last by claim stays."""
     once = findings.groupBy("finding_id", "system_id").agg(F.max_by(F.struct("regulatory_citations", "evidence_ids", "alcoa_score"), F.coalesce("claim", F.lit(""))).alias("_f"))
+    once = checkpointed(once)  # read three times below
     asked = once.select("finding_id", "system_id", "_f.*").withColumn("rule_id", F.try_element_at("regulatory_citations", F.lit(1))).withColumn("first_id", F.try_element_at("evidence_ids", F.lit(1)))
     wanted = asked.select("rule_id", F.col("first_id").alias("record_id"))
     found = evidence_ids(t).join(wanted, ["rule_id", "record_id"], "left_semi").distinct().select("rule_id", F.col("record_id").alias("first_id"), F.lit(True).alias("_found"))
