@@ -25,6 +25,8 @@ from veriframe.llm.url_filter import split_url
 BROADCAST_HOSTS = 200_000
 #: A path needs this share of its host's pages to win.
 SHARE = 0.3
+#: Steps of a path at most. Elements nested deeper go by the path of the last that has one, so that paths don't grow with the square of the depth.
+DEPTH = 256
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Fixed values of HTML: elements without content, elements of raw text, elements that begin a block.
@@ -104,7 +106,6 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         node.end = len(blocks)
         if node.tag == "a":
             links -= 1
-        stack[-1].prose += 0
 
     at, links, size = 0, 0, len(page)
     while at < size:
@@ -153,7 +154,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if m[4].endswith("/") and tag not in BLOCK:
             continue
         above = stack[-1]
-        node = Node(tag, f"{above.path}/{_step(tag, attributes)}" if tag in BLOCK else above.path, above.skip or _boilerplate(tag, attributes, "/article" in above.path), len(blocks))
+        node = Node(tag, f"{above.path}/{_step(tag, attributes)}" if tag in BLOCK and len(stack) <= DEPTH else above.path, above.skip or _boilerplate(tag, attributes, "/article" in above.path), len(blocks))
         nodes.append(node)
         stack.append(node)
         links += tag == "a"
@@ -218,7 +219,7 @@ def main_text(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataF
     """``pages`` (page_id, url, html, ...) -> (page_id, url, text), one row for each input row.
 
     Null and empty html give an empty text. Pages without a host (null or malformed urls) vote together. White space
-    in a block is one space; blocks are joined by two line feeds. Repeated rows each vote and each get a row; other
+    in a block is one space; blocks are joined by two line feeds. Elements may be nested to any depth. Repeated rows each vote and each get a row; other
     columns are ignored. An empty table gives an empty result.
     """
     winners = durable(host_paths(pages), "host-paths")
