@@ -142,27 +142,39 @@ class FMIndex:
 
 
 class Windows:
-    """The benchmark's windows: distinct sequences of word numbers, and the items of each."""
+    """The benchmark's windows: distinct sequences of word numbers, right aligned in rows of an array, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int) -> None:
         self.ids: dict[bytes, int] = {}
-        of: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({name for name, _ in items}, key=by_name)
+        place = {name: k for k, name in enumerate(self.names)}
+        rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
         for name, text in items:
-            numbers = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
-            for at in range(max(1, len(numbers) - window + 1) if numbers else 0):
-                of.setdefault(tuple(numbers[at : at + window]), set()).add(name)
-        self.items = [sorted(x) for x in of.values()]
-        self.lengths = np.array([len(x) for x in of], np.int64)
-        self.longest = int(self.lengths.max()) if of else 0
-        self.patterns = np.zeros((len(of), self.longest), np.int64)
-        for k, x in enumerate(of):
-            self.patterns[k, self.longest - len(x) :] = x
+            numbers = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)], np.int32)
+            if len(numbers):
+                rows.append(np.lib.stride_tricks.sliding_window_view(np.pad(numbers, (max(0, window - len(numbers)), 0)), window))
+                owners.append(np.full(len(rows[-1]), place[name], np.int64))
+        self.patterns, of = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.patterns > 0).sum(axis=1)
+        self.longest = int(self.lengths.max(initial=0))
+        self.patterns = np.ascontiguousarray(self.patterns[:, window - self.longest :])
+        pairs = np.unique(of.ravel() * max(1, len(self.names)) + np.concatenate(owners))
+        self.owner = (pairs % max(1, len(self.names))).astype(np.int32)
+        self.cuts = np.searchsorted(pairs, np.arange(len(self.patterns) + 1) * max(1, len(self.names)))
+
+    def items(self, k: int) -> list[str | None]:
+        return [self.names[i] for i in self.owner[self.cuts[k] : self.cuts[k + 1]]]
+
+
+def by_name(name: str | None) -> tuple[bool, str]:
+    """Order of items: by id as text, one without an id last."""
+    return name is None, name or ""
 
 
 def _search_shard(numbers: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
     """(start, window) of every occurrence in ``numbers`` (0 for separators)."""
     none = np.zeros(0, np.int64)
-    if not len(numbers) or not len(windows.items):
+    if not len(numbers) or not len(windows.patterns):
         return none, none
     inside = numbers > 0
     edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))
@@ -230,7 +242,7 @@ def _pass(docs: DataFrame, windows: Windows, shard_words: int, again: bool) -> D
                 for p, a, k in zip(part.tolist(), (at - offsets[part]).tolist(), which.tolist()):
                     row, base, _ = parts[p]
                     spans.setdefault(row, []).append((base + a, base + a + int(w.lengths[k])))
-                    items.setdefault(row, set()).update(w.items[k])
+                    items.setdefault(row, set()).update(w.items(k))
                 for row in {p[0] for p in parts} & spans.keys():
                     spans[row] = _union(spans[row])
             parts.clear()
@@ -245,7 +257,7 @@ def _pass(docs: DataFrame, windows: Windows, shard_words: int, again: bool) -> D
                 found = [
                     pa.array([totals[i] for i in mine], _FOUND_ARROW[0][1]),
                     pa.array([[{"start": a, "end": b} for a, b in spans.get(i, [])] for i in mine], _FOUND_ARROW[1][1]),
-                    pa.array([sorted(items.get(i, ())) for i in mine], _FOUND_ARROW[2][1]),
+                    pa.array([sorted(items.get(i, ()), key=by_name) for i in mine], _FOUND_ARROW[2][1]),
                 ]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *found], names=[*own, *_FOUND.names])
             for x in (begun, totals, spans, items):
@@ -295,7 +307,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
     Spans are merged ranges of word numbers that lie inside an occurrence of a window of ``window`` consecutive words of
     an item (the whole item, if shorter). A benchmark beyond ``block_chars`` is searched in several passes, each adding to
     what the one before found. Null and empty texts have no words; items without words have no windows; items that repeat
-    an id count once. Input columns with the results' names are replaced. Repeated rows of docs each get a row. An empty table gives an empty result.
+    an id count once; items without an id count as one that no list names. Input columns with the results' names are replaced. Repeated rows of docs each get a row. An empty table gives an empty result.
     """
     for k, block in enumerate(_blocks(bench, block_chars)):
         docs = _pass(docs, Windows(block, window), shard_words, again=k > 0)
