@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from veriframe.functions.expressions import entropy, injected
-from veriframe.operators import audit, gateway, graph, policies, quality, readiness, retrieval
+from veriframe.operators import audit, checks, gateway, graph, package, policies, quality, readiness, retrieval, verify
+from veriframe.sources.policy_input import INPUT_TABLES, PolicyInputs, to_json_documents
 from veriframe.sources.records import NOW_NS, Records, rows_of
 from veriframe.sources.schemas import REFERENCES, TABLES
 from veriframe.sources.seed import seed
@@ -140,3 +141,41 @@ def test_streams(spark, tmp_path):
     assert [r.record_id for r in spark.table("late").collect()] == ["s"]
     frames = parse_frames(spark.createDataFrame([('{"type": "echo", "payload": "hi"}',), ("oops",), (None,)], "raw string")).collect()
     assert [(r.type, r.payload, r.error) for r in frames] == [("echo", "hi", None), (None, None, "oops"), (None, None, None)]
+
+
+def test_policy_inputs_from_json(spark):
+    late = NOW_NS - 47 * 86_400_000_000_000
+    incident = f'"severity": "P1", "status": "OPEN", "opened_date_ns": {late}, "system_id": "S"'
+    raw = [
+        '{"documents": [{"id": "D1", "system_id": "S", "doc_type": "O&M", "status": "DRAFT"}, {"id": "D2", "doc_type": "O&M"}, {"id": "D3", "doc_type": "SOP"}]}',
+        f'{{"incidents": [{{"id": "I1", {incident}}}, {{"id": "I2", {incident}, "rca_started": null}}, {{"id": "I3", {incident}, "rca_started": true}}, {{"id": "I4", {incident}, "rca_started": false}}]}}',
+        '{"requirements": [{"id": "R1", "test_case_id": "T1"}, {"id": "R2", "test_case_id": "T2"}, {"id": "R3", "test_case_id": "T9"}], "test_cases": {"T1": {"status": "DRAFT"}, "T2": {"status": "EXECUTED"}}}',
+        "no json", "[]", "{}", None,
+    ]
+    inputs = PolicyInputs(spark.createDataFrame([(r,) for r in raw], "raw string"))
+    assert sorted(r.record_id for r in policies.evaluate_policies(inputs, NOW_NS).collect()) == ["D1", "D2", "I1", "I4", "R1"]
+
+
+def test_policy_inputs_round_trip(spark):
+    tables = seed(spark)
+    raw = [to_json_documents(tables[name], name) for name in INPUT_TABLES]
+    whole = raw[0]
+    for more in raw[1:]:
+        whole = whole.unionByName(more)
+    inputs = PolicyInputs(whole)
+    assert set(policies.evaluate_policies(inputs, NOW_NS).collect()) == set(policies.evaluate_policies(tables, NOW_NS).collect())
+    for name in INPUT_TABLES:
+        assert sorted(map(repr, inputs[name].select(tables[name].columns).collect())) == sorted(map(repr, tables[name].collect()))
+
+
+def test_audit_packages(spark):
+    t = seed(spark)
+    rules, found = policies.evaluate_policies(t, NOW_NS), checks.findings_of(checks.run_checks(t, NOW_NS))
+    trails = spark.createDataFrame([("GXP-MFG-DEMO-01", "VERIFIED"), ("GXP-MFG-DEMO-01", "TAMPERED")], "system_id string, status string")
+    got = {r.system_id: r for r in package.audit_packages(t["gxp_systems"], found, verify.verify_findings(found, rules, t), rules, trails).collect()}
+    one, two = got["GXP-MFG-DEMO-01"], got["BUS-IT-DEMO-02"]
+    assert len(one.findings) == 7 and {f.confidence for f in one.findings} == {"MEDIUM"} and not one.audit_trail_valid
+    assert one.risk_summary.asDict() == {"critical": 1, "high": 7, "medium": 2} and len(one.chain_of_custody) == 7
+    assert two.audit_trail_valid and two.risk_summary.asDict() == {"critical": 0, "high": 1, "medium": 0}
+    nothing = package.audit_packages(t["gxp_systems"], found.limit(0), verify.verify_findings(found.limit(0), rules, t), rules.limit(0), trails.limit(0)).collect()
+    assert all(r.findings == [] and r.chain_of_custody == [] and r.audit_trail_valid for r in nothing)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriframe.functions.expressions import confidence, confidence_score, entropy, injected, true_count
-from veriframe.operators import audit, checks, gateway, graph, policies, quality, readiness, retrieval, verify
+from veriframe.functions.runtime import checkpointed
+from veriframe.operators import audit, checks, gateway, graph, package, policies, quality, readiness, retrieval, verify
+from veriframe.sources.policy_input import INPUT_TABLES, PolicyInputs, to_json_documents
 from veriframe.sources.records import NOW_NS, Records, table
 from veriframe.sources.sinks import insert_if_absent, last_write_wins, upsert
 
@@ -31,6 +33,18 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.evaluate_policies(Records(spark, sf_dir), NOW_NS)
 
 
+def policy_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over the records as JSON documents, one of each record."""
+    t = Records(spark, sf_dir)
+    return policies.evaluate_policies(PolicyInputs(reduce(DataFrame.unionByName, (to_json_documents(t[name], name) for name in INPUT_TABLES))), NOW_NS)
+
+
+def violations_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations as lines of JSON, fields in their order."""
+    rows = violations(spark, sf_dir)
+    return rows.select("rule_id", "record_id", F.to_json(F.struct("rule_id", "severity", "system_id", "record_id", "description"), {"ignoreNullFields": "false"}).alias("line"))
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.findings_of(checks.run_checks(Records(spark, sf_dir), NOW_NS))
 
@@ -117,6 +131,18 @@ def chain_verify_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(audit.verify_chains(audit.tamper(built, F.col("value") > 370)))
 
 
+def audit_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of all systems after one event was overwritten, as flat columns; a chain belongs to the system of its user."""
+    t, rules = Records(spark, sf_dir), checkpointed(violations(spark, sf_dir))
+    found = checkpointed(findings(spark, sf_dir))
+    trails = audit.verify_chains(audit.tamper(audit.build_chains(t.audit_log), F.col("event_id") == 5))
+    made = package.audit_packages(t.gxp_systems, found, verify.verify_findings(found, rules, t), rules, trails.select(F.expr("concat('SYS-', chain % 25)").alias("system_id"), "status"))
+    return made.select(
+        "system_id", "system_overview.name", F.size("findings").alias("n_findings"), F.array_join("findings.finding_id", ",").alias("finding_ids"), F.array_join("findings.confidence", ",").alias("grades"),
+        "risk_summary.critical", "risk_summary.high", "risk_summary.medium", "audit_trail_valid", F.array_join("chain_of_custody", ",").alias("custody"),
+    )
+
+
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -219,7 +245,7 @@ def _over(f: Callable[..., DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     of_checks = {f"check_{c.__name__.partition('_')[0]}": c for c in checks.CHECKS}
     own = (
-        findings_all, verify_findings, error_findings, routed_findings, confidence_ladder, check_d4, dq_assertions, dq_insert_if_absent, upsert_latest, merge_last_write, chain_build, chain_verify_clean,
+        policy_from_json, violations_json, audit_package, findings_all, verify_findings, error_findings, routed_findings, confidence_ladder, check_d4, dq_assertions, dq_insert_if_absent, upsert_latest, merge_last_write, chain_build, chain_verify_clean,
         chain_verify_tampered, chunk_documents, dense_topk, bm25_topk, rrf_fusion, provenance, parent_context, injection_regex, entropy_score, route_validate, provider_selection, authorized_requests, risk_rubric,
     )
     return (

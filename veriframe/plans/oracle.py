@@ -110,6 +110,12 @@ def _counts(names: list[str]) -> str:
 
 _SELECTS = {f"policy_p{n:02d}": f"SELECT * FROM v{n}" for n in range(1, 11)} | {f"check_d{n}": f"SELECT * FROM d{n}" for n in (1, 2, 3, 5, 6, 7, 8, 9)} | {
     "policy_all": "SELECT * FROM v",
+    "policy_from_json": "SELECT * FROM v",
+    "violations_json": "SELECT rule_id, record_id, CAST(json_object('rule_id', rule_id, 'severity', severity, 'system_id', system_id, 'record_id', record_id, 'description', description) AS VARCHAR) AS line FROM v",
+    "audit_package": "SELECT s.id AS system_id, s.name, coalesce(n, 0) AS n_findings, coalesce(ids, '') AS finding_ids, coalesce(g, '') AS grades, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, "
+    "s.id NOT IN (SELECT 'SYS-' || (user_id % 25) FROM events WHERE event_id = 5) AS audit_trail_valid, coalesce(e, '') AS custody FROM gxp_systems s LEFT JOIN (SELECT system_id, count(*) AS n, string_agg(finding_id, ',' ORDER BY finding_id) AS ids, "
+    "string_agg(CASE WHEN found AND backed THEN 'MEDIUM' ELSE 'INSUFFICIENT_EVIDENCE' END, ',' ORDER BY finding_id) AS g, string_agg(DISTINCT evidence, ',' ORDER BY evidence) FILTER (WHERE evidence <> '') AS e FROM vf GROUP BY system_id) f ON f.system_id = s.id "
+    "LEFT JOIN (SELECT system_id, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'HIGH') AS high, count(*) FILTER (WHERE severity = 'MEDIUM') AS medium FROM v GROUP BY system_id) w ON w.system_id = s.id",
     "policy_summary": "SELECT system_id, rule_id, severity, count(*) AS n_violations FROM v GROUP BY ALL",
     "check_d4": "SELECT DISTINCT 'SYS-' || (c_nationkey + 3) AS system_id FROM customer WHERE system_id NOT IN (SELECT id FROM gxp_systems)",
     "findings_all": "SELECT finding_id, system_id, agent, claim, citations, confidence_score, evidence, n_true, model_attribution FROM f",
