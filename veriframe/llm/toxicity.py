@@ -29,6 +29,8 @@ from veriframe.llm.decontaminate import words_of
 
 WINDOW, STRIDE = 64, 48
 SAMPLE_ROWS, WINDOWS_EACH = 1_500, 8
+#: One sampled document of so many, by hash, is kept from the network and fits the document model, if each class has at least LEAST_SPLIT labels: on what the network has learned by heart, its windows look better than they are.
+KEPT_APART, LEAST_SPLIT = 4, 200
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS, VOCABULARY = 8, 12, 12, 8_192, 20_000
 EPOCHS, BATCH, RATE, DROP, SEED = 6, 256, 0.01, 0.25, 7
 THRESHOLD = 0.7
@@ -291,7 +293,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         return None
     parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for k in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]).dropDuplicates(["doc_id"]))  # 2 * sample_rows rows at most
-    sample = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(chosen, "doc_id")
+    apart = F.pmod(F.xxhash64(F.lit("apart"), "doc_id"), F.lit(KEPT_APART)) == 0 if min(totals.get(0, 0), totals.get(1, 0)) >= LEAST_SPLIT else F.lit(None).cast("boolean")
+    sample = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(chosen, "doc_id").withColumn("apart", apart)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -303,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
                 rows += [(doc_id, toxic, s, len(picked), b" ".join(words[s : s + WINDOW])) for s in picked]
             yield pd.DataFrame(rows, columns=["doc_id", "toxic", "start", "of", "words"])
 
-    rows = sorted(small_batches(sample).mapInPandas(cut, "doc_id long, toxic int, start long, of long, words binary").collect())
+    rows = sorted(small_batches(sample).where(~F.coalesce("apart", F.lit(False))).mapInPandas(cut, "doc_id long, toxic int, start long, of long, words binary").collect())
     windows = [(bytes(r.words).split(), r.toxic, 1.0 / r.of**0.5) for r in rows]
     model = train([w for w in windows if w[0]] or [([b"-"], 0, 1.0)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -313,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch.doc_id, "toxic": batch.toxic, "features": scorer.features(list(batch.text))})
 
-    seen = sorted(sample.mapInPandas(measure, "doc_id long, toxic int, features array<double>").collect())
+    seen = sorted(sample.where(F.coalesce("apart", F.lit(True))).mapInPandas(measure, "doc_id long, toxic int, features array<double>").collect())
     if seen:
         y = np.array([r.toxic for r in seen], float)
         taken = Counter(int(v) for v in y)
