@@ -33,6 +33,8 @@ SAMPLE_ROWS, WINDOWS_EACH = 1_500, 8
 KEPT_APART, LEAST_SPLIT = 4, 200
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS, VOCABULARY = 8, 12, 12, 8_192, 20_000
 EPOCHS, BATCH, RATE, DROP, SEED = 6, 256, 0.01, 0.25, 7
+#: Decay of the embeddings by step and rate: rare words that a few documents repeat are forgotten again.
+DECAY = 1.0
 THRESHOLD = 0.7
 #: Distinct words whose gates a task keeps at once.
 CACHE = 100_000
@@ -188,6 +190,8 @@ def train(windows: list[tuple[list[bytes], int, float]], seed: int = SEED) -> Mo
                 m, s = moment[k]
                 m += 0.1 * (v - m)
                 s += 0.01 * (v * v - s)
+                if k in ("word", "char"):
+                    model.p[k] *= np.float32(1 - rate * DECAY)
                 model.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     model.pieces = {}
     return model
