@@ -34,7 +34,7 @@ KEPT_APART, LEAST_SPLIT = 4, 200
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS, VOCABULARY = 8, 12, 12, 8_192, 20_000
 EPOCHS, BATCH, RATE, DROP, SEED = 6, 256, 0.01, 0.25, 7
 #: Decay of the embeddings by step and rate: rare words that a few documents repeat are forgotten again.
-DECAY = 1.0
+DECAY = 5.0
 THRESHOLD = 0.7
 #: Distinct words whose gates a task keeps at once.
 CACHE = 100_000
