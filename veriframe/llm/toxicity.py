@@ -30,7 +30,7 @@ from veriframe.llm.decontaminate import words_of
 WINDOW, STRIDE = 64, 48
 SAMPLE_ROWS, WINDOWS_EACH = 1_500, 8
 #: One sampled document of so many, by hash, is kept from the network and fits the document model, if each class has at least LEAST_SPLIT labels: on what the network has learned by heart, its windows look better than they are.
-KEPT_APART, LEAST_SPLIT = 4, 200
+KEPT_APART, LEAST_SPLIT = 4, 500
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS, VOCABULARY = 8, 12, 12, 8_192, 20_000
 EPOCHS, BATCH, RATE, DROP, SEED = 6, 256, 0.01, 0.25, 7
 #: Decay of the embeddings by step and rate: rare words that a few documents repeat are forgotten again.
