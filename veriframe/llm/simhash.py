@@ -192,6 +192,15 @@ def near_links(nodes: DataFrame) -> DataFrame:
     return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "u long, v long")
 
 
+def join_components(rows: DataFrame, nodes: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """``rows`` (doc_id, key) with the least ``rep`` of all ``nodes`` (key, rep) that ``links`` (u, v) join to their key."""
+    member = connected_components(links).select(F.col("node").alias(key), "root")
+    low = member.join(nodes, key).groupBy("root").agg(F.min("rep").alias("component_id"))
+    of = nodes.join(member.join(low, "root").drop("root"), key, "left").select(key, F.coalesce("component_id", "rep").alias("component_id"))
+    of = durable(of, "simhash-of")  # both sides of the last join are then plain exchanges, so that a fingerprint of very many rows can be split
+    return rows.join(of, key).select("doc_id", key, "component_id")
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> (doc_id, fp long, component_id): one row for each input row.
 
@@ -201,12 +210,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """
     fps = durable(fingerprints(docs), "simhash")
     nodes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    labels = connected_components(near_links(nodes))
-    member = labels.select(F.col("node").alias("fp"), "root")
-    low = member.join(nodes, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = nodes.join(member.join(low, "root").drop("root"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    of = durable(of, "simhash-of")  # both sides of the last join are then plain exchanges, so that a fingerprint of very many rows can be split
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    return join_components(fps, nodes, near_links(nodes), "fp")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
