@@ -38,16 +38,36 @@ DECAY = 5.0
 THRESHOLD = 0.7
 #: Distinct words whose gates a task keeps at once.
 CACHE = 100_000
+#: Bytes of a piece of a long word at most, and those that it shares with the next one at least: an n-gram less one.
+PIECE, OVERLAP = 64, 4
 _BEGIN, _END = b"\x01", b"\x02"
 
 
 def ngrams(word: bytes) -> list[int]:
     """Buckets of the 3- and 5-byte pieces of a word with its bounds, and of the whole if it is short."""
-    w = _BEGIN + word[:64] + _END
+    w = _BEGIN + word + _END
     crc = zlib.crc32
     return [crc(w[i : i + n]) % CHAR_BUCKETS for n in (3, 5) for i in range(max(1, len(w) - n + 1))]
 
 
+def _character(word: bytes, at: int) -> int:
+    """Where the UTF-8 character at byte ``at`` begins."""
+    return next((i for i in range(at, at - 4, -1) if word[i] & 0xC0 != 0x80), at)
+
+
+def pieces_of(text: bytes | None) -> list[bytes]:
+    """The words of a text. One of more than PIECE bytes (text without spaces) comes as consecutive pieces of whole characters, which share OVERLAP bytes or a little more, so that each n-gram lies in a piece."""
+    out = []
+    for word in words_of(text):
+        at = 0
+        while len(word) - at > PIECE:
+            end = _character(word, at + PIECE)
+            out.append(word[at:end])
+            at = _character(word, end - OVERLAP)
+        out.append(word[at:])
+    return out
+
+
 def window_starts(n: int) -> list[int]:
     """Starts of the overlapping windows that cover ``n`` words; the last one ends with the text."""
     if n <= WINDOW:
@@ -259,7 +279,7 @@ class Scorer:
 
         partial: dict[int, list[np.ndarray]] = {}
         for k, text in enumerate(texts):
-            words = words_of(text)
+            words = pieces_of(text)
             for a in range(0, max(1, len(words)), 48 * 4_000):  # a very long text in pieces that begin where a window does
                 piece = words[a : a + 48 * 4_000 + (WINDOW - STRIDE)]
                 if a and len(piece) <= WINDOW - STRIDE:
@@ -304,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         for batch in batches:
             rows = []
             for doc_id, text, toxic in zip(batch.doc_id, batch.text, batch.toxic):
-                words = words_of(text)
+                words = pieces_of(text)
                 starts = window_starts(len(words))
                 picked = sorted(starts, key=lambda s: (zlib.crc32(f"{doc_id} {s}".encode()), s))[:WINDOWS_EACH]
                 rows += [(doc_id, toxic, s, len(picked), b" ".join(words[s : s + WINDOW])) for s in picked]
