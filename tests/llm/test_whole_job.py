@@ -33,3 +33,19 @@ def test_ends_of_long_words_count():
     model.document = np.array([0.0, 1.0, 0.0, 0.0, 0.0])
     one, other = toxicity.Scorer(model).score([("漢" * 100 + "字" * 30).encode(), ("漢" * 130).encode()])
     assert one != other
+
+
+# 5: secrets
+
+
+def test_short_and_plain_credentials_are_scored(spark):
+    rng = random.Random(7)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    capitals, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    both = [draw(capitals, 12) for _ in range(200)] + [draw(capitals + digits, 13) for _ in range(200)]
+    prose = lambda: " ".join(draw("etaoinshrdlu", 8) for _ in range(12))
+    rows = [(k, f"{prose()} password = {word} {prose()}") for k, word in enumerate(both)]
+    letters, mixed = draw(capitals, 12), draw(capitals, 6) + draw(digits, 3) + draw(capitals, 4)
+    frame = docs(spark, *rows, (900, f"the {letters} here"), (901, f"the {mixed} here"), (902, "the counterrevolutionary internationalization here"))
+    got = {r.doc_id: r for r in secrets.scan(frame, secrets.learn(frame)).collect()}
+    assert [(got[k].base, got[k].spans) for k in (900, 901, 902)] == [("", "like_assign:4:16"), ("", "like_assign:4:17"), ("", "")]

@@ -29,8 +29,8 @@ ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_ASSIGN = 12
 KINDS = ("assign", "access", "hex")
-#: Candidates: tokens of the credentials' alphabet with a digit, of this length at least.
-TOKEN, LEAST = re.compile(r"[A-Za-z0-9+/_.=-]{16,}"), 16
+#: Candidates: tokens of the credentials' alphabet, of the least length of a labelled credential.
+TOKEN, LEAST = re.compile(r"[A-Za-z0-9+/_.=-]{12,}"), 12
 #: Labelled credentials and ordinary tokens that are learned from at most (by hash), and what a sample string may be long.
 SAMPLE, LONGEST = 2_000, 128
 #: Of how many texts, by a hash of the text, one gives ordinary tokens.
@@ -216,7 +216,7 @@ def all_spans(text: str, formats: Formats) -> tuple[list[tuple[int, int, int]],
             while at < len(base) and base[at][0] < b:
                 reach = max(reach, base[at][2])
                 at += 1
-            if reach > a or _plain(m.group()):
+            if reach > a:
                 continue
             if kind := formats.kind_of(m.group()):
                 more.append((a, b, kind))
