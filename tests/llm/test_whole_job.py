@@ -10,6 +10,26 @@ import pytest
 from tests.llm.test_operators import docs
 from veriframe.llm import decontaminate, html_text, secrets, toxicity
 
+# 1: main text
+
+LEAD, BODY, SECOND = "A lead that is long enough to count as prose.", "Body words of a long article go on and on here. " * 40, "A closing paragraph beside the inner container."
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_headline_and_lead_stay(spark, tag):
+    page = f'<body><nav><a href="/">Home of it all, with a long name</a></nav><{tag}><h1>Head</h1><p class="lead">{LEAD}</p><div class="body"><p>{BODY}</p></div><section><p>{SECOND}</p></section></{tag}><p>Outside of it all, and long enough.</p></body>'
+    want = f"Head\n\n{LEAD}\n\n{BODY.strip()}\n\n{SECOND}"
+    rows = [(k, f"http://a.com/{k}", page) for k in range(3)]
+    assert {r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {want}
+    assert html_text.extract(page, None) == want
+
+
+def test_lists_of_links_in_main_stay_out():
+    links = "".join(f'<li><a href="/{k}">Another story of ours, number {k}</a></li>' for k in range(9))
+    page = f'<body><main><div class="body"><p>{BODY}</p><p>{BODY}</p></div><ul>{links}</ul></main></body>'
+    assert html_text.extract(page, "/body/main/div.body") == f"{BODY.strip()}\n\n{BODY.strip()}"
+
+
 # 3: toxicity
 
 

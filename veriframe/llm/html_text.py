@@ -3,8 +3,8 @@
 First pass: each page's containers are scored by the prose they hold (long blocks, few links), and its best ones are
 written as generalised paths of tag and class names, digits removed. Spark sums the scores by host and path (partial
 sums in the map tasks: a host of any size is a row a task), and each host takes the path with the highest score of those that
-enough of its pages have. Second pass: each page is read again and the text under its host's winning path is taken, without
-boilerplate inside it; a page that lacks the path falls back on its own best container.
+enough of its pages have. Second pass: each page is read again and the text of the article that holds its host's winning path is taken, without
+boilerplate inside it, so that headline, lead and short sections beside the inner container stay; a page that lacks the path falls back on its own best container.
 """
 
 from __future__ import annotations
@@ -185,16 +185,32 @@ def containers(page: str) -> list[tuple[str, float]]:
     return sorted(((p, s) for p, s in score.items() if s > 0), key=lambda x: (-x[1], x[0]))[:8]
 
 
+def _under(holder: Node, path: str) -> bool:
+    return holder.path == path or holder.path.startswith(path + "/")
+
+
+def whole_article(blocks: list[tuple[Node, str]], path: str) -> str:
+    """The nearest article around ``path``; without one the nearest main, unless more than half of what it adds are links; else ``path``."""
+    steps = path.split("/")
+    for tag in ("article", "main"):
+        if depth := max((k for k, step in enumerate(steps) if step.split(".")[0] == tag), default=0):
+            wider = "/".join(steps[: depth + 1])
+            added = [(h, t) for h, t in blocks if _under(h, wider) and not _under(h, path)]
+            links = sum(h.links for h in {id(h): h for h, _ in added}.values())
+            return wider if tag == "article" or 2 * links <= sum(len(t) for _, t in added) else path
+    return path
+
+
 def extract(page: str, path: str | None) -> str:
-    """Blocks under ``path`` joined by empty lines; under the page's best container if the path is null or holds nothing."""
+    """Blocks of the article around ``path`` joined by empty lines; of that around the page's best container if the path is null or holds nothing."""
     _, blocks = parse(page)
     for wanted in (path, None):
         if wanted is None:
             own = containers(page)
             wanted = own[0][0] if own else ""
-        taken = [t for holder, t in blocks if holder.path == wanted or holder.path.startswith(wanted + "/")]
-        if taken:
-            return "\n\n".join(taken)
+        if any(_under(holder, wanted) for holder, _ in blocks):
+            wanted = whole_article(blocks, wanted)
+            return "\n\n".join(t for holder, t in blocks if _under(holder, wanted))
     return "\n\n".join(t for _, t in blocks)
 
 
