@@ -69,3 +69,9 @@ def test_short_and_plain_credentials_are_scored(spark):
     frame = docs(spark, *rows, (900, f"the {letters} here"), (901, f"the {mixed} here"), (902, "the counterrevolutionary internationalization here"))
     got = {r.doc_id: r for r in secrets.scan(frame, secrets.learn(frame)).collect()}
     assert [(got[k].base, got[k].spans) for k in (900, 901, 902)] == [("", "like_assign:4:16"), ("", "like_assign:4:17"), ("", "")]
+
+
+def test_background_is_of_all_texts(spark):
+    frame = docs(spark, (1, "some words, numbered 2024.123, token=Abc123def456ghi"), (2, None), (3, "numbered again"))
+    back = secrets.learn(frame).back
+    assert back.keys() == {"f", "z", "0", "."} and back["0"] > secrets.math.log(1 / 60)

@@ -3,7 +3,7 @@
 Grammar inference (the ALERGIA scheme): a bounded sample of credentials, labelled by the pattern that found them, is put into a prefix tree of
 character classes per kind; states whose futures do not differ by a Hoeffding bound are merged and folded until no
 pair is compatible. The automaton gives a string's likelihood under the kind's format; the background is a model of
-classes over ordinary tokens of the same sample. Every candidate token of every text is scored, and those whose mean
+classes over the tokens of all texts outside the patterns' matches. Every candidate token of every text is scored, and those whose mean
 log-likelihood ratio passes the kind's threshold (what nearly all its labelled credentials pass) become spans too.
 """
 
@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -31,10 +30,9 @@ LEAST_ASSIGN = 12
 KINDS = ("assign", "access", "hex")
 #: Candidates: tokens of the credentials' alphabet, of the least length of a labelled credential.
 TOKEN, LEAST = re.compile(r"[A-Za-z0-9+/_.=-]{12,}"), 12
-#: Labelled credentials and ordinary tokens that are learned from at most (by hash), and what a sample string may be long.
+#: Labelled credentials that are learned from at most (by hash), and what a sample string may be long.
 SAMPLE, LONGEST = 2_000, 128
-#: Of how many texts, by a hash of the text, one gives ordinary tokens.
-ONE_OF = 16
+_ORDINARY = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 ALPHA, MARGIN = 0.05, 0.75
 
 
@@ -144,10 +142,9 @@ class Automaton:
 class Formats:
     """Automata by kind with their thresholds, and the background."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]) -> None:
-        back = Counter(c for t in ordinary for c in classes(t)[:LONGEST])
-        n = sum(back.values())
-        self.back = {c: math.log((k + 1) / (n + 50)) for c, k in back.items()}
+    def __init__(self, labelled: dict[str, list[str]], ordinary: dict[str, int]) -> None:
+        n = sum(ordinary.values())
+        self.back = {c: math.log((k + 1) / (n + 50)) for c, k in ordinary.items()}
         self.rare = math.log(1 / (n + 50))
         self.kinds: dict[str, tuple[Automaton, float]] = {}
         self.seen: dict[str, str | None] = {}
@@ -177,32 +174,47 @@ def _plain(token: str) -> bool:
     return not (re.search(r"[0-9]", token) and re.search(r"[A-Za-z]", token))
 
 
+def ordinary(text: str, spans: list[tuple[int, int, int]]) -> Counter:
+    """How often each class occurs in the tokens of a text outside its base spans."""
+    out, at = [], 0
+    for a, _, b in spans:
+        out.append(text[at:a] if a > at else "")
+        at = max(at, b)
+    tokens = "".join(t for part in [*out, text[at:]] for t in _ORDINARY.findall(part))
+    count: Counter = Counter()
+    for c, n in Counter(tokens).items():
+        count[classes(c)] += n
+    return count
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Formats:
-    """Formats of a sample of ``docs``' credentials, by hash of the string: ``sample`` of each kind, and ordinary tokens, at most."""
+    """Formats of a sample of ``docs``' credentials, by hash of the string: ``sample`` of each kind at most; the background is summed over all texts."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows: set[tuple[str, str]] = set()
+            rows: set[tuple[str, str, int]] = set()
+            back: Counter = Counter()
             for text in batch.text:
                 if text is None:
                     continue
                 spans = base_spans(text)
-                rows |= {(f"like_{KINDS[k]}", (ASSIGN.match(text, a).group(2) if k == 0 else text[a:b])[:LONGEST]) for a, k, b in spans}
-                if zlib.crc32(text.encode("utf-8", "replace")) % ONE_OF == 0:
-                    rows |= {("", t) for t in re.findall(r"[A-Za-z0-9+/_.=-]{6,128}", text) if not re.search(r"[0-9]", t)}
-            yield pd.DataFrame(sorted(rows), columns=["kind", "word"])
-
-    found = small_batches(docs).select(F.col("text").cast("string").alias("text")).mapInPandas(gather, "kind string, word string")
-    distinct = durable(found.distinct(), "secret-words")  # of all credentials and of the sampled texts' tokens; one pass over the corpus
-    parts = [distinct.where(F.col("kind") == k).orderBy(F.xxhash64("word"), "word").limit(sample) for k in ("", *(f"like_{k}" for k in KINDS))]
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionByName(more)
+                rows |= {(f"like_{KINDS[k]}", (ASSIGN.match(text, a).group(2) if k == 0 else text[a:b])[:LONGEST], 1) for a, k, b in spans}
+                back.update(ordinary(text, spans))
+            yield pd.DataFrame([*sorted(rows), *(("", c, n) for c, n in sorted(back.items()))], columns=["kind", "word", "n"])
+
+    found = small_batches(docs).select(F.col("text").cast("string").alias("text")).mapInPandas(gather, "kind string, word string, n long")
+    distinct = durable(found.groupBy("kind", "word").agg(F.sum("n").alias("n")), "secret-words")  # all credentials, and a row for each class; one pass over the corpus
+    rows = distinct.where("kind = ''")  # the alphabet's classes: ten or so
+    for k in KINDS:
+        rows = rows.unionByName(distinct.where(F.col("kind") == f"like_{k}").orderBy(F.xxhash64("word"), "word").limit(sample))
     by: dict[str, list[str]] = defaultdict(list)
-    for row in rows.select("kind", "word").collect():  # 4 * sample short strings at most
-        by[row.kind].append(row.word)
-    ordinary = sorted(by.pop("", []))
-    return Formats({k: sorted(v) for k, v in by.items()}, ordinary)
+    back = {}
+    for row in rows.collect():  # 3 * sample short strings and the classes at most
+        if row.kind:
+            by[row.kind].append(row.word)
+        else:
+            back[row.word] = row.n
+    return Formats({k: sorted(v) for k, v in by.items()}, back)
 
 
 def all_spans(text: str, formats: Formats) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str]]]:
