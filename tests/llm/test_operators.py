@@ -157,6 +157,29 @@ def test_line_runs_do_not_depend_on_batches(spark):
     assert found[1] and found[1] == found[3] == found[9]
 
 
+def test_line_batches_are_anti_joined(spark, monkeypatch):
+    """At the query's own number of batches: later batches lose rows to settled runs, whose keys they never add again; runs are joined and summed without a shuffle."""
+    kept, plans = [], []
+    keep = line_dedup.LineRuns._kept
+
+    def spy(self, run):
+        plan = run._jdf.queryExecution().executedPlan().toString()
+        plans.append(plan)
+        if "LeftAnti" in plan:
+            settled = {tuple(r) for s in self.settled for r in s.collect()}
+            kept.append((settled, {(r.a, r.b) for r in run.collect()}))
+        return keep(self, run)
+
+    monkeypatch.setattr(line_dedup.LineRuns, "_kept", spy)
+    frame = docs(spark, *[(k, f"own {k}\neverywhere\nshared by some {k % 30}") for k in range(600)])
+    runs = line_dedup.line_runs(frame, 10)
+    assert len(kept) == line_dedup.BATCHES - 1
+    everywhere = spark.range(1).select(line_dedup.hashed(F.lit("everywhere")).alias("h")).select("h.*").first()
+    assert all(tuple(everywhere) in settled and not settled & rest and rest for settled, rest in kept)
+    assert len(runs.levels) > 1 and sum("SortMergeJoin" in p for p in plans) == len(kept) and not any("Exchange" in p for p in plans)
+    assert runs.frequent().count() == 31
+
+
 # 5: secrets
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,12 +16,18 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where that is unset (local tests)."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a temporary one on a local master; elsewhere an error, since executors don't see each other's disks."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='veriframe-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _own:
+            _own.append(f"file://{tempfile.mkdtemp(prefix='veriframe-')}")
+        path = _own[0]
     return path.rstrip("/")
 
 
@@ -33,6 +40,15 @@ def durable(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, by: tuple[str, ...], partition_by: tuple[str, ...] = (), placed: bool = False) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``by``, each sorted, and read again: joins and sums by ``by`` of such tables with as many buckets need no shuffle. ``placed``: ``df`` comes from such tables."""
+    spark = df.sparkSession
+    table = f"veriframe_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = (df if placed else df.repartition(buckets, *by)).write.bucketBy(buckets, *by).sortBy(*by).option("path", f"{shared_dir(spark)}/veriframe/{table}")
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table)
+    return spark.table(table)
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether a durable table has at most ``max_rows`` rows; the check before each broadcast."""
     return df.count() <= max_rows

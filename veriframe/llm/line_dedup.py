@@ -1,24 +1,30 @@
 """Frequent-line removal over levelled sorted runs of line hashes; DataFrame functions only.
 
 A run is a table (key, docs), sorted by the 128-bit key, of how many documents of some batches hold a line. Batches
-come one after another. A batch merge-anti-joins the *settled* keys, those already known to be in enough documents,
-and adds what is left as a run of level 0. When a level has ``fanout`` runs they are compacted into one run of the next
-level; keys whose sum reaches the bound there move to the settled keys. At the end all runs are merged once. Counts only
-ever add up, so the answer does not depend on batches or fanout.
+come one after another. A batch merge-anti-joins the *settled* runs, of keys already known to be in enough documents;
+of what is left, keys that the batch alone has often enough become a settled run, the others a run of level 0. When a
+level has ``fanout`` runs they are compacted into one run of the next level, and keys whose sum reaches the bound there
+become a settled run too. At the end all runs are merged once. Counts only ever add up, so the answer does not depend on
+batches or fanout; what the anti-join saves is that a line of a third of all documents is settled by the first batch.
+
+Runs are kept in buckets of the key, each sorted, so that neither the anti-join nor a compaction shuffles: Spark reads
+bucket k of each run in one task and merges there. It sorts a bucket again, in memory, because it takes a bucket's order
+for granted only under a setting of older releases.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import LOWER, SPACES, UPPER, durable, maybe_broadcast, shared_dir, text_or_empty
+from veriframe.llm.common import LOWER, SPACES, UPPER, bucketed, durable, maybe_broadcast, text_or_empty
 
-#: A fixed number of batches for a table that is given whole; a caller with batches of its own adds them to LineRuns.
-BATCHES, FANOUT = 4, 4
+#: A fixed number of batches for a table that is given whole; a caller with batches of its own adds them to LineRuns. Twice the fanout: there are two compactions, and all batches but the first are anti-joined.
+BATCHES, FANOUT = 6, 3
+#: Keys of a bucket on average (24 bytes each); the number of buckets follows the table.
+BUCKET_KEYS = 2_000_000
 #: Frequent keys, and words of dropped line numbers, that are broadcast at most; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -33,31 +39,37 @@ def hashed(key: Column) -> Column:
 
 
 class LineRuns:
-    """The runs: levels of durable tables, and the settled keys."""
+    """The runs: levels of bucketed tables, and those of settled keys."""
 
-    def __init__(self, min_docs: int, fanout: int = FANOUT) -> None:
-        self.min_docs, self.fanout = min_docs, fanout
+    def __init__(self, min_docs: int, fanout: int = FANOUT, buckets: int = 1) -> None:
+        self.min_docs, self.fanout, self.buckets = min_docs, fanout, buckets
         self.levels: list[list[DataFrame]] = [[]]
-        self.settled: DataFrame | None = None
+        self.settled: list[DataFrame] = []
 
-    def _sorted(self, run: DataFrame) -> DataFrame:
-        return durable(run.sortWithinPartitions("a", "b"), "line-run")
+    def _kept(self, run: DataFrame) -> DataFrame:
+        return bucketed(run, "line-run", self.buckets, ("a", "b"), placed=True)
+
+    def _split(self, run: DataFrame) -> DataFrame:
+        """``run``, a kept one, without its frequent keys; those become a settled run."""
+        often = F.col("docs") >= self.min_docs
+        if not (done := run.where(often).select("a", "b")).isEmpty():
+            self.settled.append(self._kept(done))
+        return run.where(~often)
 
     def add(self, batch: DataFrame) -> None:
-        """``batch``: (a, b, docs), one row for each key of the batch."""
-        if self.settled is not None:
-            batch = batch.hint("merge").join(self.settled, ["a", "b"], "left_anti")
-        self.levels[0].append(self._sorted(batch))
+        """``batch``: (a, b, docs), one row for each key of the batch, in the runs' buckets."""
+        new = reduce(lambda rest, run: rest.hint("merge").join(run, ["a", "b"], "left_anti"), self.settled, batch)
+        self.levels[0].append(self._split(self._kept(new)))
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            whole = durable(self._merged(self.levels[level]), "line-run")
+            whole = self._kept(self._merged(self.levels[level]))
             self.levels[level] = []
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            done = whole.where(F.col("docs") >= self.min_docs).select("a", "b")
-            self.settled = done if self.settled is None else self.settled.unionByName(done)
-            self.levels[level + 1].append(self._sorted(whole.where(F.col("docs") < self.min_docs)))
+            self.levels[level + 1].append(self._split(whole))
             level += 1
+        if len(self.settled) >= self.fanout:
+            self.settled = [self._kept(reduce(DataFrame.unionByName, self.settled).groupBy("a", "b").agg(F.lit(0).alias("_")).select("a", "b"))]
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
@@ -66,25 +78,28 @@ class LineRuns:
     def frequent(self) -> DataFrame:
         """(a, b) of the keys in at least ``min_docs`` documents."""
         open_runs = [r for level in self.levels for r in level]
-        found = self._merged(open_runs).where(F.col("docs") >= self.min_docs).select("a", "b")
-        return found if self.settled is None else found.unionByName(self.settled).distinct()
-
+        found = [*self.settled]
+        if open_runs:
+            found.append(self._merged(open_runs).where(F.col("docs") >= self.min_docs).select("a", "b"))
+        return reduce(DataFrame.unionByName, found).distinct()  # what earlier runs hold of a settled key can reach the bound too
 
-def frequent_lines(docs: DataFrame, min_docs: int, batches: int = BATCHES) -> DataFrame:
-    """(a, b) of the line keys, not empty, in at least ``min_docs`` rows of ``docs``.
 
-    One scan hashes the lines and sums them by batch and key; the runs are built from that table.
-    """
+def line_runs(docs: DataFrame, min_docs: int, batches: int = BATCHES) -> LineRuns:
+    """The runs of the line keys, not empty, of ``docs``. One scan hashes the lines and sums them by batch and key; the batches are slices of that table."""
     lines = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), F.explode(F.array_distinct(keys_of(text_or_empty()))).alias("k")).where("k != ''")
     sums = lines.select("batch", hashed(F.col("k")).alias("h")).groupBy("batch", "h.a", "h.b").agg(F.count("*").alias("docs"))
-    spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/veriframe/line-sums-{uuid.uuid4().hex}"
-    sums.write.partitionBy("batch").parquet(path)
-    table = spark.read.schema("a long, b long, docs long, batch int").parquet(path)
-    runs = LineRuns(min_docs)
+    sums = durable(sums, "line-sums")
+    buckets = max(1, -(-sums.count() // BUCKET_KEYS), docs.sparkSession.sparkContext.defaultParallelism)
+    table = bucketed(sums, "line-batches", buckets, ("a", "b"), partition_by=("batch",))
+    runs = LineRuns(min_docs, buckets=buckets)
     for batch in range(batches):
         runs.add(table.where(F.col("batch") == batch).select("a", "b", "docs"))
-    return durable(runs.frequent(), "line-frequent")
+    return runs
+
+
+def frequent_lines(docs: DataFrame, min_docs: int, batches: int = BATCHES) -> DataFrame:
+    """(a, b) of the line keys, not empty, in at least ``min_docs`` rows of ``docs``."""
+    return durable(line_runs(docs, min_docs, batches).frequent(), "line-frequent")
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
