@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import timeit
 from itertools import combinations
 
 import numpy as np
@@ -51,6 +52,50 @@ def test_deep_nesting():
     assert html_text.extract(page, None) == "First words of a text that is long enough.\n\nSecond words of a text that is long enough."
 
 
+SENTENCES = ["Words of an article that go on &amp; on.", "Short one.", "It's <b>bold</b> and <a href='/x'>linked</a>, in part.", "A &lt;tag&gt; &#233;", "x < y and y > z", "One<br>two", "Math <math><mi>x</mi> <mo>=</mo> 1</math> inside"]
+PLAIN = ["Words of an article that go on & on.", "Short one.", "It's bold and linked, in part.", "A <tag> é", "x < y and y > z", "One two", "Math x = 1 inside"]
+AROUND = [
+    '<nav><ul><li><a href="/">Home</a></ul></nav>', "<aside><p>A sidebar with a whole sentence of its own in it.</p></aside>", '<div class="site-footer">All rights reserved by all of us, always.</div>', "<footer>End</footer>",
+    '<form action="/s"><label>Mail</label><input name=q> Tell us what you look for, please.<button>Go</button></form>', '<section id="comments"><article><h1>Me</h1><p>' + "A reader says a lot about it. " * 40 + "</p></article></section>",
+    "<script>if (a<b) document.write('<p>no</p>')</script>", "<style>p > b {}</style>", "<!-- <p>not this</p> -->", '<div class="cookie-notice"><p>We use cookies, as all do, to make the site worse.</p></div>', '<div class="share-buttons"><a href="/s">Share</a> <a href="/t">Send</a></div>',
+]
+ODD = ["", ' class="a""', " data-x=it's", " title='>'", ' title="a > b"', " class=tags-intro", ' id="p1"class="y"', " hidden-not", " / x = y"]
+
+
+@given(st.lists(st.tuples(st.sampled_from(range(len(PLAIN))), st.sampled_from(["p", "p", "h2", "li", "blockquote"]), st.sampled_from(ODD)), min_size=1, max_size=12), st.lists(st.sampled_from(AROUND), max_size=6), st.sampled_from(["<article>{}</article>", "<main><div class=body3>{}</div></main>", "<form><input type=hidden><main>{}</main></form>", '<div class="meta"><main>{}</main></div>']), st.booleans(), st.randoms())
+@settings(max_examples=200, deadline=None)
+def test_pages_of_known_text(blocks, around, frame, closed, rng):
+    """Pages put together from known blocks, boilerplate between them and around: exactly the blocks come back."""
+    inside = [f"<ul><{tag}{odd}>{SENTENCES[k]}</{tag}></ul>" if tag == "li" else f"<{tag}{odd}>{SENTENCES[k]}" + f"</{tag}>" * (closed or tag != "p") for k, tag, odd in blocks]
+    for part in around[::2]:
+        inside.insert(rng.randrange(len(inside) + 1), part)
+    page = f"<!DOCTYPE html><html><head><title>T</title></head><body>{''.join(around[1::2])}{frame.format(''.join(inside))}</body></html>"
+    assert html_text.extract(page, None) == "\n\n".join(PLAIN[k] for k, _, _ in blocks)
+
+
+def test_form_around_a_page_and_heads_in_main():
+    words = "Words of an article that go on for a while. " * 5
+    for page in (f"<form><input><p>{words}</p><p>{words}</p></form>", f'<form><input type="hidden"><div class="share-price"><p>{words}</p><p>{words}</p></div></form>', f'<main><header><nav>x</nav></header><p class="">{words}</p><p>{words}</p></main>'):
+        assert html_text.extract(f"<body>{page}</body>", None) == f"{words.strip()}\n\n{words.strip()}"
+    assert html_text.extract(f"<body><main><header><h1>Head</h1></header><p>{words}</p></main></body>", None) == f"Head\n\n{words.strip()}"
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a x="', "<a x='y\" ", "</a ", "<p <!-- ", "<!-- x ", "<script>", "<b><div></b>", "</x>", "<li><p>", "<table><tr><td>", "<![CDATA["])
+def test_pages_are_read_in_time(part):
+    """Ten times the page takes about ten times as long, whatever stays open."""
+    took = []
+    for size in (40_000, 400_000):
+        page = "<p>words</p>" + part * (size // len(part))
+        took.append(min(timeit.repeat(lambda: html_text.extract(page, None), number=1, repeat=2)))
+    assert took[1] < 0.2 + 30 * took[0] and took[1] < 12
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = [(k, f"http://a.com/{k}", PAGE, "x", "y", "z") for k in range(2)] + [(5, None, "<p>" + "a long page " * 200_000 + "</p>", "x", "y", "z")]
+    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, path string, _host string, text string")).collect()}
+    assert got[0].text == TEXT and got[5].n_chars == 12 * 200_000 - 1
+
+
 # 2: exact duplicates
 
 

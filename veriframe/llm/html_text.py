@@ -1,10 +1,13 @@
 """Main text of web pages by consensus of a host's pages.
 
-First pass: each page's containers are scored by the prose they hold (long blocks, few links), and its best ones are
-written as generalised paths of tag and class names, digits removed. Spark sums the scores by host and path (partial
+First pass: each page's containers are scored by the prose they hold (text outside links), and all that have any are
+summed as generalised paths of tag and class names, digits removed. Spark sums the scores by host and path (partial
 sums in the map tasks: a host of any size is a row a task), and each host takes the path with the highest score of those that
 enough of its pages have. Second pass: each page is read again and the text of the article that holds its host's winning path is taken, without
 boilerplate inside it, so that headline, lead and short sections beside the inner container stay; a page that lacks the path falls back on its own best container.
+
+Pages are read as browsers read them: a quote within or after an unquoted value is a plain character, a tag goes on to its
+``>``, and each character is looked at a bounded number of times, whatever stays open.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.llm.common import durable, fits, slices, small_batches
@@ -25,164 +28,221 @@ from veriframe.llm.url_filter import split_url
 BROADCAST_HOSTS = 200_000
 #: A path needs this share of its host's pages to win.
 SHARE = 0.3
-#: Steps of a path at most. Elements nested deeper go by the path of the last that has one, so that paths don't grow with the square of the depth.
+#: Steps of a path at most. Elements nested deeper go by the path of the last that has one, so that paths don't grow with the square of the depth; their text counts and stays.
 DEPTH = 256
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-#: Fixed values of HTML: elements without content, elements of raw text, elements that begin a block.
+#: A tag: its name, then attributes (each with a quoted, an unquoted or no value) and slashes in any order. Nothing in it is tried twice.
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+)*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
+_COMMENT_END = re.compile(r"--!?>")
+#: Fixed values of HTML: elements without content, elements whose content is no text of the page, elements that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select".split())
+RAW = frozenset("script style noscript template textarea title svg annotation annotation-xml iframe object canvas select".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
     "li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head".split()
 )
 #: An open <p> ends before any of these.
 ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "html", "head", "body"}
-SKIP = frozenset("nav header footer aside form button menu dialog head label".split())
-_SKIP_NAME = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adv|advert\w*|banners?|promo\w*|sponsor\w*|nav\w*|menu\w*|sidebar\w*|side-?bar|aside|footer|header|masthead|breadcrumbs?|comments?|comment-?list|respond|replies|"
-    r"disqus|cookies?|consent|notices?|alerts?|popup|modal|newsletter|subscribe|signup|social|share\w*|related|recommend\w*|widget\w*|toolbar|pagination|pager|skip|login|search\w*|tags?|meta|byline|copyright|gdpr|hidden)(?:$|[^a-z])"
+#: An open one of the second ends before the first, unless one of the third is opened in between.
+_ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
+SKIP = frozenset("nav header footer aside button menu dialog head label".split())
+CONTROLS = frozenset("input button select textarea".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
+#: Words in class names and ids: of readers' comments, of other boilerplate, and of what is boilerplate only where links are most of it.
+_READERS = re.compile(r"(?:^|-)(?:comments?|commentlist|respond|replies|disqus)(?:$|-)")
+_NAMED = re.compile(
+    r"(?:^|-)(?:ads?|adv|adverts?|advertisements?|advertising|banners?|sponsor(?:s|ed)?|nav|navbar|navigation|menus?|sidebar|sidebars|side-bar|footer|masthead|breadcrumbs?|"
+    r"cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|login|related|recommended|recommendations|pagination|pager|toolbar|copyright|hidden|promos?|promotion|alerts?)(?:$|-)"
 )
-_SKIP_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
+_WEAK = re.compile(r"(?:^|-)(?:social|share|sharing|widgets?|skip|search|tags?|meta|byline|header|aside)(?:$|-)")
+PARAGRAPHS = frozenset("article blockquote h2 h3 h4 h5 h6 p pre table".split())
+SURE, READERS, NAMED, WEAK, FORM = 1, 2, 3, 4, 5
 
 
 class Node:
-    __slots__ = ("end", "links", "path", "prose", "skip", "start", "tag")
+    __slots__ = ("controls", "end", "heads", "links", "mark", "parent", "path", "prose", "skip", "start", "tag")
 
-    def __init__(self, tag: str, path: str, skip: bool, start: int) -> None:
-        self.tag, self.path, self.skip, self.start = tag, path, skip, start
-        self.end, self.prose, self.links = -1, 0, 0
+    def __init__(self, tag: str, path: str, parent: Node | None, mark: int, start: int) -> None:
+        self.tag, self.path, self.parent, self.mark, self.start = tag, path, parent, mark, start
+        self.end, self.prose, self.links, self.controls, self.heads, self.skip = -1, 0, 0, 0, 2 * (tag in ("h1", "main")) | (tag in PARAGRAPHS), False
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(raw)}
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
-    names = sorted(x for x in re.sub(r"\d+", "", attributes.get("class", "").lower()).split() if x)
-    return ".".join([tag, *names[:3]])
+    return ".".join([tag, *sorted(set(re.sub(r"\d+", "", attributes.get("class", "").lower()).split()))])
 
 
-def _boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _mark(tag: str, attributes: dict[str, str], in_article: bool) -> int:
     if tag in SKIP and not (tag == "header" and in_article):
+        return SURE
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
+        return SURE
+    names = [re.sub(r"([a-z])([A-Z])", r"\1-\2", n).lower().replace("_", "-") for n in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()]
+    if tag not in ("html", "body", "main"):
+        if any(map(_READERS.search, names)):
+            return READERS
+        if tag != "article" and (attributes.get("role", "").lower() in _ROLES or any(map(_NAMED.search, names))):
+            return NAMED
+        if tag != "article" and any(map(_WEAK.search, names)):
+            return WEAK
+    return FORM if tag == "form" else 0
+
+
+def _boilerplate(node: Node, page_prose: int) -> bool:
+    """Of an element with a mark, its text and links summed. What holds the page's heading or main element only wraps it; so does a form around most of the page."""
+    if node.mark in (SURE, READERS):
         return True
-    if not attributes:
+    if node.heads & 2:
         return False
-    if attributes.get("role", "").lower() in _SKIP_ROLE or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
-    if re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
-    names = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower().replace("_", "-")
-    return tag not in ("html", "body", "main", "article") and bool(_SKIP_NAME.search(names))
+    if node.mark == FORM:
+        return node.controls > 0 and not (node.heads & 1 and 2 * node.prose > page_prose)
+    return node.mark == NAMED or node.links >= node.prose
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
-    """Elements in page order, and (element that holds it, text) of the blocks that no boilerplate element holds; ``start`` and ``end`` of an element count blocks."""
-    root = Node("", "", False, 0)
-    nodes, stack, blocks = [root], [root], []
-    parts: list[str] = []
-    linked = [0]
+    """Elements in page order, and (element that holds it, text) of the blocks, without what boilerplate elements hold; ``start`` and ``end`` of an element count raw blocks.
+
+    ``prose`` and ``links`` of an element are the characters outside and inside links of its own blocks.
+    """
+    root = Node("", "", None, 0, 0)
+    nodes, stack = [root], [root]
+    raw_blocks: list[tuple[Node, list[tuple[Node, str, bool]]]] = []
+    parts: list[tuple[Node, str, bool]] = []
+    open_at: dict[str, list[int]] = {"a": [], "": []}  # places in the stack by tag; under "" those of blocks
 
     def close_block() -> None:
-        if not parts:
-            return
-        text = " ".join(entities.unescape("".join(parts)).split())  # all white space, also what references stand for
-        parts.clear()
-        links, linked[0] = linked[0], 0
-        if text:
-            blocks.append((stack[-1], text))
-            stack[-1].prose += len(text) if len(text) >= 25 else 0
-            stack[-1].links += min(links, len(text))
+        nonlocal parts
+        if parts:
+            raw_blocks.append((stack[-1], parts))
+            parts = []
 
     def text(raw: str) -> None:
-        if raw and not stack[-1].skip:
-            parts.append(raw)
-            if links:
-                linked[0] += len(raw.strip())
-
-    def pop() -> None:
-        nonlocal links
-        node = stack.pop()
-        node.end = len(blocks)
-        if node.tag == "a":
-            links -= 1
-
-    at, links, size = 0, 0, len(page)
+        if raw:
+            parts.append((stack[-1], raw, bool(open_at["a"])))
+
+    def pop_to(depth: int) -> None:
+        while len(stack) > depth:
+            node = stack.pop()
+            node.end = len(raw_blocks)
+            open_at[node.tag].pop()
+            if node.tag in BLOCK:
+                open_at[""].pop()
+
+    def last(tags: tuple[str, ...]) -> int:
+        return max((x[-1] for t in tags if (x := open_at.get(t))), default=0)
+
+    at, size = 0, len(page)
     while at < size:
-        m = _TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
+        begin = page.find("<", at)
+        text(page[at : begin if begin >= 0 else size])
+        if begin < 0:
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            text(m[1])
-        if not m[3]:
+        m = _TAG.match(page, begin)
+        if not m:
+            follows = page[begin + 1 : begin + 2]
+            if page.startswith("<![CDATA[", begin):
+                end = page.find("]]>", begin)
+                text(page[begin + 9 : end if end >= 0 else size])
+                at = end + 3 if end >= 0 else size
+            elif page.startswith("<!--", begin):
+                end = _COMMENT_END.search(page, begin + 2)
+                at = end.end() if end else size
+            elif follows in ("!", "?", "/") and page[begin + 1 : begin + 3] != "/":
+                end = page.find(">", begin)
+                at = end + 1 if end >= 0 else size
+            elif follows.isascii() and follows.isalpha():
+                at = size  # a tag that never ends
+            else:
+                text("<")
+                at = begin + 1
             continue
-        tag = m[3].lower()
+        at, tag = m.end(), m[2].lower()
         if tag in BLOCK:
             close_block()
-        if m[2]:  # an end tag closes what is open inside its element; one without a start is ignored
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if depth and not (tag not in BLOCK and any(x.tag in BLOCK for x in stack[depth + 1 :])):
-                while len(stack) > depth:
-                    pop()
+        if m[1]:  # an end tag closes what is open inside its element; one without a start is ignored
+            depth = last((tag,))
+            if depth and not (tag not in BLOCK and open_at[""] and open_at[""][-1] > depth):
+                pop_to(depth)
             continue
+        if tag in CONTROLS and (form := last(("form",))):
+            stack[form].controls += 1
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else size
-            if tag in ("br", "hr"):
-                parts.append(" ")
             continue
         if tag in VOID:
-            if tag in ("br", "wbr", "img", "input") and tag != "wbr":
+            if tag in ("br", "img", "input"):
                 text(" ")
             continue
-        if tag in ENDS_P:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in ("p", *BLOCK)), 0)
-            if depth and stack[depth].tag == "p":
-                while len(stack) > depth:
-                    pop()
-        for same, inside in (("li", ("ul", "ol", "menu")), ("dt", ("dl",)), ("dd", ("dl",)), ("tr", ("table",)), ("td", ("tr", "table")), ("th", ("tr", "table")), ("option", ("select",))):
-            if tag == same:
-                group = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in group or stack[k].tag in inside), 0)
-                if depth and stack[depth].tag in group:
-                    while len(stack) > depth:
-                        pop()
-        attributes = _attributes(m[4]) if m[4].strip(" /\n\t\r") else {}
-        if m[4].endswith("/") and tag not in BLOCK:
+        if tag in ENDS_P and (top := last(("",))) and stack[top].tag == "p":
+            pop_to(top)
+        if tag in _ENDS:
+            same, inside = _ENDS[tag]
+            if (depth := last(same)) > last(inside):
+                pop_to(depth)
+        attributes = _attributes(m[3]) if m[3].strip(" /\n\t\r\f") else {}
+        if m[3].endswith("/") and tag not in BLOCK:
             continue
         above = stack[-1]
-        node = Node(tag, f"{above.path}/{_step(tag, attributes)}" if tag in BLOCK and len(stack) <= DEPTH else above.path, above.skip or _boilerplate(tag, attributes, "/article" in above.path), len(blocks))
+        path = f"{above.path}/{_step(tag, attributes)}" if tag in BLOCK and len(stack) <= DEPTH else above.path
+        node = Node(tag, path, above, _mark(tag, attributes, bool(last(("article", "main")))), len(raw_blocks))
         nodes.append(node)
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            open_at[""].append(len(stack))
         stack.append(node)
-        links += tag == "a"
     close_block()
-    while len(stack) > 1:
-        pop()
-    root.end = len(blocks)
+    pop_to(1)
+    root.end = len(raw_blocks)
+    for _, found in raw_blocks:
+        for node, raw, linked in found:
+            if linked:
+                node.links += len(raw.strip())
+            else:
+                node.prose += len(raw.strip())
+    for node in reversed(nodes[1:]):
+        above = node.parent
+        above.prose, above.links, above.controls, above.heads = above.prose + node.prose, above.links + node.links, above.controls + node.controls, above.heads | node.heads
+    for node in nodes[1:]:
+        node.skip = node.parent.skip or (node.mark > 0 and _boilerplate(node, root.prose))
+    for node in nodes:
+        node.prose = node.links = 0
+    blocks = []
+    for holder, found in raw_blocks:
+        kept = [(raw, linked) for node, raw, linked in found if not node.skip]
+        if whole := " ".join(entities.unescape("".join(raw for raw, _ in kept)).split()):  # all white space, also what references stand for
+            links = min(len(whole), sum(len(raw.strip()) for raw, linked in kept if linked))
+            holder.prose, holder.links = holder.prose + len(whole) - links, holder.links + links
+            blocks.append((holder, whole))
     return nodes, blocks
 
 
 def containers(page: str) -> list[tuple[str, float]]:
-    """Generalised paths of a page's containers with their scores: prose less what links hold, discounted by a tenth for each level between."""
-    nodes, blocks = parse(page)
+    """Generalised paths of a page's containers with their scores, best first: the text of blocks that are mostly no links, discounted by a tenth for each level between."""
+    _, blocks = parse(page)
     score: dict[str, float] = {}
     for holder, text in blocks:
-        value = max(0, holder.prose - 2 * holder.links) and len(text)
+        value = len(text) if holder.prose > holder.links else 0
         path = holder.path
         inner = path.rsplit("/", 1)[-1].split(".")[0]
         if inner in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "td", "th", "dd", "dt", "figcaption"):
             path = path.rsplit("/", 1)[0]
         part = 1.0
-        while path:
+        while True:
             step = path.rsplit("/", 1)[-1].split(".")[0]
             if step not in ("p", "li", "ul", "ol", "table", "tbody", "tr"):
                 score[path] = score.get(path, 0.0) + part * value
+            if not path:  # the page itself
+                break
             part *= 0.9
             path = path.rsplit("/", 1)[0]
-    return sorted(((p, s) for p, s in score.items() if s > 0), key=lambda x: (-x[1], x[0]))[:8]
+    return sorted(((p, s) for p, s in score.items() if s > 0), key=lambda x: (-x[1], x[0]))
 
 
 def _under(holder: Node, path: str) -> bool:
@@ -195,9 +255,8 @@ def whole_article(blocks: list[tuple[Node, str]], path: str) -> str:
     for tag in ("article", "main"):
         if depth := max((k for k, step in enumerate(steps) if step.split(".")[0] == tag), default=0):
             wider = "/".join(steps[: depth + 1])
-            added = [(h, t) for h, t in blocks if _under(h, wider) and not _under(h, path)]
-            links = sum(h.links for h in {id(h): h for h, _ in added}.values())
-            return wider if tag == "article" or 2 * links <= sum(len(t) for _, t in added) else path
+            added = {id(h): h for h, _ in blocks if _under(h, wider) and not _under(h, path)}.values()
+            return wider if tag == "article" or sum(h.links for h in added) <= sum(h.prose for h in added) else path
     return path
 
 
@@ -219,24 +278,29 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(h, p, s) for h, page in zip(batch.host, batch.html) for p, s in ([*containers(page or ""), (None, 0.0)])]
-            yield pd.DataFrame(rows, columns=["host", "path", "score"])
+            sums: dict[tuple[str, str | None], list[int]] = {}
+            for host, page in zip(batch.host, batch.html):
+                for path, value in ([*containers(page or ""), (None, 0.0)]):
+                    both = sums.setdefault((host, path), [0, 0])
+                    both[0] += round(1_000 * value)  # whole numbers: sums don't depend on their order
+                    both[1] += 1
+            yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "path", "score", "pages"])
 
     host = split_url(F.col("url"))[0]
-    votes = small_batches(pages).select(host.alias("host"), F.col("html").cast("string").alias("html")).mapInPandas(score, "host string, path string, score double")
-    sums = durable(votes.groupBy("host", "path").agg(F.sum(F.round("score", 3).cast("decimal(28,3)")).alias("score"), F.count("*").alias("pages")), "host-votes")
+    votes = small_batches(pages.select(host.alias("host"), F.col("html").cast("string").alias("html"))).mapInPandas(score, "host string, path string, score long, pages long")
+    sums = durable(votes.groupBy("host", "path").agg(F.sum("score").alias("score"), F.sum("pages").alias("pages")), "host-votes")
     total = sums.where("path IS NULL").select("host", F.col("pages").alias("total"))
-    best = Window.partitionBy("host").orderBy(F.desc("score"), "path")
     voted = sums.where("path IS NOT NULL").join(total, "host").where(F.col("pages") >= SHARE * F.col("total"))
-    return voted.withColumn("n", F.row_number().over(best)).where("n = 1").select("host", "path")
+    return voted.groupBy("host").agg(F.min(F.struct(-F.col("score"), F.col("path"))).alias("best")).select("host", "best.path")
 
 
 def main_text(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """``pages`` (page_id, url, html, ...) -> (page_id, url, text), one row for each input row.
 
     Null and empty html give an empty text. Pages without a host (null or malformed urls) vote together. White space
-    in a block is one space; blocks are joined by two line feeds. Elements may be nested to any depth. Repeated rows each vote and each get a row; other
-    columns are ignored. An empty table gives an empty result.
+    in a block is one space; blocks are joined by two line feeds. Elements may be nested to any depth, pages may be of any length: the time of
+    a page is in proportion to it. Paths with equal scores go by their order as text. Repeated rows each vote and each get a row; other
+    columns are ignored, whatever their names. An empty table gives an empty result.
     """
     winners = durable(host_paths(pages), "host-paths")
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("_host", split_url(F.col("url"))[0])
@@ -249,7 +313,7 @@ def main_text(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataF
             texts = [extract(page or "", path) for page, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return small_batches(joined).mapInArrow(read, "page_id long, url string, text string, n_chars long")
 
 
 def op1_html_text(spark, sf_dir: str) -> DataFrame:
