@@ -147,6 +147,41 @@ def test_toxicity(spark):
     assert toxicity.fit(frame, spark.createDataFrame([], "doc_id long, toxic int")) is None
 
 
+def test_scores_are_those_of_single_windows(spark):
+    """Batches, kept gates and cut long texts against one window at a time."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(400)]
+    model = toxicity.Model([w.encode() for w in words[:50]])
+    model.document = np.array([-1.0, 2.0, 0.5, 1.0, 0.1])
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (0, 1, 5, 63, 64, 65, 113, 500, 48 * 4_000 + 3, 48 * 4_000 + 40, 20)] + [None, "漢字" * 400]
+
+    def alone(text):
+        found = toxicity.pieces_of((text or "").encode())
+        scores = []
+        for s in toxicity.window_starts(len(found)):
+            mine = found[s : s + toxicity.WINDOW]
+            at = np.array([*range(len(mine)), *[-1] * (toxicity.WINDOW - len(mine))])[:, None]
+            scores.append(toxicity._sigmoid(model.run(model.gates(model.inputs(mine)[0] if mine else np.zeros((0, toxicity.WORD_DIM + toxicity.CHAR_DIM), np.float32)), at)[0])[0])
+        return toxicity._sigmoid(np.array(toxicity.document_features(np.array(scores))) @ model.document)
+
+    frame = docs(spark, *enumerate(texts))
+    got = {r.doc_id: r._score for r in toxicity.score_rows(frame.repartition(3), model).collect()}
+    for k, text in enumerate(texts):
+        assert abs(got[k] - alone(text)) < 1e-4, k
+
+
+def test_few_rows_and_repeated_ids_are_learned_alike(spark, monkeypatch):
+    """A labelled id on many rows and one with both labels: bounded, and the same in any order."""
+    monkeypatch.setattr(toxicity, "STEPS", 20)
+    rows = [(k, f"text {k % 5} of many words " * (1 + k % 3)) for k in range(60)] + [(7, f"another text {k}") for k in range(300)]
+    labels = [(k, int(k % 5 == 0)) for k in range(60)] + [(9, 1), (9, 0), (None, 1)]
+    def scores(rows, labels):
+        frame = docs(spark, *rows)
+        model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"), sample_windows=40)
+        return {(r.doc_id, r.text): r._score for r in toxicity.score_rows(frame, model).collect()}
+    assert scores(rows, labels) == scores(rows[::-1], labels[::-1])
+
+
 def test_windows_cover_all_words():
     for n in (0, 1, 63, 64, 65, 200, 1_000):
         starts = toxicity.window_starts(n)
