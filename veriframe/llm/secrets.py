@@ -1,10 +1,15 @@
 """Secret scans: fixed patterns, and formats learned as probabilistic automata.
 
-Grammar inference (the ALERGIA scheme): a bounded sample of credentials, labelled by the pattern that found them, is put into a prefix tree of
-character classes per kind; states whose futures do not differ by a Hoeffding bound are merged and folded until no
-pair is compatible. The automaton gives a string's likelihood under the kind's format; the background is a model of
-classes over the tokens of all texts outside the patterns' matches. Every candidate token of every text is scored, and those whose mean
-log-likelihood ratio passes the kind's threshold (what nearly all its labelled credentials pass) become spans too.
+Grammar inference (the ALERGIA scheme): a bounded sample of credentials is put into a prefix tree of character classes
+per kind; states whose futures do not differ by a Hoeffding bound are merged and folded until no pair is compatible.
+Values of assignments are labelled by the name that they are assigned to, whatever they look like, so that their
+automaton knows formats that no pattern names; access keys and hexadecimal strings are labelled by their patterns.
+
+The automaton gives a string's likelihood under the kind's format. The background is what tokens look like that no
+pattern claims: how often each class follows any two others, summed over all of them in all texts; after two that are
+rare in the corpus it falls back on the classes' own shares, so that a corpus's unclaimed credentials don't become their
+own background. Every candidate token of every text is scored. It becomes a span if its mean log-likelihood is as high as
+that of nearly all credentials kept apart from the automaton, and above the background's by a margin that these pass too.
 """
 
 from __future__ import annotations
@@ -12,12 +17,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.llm.common import durable, slices, small_batches
@@ -30,10 +36,18 @@ LEAST_ASSIGN = 12
 KINDS = ("assign", "access", "hex")
 #: Candidates: tokens of the credentials' alphabet, of the least length of a labelled credential.
 TOKEN, LEAST = re.compile(r"[A-Za-z0-9+/_.=-]{12,}"), 12
-#: Labelled credentials that are learned from at most (by hash), and what a sample string may be long.
-SAMPLE, LONGEST = 2_000, 128
-_ORDINARY = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
-ALPHA, MARGIN = 0.05, 0.75
+#: Labelled credentials that are learned from at most: strings of a kind (by hash), and characters of them all; strings are learned whole.
+SAMPLE, SAMPLE_CHARS = 2_000, 400_000
+#: One labelled string of so many, by hash, is kept from the automaton; the share of those kept that may lie below each threshold; and the least margin over the background, in nats a character.
+KEPT_APART, BELOW, MARGIN = 4, 0.02, 0.5
+#: Share of the corpus's tokens below which two classes count as rare; tokens of the background have 6 characters or more.
+RARE = 0.002
+_ORDINARY = re.compile(r"[0Azf+/_.=-]{6,}")
+ALPHA = 0.05
+_CLASSES = {c: k for chars, k in (("0123456789", "0"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), ("abcdef", "f"), ("ghijklmnopqrstuvwxyz", "z")) for c in chars}
+_TABLE = str.maketrans(_CLASSES)
+#: Classes that can follow: four of letters and digits, the six other characters, and the end.
+SYMBOLS = 11
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -50,7 +64,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def classes(token: str) -> str:
     """A token as classes: a hexadecimal letter, another small letter, a capital, a digit, else itself."""
-    return re.sub(r"[0-9]", "0", re.sub(r"[A-Z]", "A", re.sub(r"[g-z]", "z", re.sub(r"[a-f]", "f", token))))
+    return token.translate(_TABLE)
 
 
 class Automaton:
@@ -130,33 +144,66 @@ class Automaton:
         self.next = [{c: place[child] for c, child in self.next[r].items()} for r in red]
 
     def score(self, word: str) -> float:
-        """Log-likelihood of a string of classes; what was never seen counts as half a sighting, and stays in the state."""
+        """Log-likelihood of a string of classes and its end; what was never seen counts as half a sighting, and stays in the state."""
         state, total = 0, 0.0
         for c in word:
-            n = self.reached[state]
-            total += math.log((self.taken[state][c] or 0.5) / (n + 1)) if n else -6.0
+            total += math.log((self.taken[state][c] or 0.5) / (self.reached[state] + 1))
             state = self.next[state].get(c, state)
-        return total
+        return total + math.log((self.ended[state] or 0.5) / (self.reached[state] + 1))
+
+
+class Background:
+    """How often each class, or the end, follows two others (before the first: two ``^``), drawn towards its own share by RARE of all that was counted."""
+
+    def __init__(self, follows: dict[str, int]) -> None:
+        whole: Counter = Counter()
+        own: Counter = Counter()
+        for three, n in follows.items():
+            whole[three[:2]] += n
+            own[three[2]] += n
+        total = sum(own.values())
+        pull = max(1.0, RARE * total)
+        share = {c: (own[c] + 0.5) / (total + 0.5 * SYMBOLS) for c in "0Azf+/_.=-$"}
+        self.own = {c: math.log(p) for c, p in share.items()}
+        self.after = {two: {c: math.log((follows.get(two + c, 0) + pull * p) / (n + pull)) for c, p in share.items()} for two, n in whole.items()}
+
+    def score(self, word: str) -> float:
+        s = f"^^{word}$"
+        return sum(self.after.get(s[i : i + 2], self.own)[s[i + 2]] for i in range(len(s) - 2))
+
+
+def follows_of(words: Counter) -> Counter:
+    """Of class strings with their numbers: how often each class or end follows each two."""
+    out: Counter = Counter()
+    for word, n in words.items():
+        s = f"^^{word}$"
+        for i in range(len(s) - 2):
+            out[s[i : i + 3]] += n
+    return out
+
+
+def _apart(word: str) -> bool:
+    return zlib.crc32(word.encode()) % KEPT_APART == 0
 
 
 class Formats:
     """Automata by kind with their thresholds, and the background."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: dict[str, int]) -> None:
-        n = sum(ordinary.values())
-        self.back = {c: math.log((k + 1) / (n + 50)) for c, k in ordinary.items()}
-        self.rare = math.log(1 / (n + 50))
-        self.kinds: dict[str, tuple[Automaton, float]] = {}
+    def __init__(self, labelled: dict[str, list[str]], follows: dict[str, int]) -> None:
+        self.back = Background(follows)
+        self.kinds: dict[str, tuple[Automaton, float, float]] = {}
         self.seen: dict[str, str | None] = {}
         for kind, words in sorted(labelled.items()):
-            if len(words) < 5:
-                continue
-            automaton = Automaton([classes(w)[:LONGEST] for w in words])
-            ratios = sorted(self._ratio(automaton, classes(w)) for w in words)
-            self.kinds[kind] = automaton, max(ratios[len(ratios) // 50], MARGIN)
+            learned = [classes(w) for w in words if not _apart(w)] or [classes(w) for w in words]
+            automaton = Automaton(learned)
+            scored = [self._scores(automaton, w) for w in [classes(w) for w in words if _apart(w)] or learned]
+            fit, over = (sorted(x)[int(BELOW * len(scored))] for x in zip(*scored))
+            self.kinds[kind] = automaton, fit, max(over, MARGIN)
 
-    def _ratio(self, automaton: Automaton, word: str) -> float:
-        return (automaton.score(word) - sum(self.back.get(c, self.rare) for c in word)) / len(word)
+    def _scores(self, automaton: Automaton, word: str) -> tuple[float, float]:
+        """Mean log-likelihood under the format, and what it is above the background's."""
+        fit = automaton.score(word) / (len(word) + 1)
+        return fit, fit - self.back.score(word) / (len(word) + 1)
 
     def kind_of(self, token: str) -> str | None:
         """The kind whose format the token fits best, if any passes its threshold."""
@@ -164,85 +211,83 @@ class Formats:
         if word not in self.seen:
             if len(self.seen) > 50_000:
                 self.seen.clear()
-            best = max(((r - t, k) for k, (a, t) in self.kinds.items() if (r := self._ratio(a, word)) >= t), default=(0.0, None))
-            self.seen[word] = best[1]
+            found = [(s[1] - over, k) for k, (a, fit, over) in self.kinds.items() if (s := self._scores(a, word))[0] >= fit and s[1] >= over]
+            self.seen[word] = max(found)[1] if found else None
         return self.seen[word]
 
 
-def _plain(token: str) -> bool:
-    """Tokens that are no candidates: without a digit or without a letter, or of a path or address."""
-    return not (re.search(r"[0-9]", token) and re.search(r"[A-Za-z]", token))
+def free_tokens(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Places of the candidate tokens that no base span overlaps."""
+    at = reach = 0  # base spans that begin before the token's end, and where the last of them ends
+    for m in TOKEN.finditer(text):
+        a, b = m.span()
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= a:
+            yield a, b
 
 
-def ordinary(text: str, spans: list[tuple[int, int, int]]) -> Counter:
-    """How often each class occurs in the tokens of a text outside its base spans."""
+def ordinary(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
+    """The classes of the tokens of a text outside its base spans."""
     out, at = [], 0
     for a, _, b in spans:
         out.append(text[at:a] if a > at else "")
         at = max(at, b)
-    tokens = "".join(t for part in [*out, text[at:]] for t in _ORDINARY.findall(part))
-    count: Counter = Counter()
-    for c, n in Counter(tokens).items():
-        count[classes(c)] += n
-    return count
+    return _ORDINARY.findall(" ".join([*out, text[at:]]).translate(_TABLE))
+
 
+def learn(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Formats:
+    """Formats of a sample of ``docs``' credentials, by hash of the string: of each kind ``sample`` at most and, in that order, as many as
+    have ``sample_chars`` characters together (a longer string is not learned from). The background is summed over the tokens of all texts.
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Formats:
-    """Formats of a sample of ``docs``' credentials, by hash of the string: ``sample`` of each kind at most; the background is summed over all texts."""
+    Null and empty texts have neither. A string counts once, however many rows hold it. Other columns are ignored. A kind without strings has no automaton, so that an empty table learns nothing."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: set[tuple[str, str, int]] = set()
-            back: Counter = Counter()
+            words: Counter = Counter()
             for text in batch.text:
                 if text is None:
                     continue
                 spans = base_spans(text)
-                rows |= {(f"like_{KINDS[k]}", (ASSIGN.match(text, a).group(2) if k == 0 else text[a:b])[:LONGEST], 1) for a, k, b in spans}
-                back.update(ordinary(text, spans))
-            yield pd.DataFrame([*sorted(rows), *(("", c, n) for c, n in sorted(back.items()))], columns=["kind", "word", "n"])
+                rows |= {(f"like_{KINDS[k]}", ASSIGN.match(text, a).group(2) if k == 0 else text[a:b], 1) for a, k, b in spans}
+                words.update(ordinary(text, spans))
+            yield pd.DataFrame([*sorted(rows), *(("", c, n) for c, n in sorted(follows_of(words).items()))], columns=["kind", "word", "n"])
 
     found = small_batches(docs).select(F.col("text").cast("string").alias("text")).mapInPandas(gather, "kind string, word string, n long")
-    distinct = durable(found.groupBy("kind", "word").agg(F.sum("n").alias("n")), "secret-words")  # all credentials, and a row for each class; one pass over the corpus
-    rows = distinct.where("kind = ''")  # the alphabet's classes: ten or so
+    distinct = durable(found.groupBy("kind", "word").agg(F.sum("n").alias("n")), "secret-words")  # all credentials, and a row for each three classes; one pass over the corpus
+    rows = distinct.where("kind = ''")  # fewer than 12 * 12 * 11 rows
     for k in KINDS:
-        rows = rows.unionByName(distinct.where(F.col("kind") == f"like_{k}").orderBy(F.xxhash64("word"), "word").limit(sample))
+        first = distinct.where(F.col("kind") == f"like_{k}").withColumn("h", F.xxhash64("word")).orderBy("h", "word").limit(sample)
+        so_far = F.sum(F.char_length("word")).over(Window.orderBy("h", "word").rowsBetween(Window.unboundedPreceding, 0))  # over ``sample`` rows
+        rows = rows.unionByName(first.withColumn("so_far", so_far).where(F.col("so_far") <= sample_chars).select("kind", "word", "n"))
     by: dict[str, list[str]] = defaultdict(list)
-    back = {}
-    for row in rows.collect():  # 3 * sample short strings and the classes at most
+    follows = {}
+    for row in rows.collect():  # 3 * sample_chars characters and the classes at most
         if row.kind:
             by[row.kind].append(row.word)
         else:
-            back[row.word] = row.n
-    return Formats({k: sorted(v) for k, v in by.items()}, back)
+            follows[row.word] = row.n
+    return Formats({k: sorted(v) for k, v in by.items()}, follows)
 
 
 def all_spans(text: str, formats: Formats) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str]]]:
     """The base spans, and (start, end, kind) of learned ones that no base span overlaps."""
     base = base_spans(text)
-    more = []
-    if formats.kinds:
-        at = reach = 0  # base spans that begin before the token's end, and where the last of them ends
-        for m in TOKEN.finditer(text):
-            a, b = m.span()
-            while at < len(base) and base[at][0] < b:
-                reach = max(reach, base[at][2])
-                at += 1
-            if reach > a:
-                continue
-            if kind := formats.kind_of(m.group()):
-                more.append((a, b, kind))
-    return base, more
+    if not formats.kinds:
+        return base, []
+    return base, [(a, b, kind) for a, b in free_tokens(text, base) if (kind := formats.kind_of(text[a:b]))]
 
 
 def scan(docs: DataFrame, formats: Formats) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> (doc_id, n_assign, n_access, n_hex, base, spans), one row for each input row.
 
     ``base`` and ``spans`` are comma-joined ``kind:start:end`` in code points; learned spans have kinds ``like_<kind>``
-    and come in order of their start among the base ones. Null and empty texts have none. Repeated rows each get a row;
-    other columns are ignored. An empty table gives an empty result.
+    and come in order of their start among the base ones. Null and empty texts have none; very long texts and tokens are read whole. Repeated rows each get a row;
+    other columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(formats)  # bounded by SAMPLE and LONGEST
+    shared = docs.sparkSession.sparkContext.broadcast(formats)  # bounded by SAMPLE_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
