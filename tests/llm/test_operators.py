@@ -117,8 +117,28 @@ def test_exact_dedup(spark):
     assert by[99].group_size == 301 and by[99].kept and sum(r.kept for r in got if r.doc_id and r.doc_id >= 99) == 1
     assert by[1].text_sha256 == hashlib.sha256(b"ab").hexdigest()
     assert exact_dedup.exact_groups(docs(spark)).count() == 0
-    shuffled = exact_dedup.exact_groups(docs(spark, *rows), owner_rows=50, broadcast_ids=1).collect()
+    shuffled = exact_dedup.exact_groups(docs(spark, *rows), owner_rows=50, broadcast_ids=1, run_rows=20).collect()
     assert sorted(map(repr, shuffled)) == sorted(map(repr, got))
+    long = "x y " * 500_000
+    assert sorted((r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs(spark, (1, long), (2, long), (3, long + "z"))).collect()) == [(1, 2), (1, 2), (3, 1)]
+
+
+def test_only_codes_are_exchanged(spark):
+    """Suspects are those of brute force; the runs' rows meet their bitmaps without a shuffle, and codes are much smaller than fingerprints."""
+    rng = random.Random(6)
+    texts = [f"text {rng.randrange(3_000)}" for _ in range(4_000)]
+    frame = docs(spark, *enumerate(texts)).repartition(6)
+    rows, codes = exact_dedup.runs_and_codes(frame, 3, run_rows=300)
+    sent = codes.collect()
+    joined = rows.join(exact_dedup.durable(exact_dedup.bitmaps(codes), "test").hint("merge"), "run")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    left = plan[: plan.index("Sort [run", plan.index("Sort [run") + 5)]
+    assert "SortMergeJoin" in plan and "Exchange" not in left and "Bucketed: true" in left
+    got = joined.collect()
+    bad = {r.doc_id for r in got if r.bits[r.place // 32] >> r.place % 32 & 1}
+    count = {t: texts.count(t) for t in set(texts)}
+    assert len(got) == len(texts) and bad == {k for k, t in enumerate(texts) if count[t] > 1}
+    assert len({r.run for r in sent}) > 6 and len({r.owner for r in sent}) == 3 and sum(r.n for r in sent) > 3_000
 
 
 # 3: toxicity

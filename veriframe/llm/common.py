@@ -37,7 +37,7 @@ def durable(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/veriframe/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, name: str, buckets: int, by: tuple[str, ...], partition_by: tuple[str, ...] = (), placed: bool = False) -> DataFrame:
