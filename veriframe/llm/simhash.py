@@ -45,11 +45,15 @@ def fingerprint(text: bytes) -> int:
     starts = list(accumulate((len(w) + 1 for w in words), initial=0))
     ends = starts[min(SHINGLE, len(words)) :]
     digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes; 0 of none."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 65_536):
-        part = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts[at : min(n, at + 65_536)], ends[at : at + 65_536])], np.dtype("<u8"))
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), 65_536):
+        counts += np.unpackbits(hashes[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -192,25 +196,20 @@ def near_links(nodes: DataFrame) -> DataFrame:
     return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "u long, v long")
 
 
-def join_components(rows: DataFrame, nodes: DataFrame, links: DataFrame, key: str) -> DataFrame:
-    """``rows`` (doc_id, key) with the least ``rep`` of all ``nodes`` (key, rep) that ``links`` (u, v) join to their key."""
-    member = connected_components(links).select(F.col("node").alias(key), "root")
-    low = member.join(nodes, key).groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = nodes.join(member.join(low, "root").drop("root"), key, "left").select(key, F.coalesce("component_id", "rep").alias("component_id"))
-    of = durable(of, "simhash-of")  # both sides of the last join are then plain exchanges, so that a fingerprint of very many rows can be split
-    return rows.join(of, key).select("doc_id", key, "component_id")
-
-
 def simhash_components(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> (doc_id, fp long, component_id): one row for each input row.
 
     Null and blank texts have fingerprint 0 and form one component with whatever lies within two bits of it. Equal
     fingerprints are linked. Repeated rows each get a row; null doc_ids too, and never become a component's id unless
-    no row of it has one. Other columns are ignored. An empty table gives an empty result.
+    no row of it has one. Very long texts are hashed whole. Other columns are ignored. An empty table gives an empty result.
     """
     fps = durable(fingerprints(docs), "simhash")
     nodes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    return join_components(fps, nodes, near_links(nodes), "fp")
+    member = connected_components(near_links(nodes)).select(F.col("node").alias("fp"), "root")
+    low = member.join(nodes, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
+    of = nodes.join(member.join(low, "root").drop("root"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    of = durable(of, "simhash-of")  # both sides of the last join are then plain exchanges, so that a fingerprint of very many rows can be split
+    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
