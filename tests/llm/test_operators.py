@@ -6,7 +6,7 @@ import hashlib
 import random
 import re
 import timeit
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -390,6 +390,22 @@ def test_mix(spark):
         mine = [r for r in first if r.source == s]
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= 60 and sum(r.size for r in mine) == mine[0].source_size
     assert mixing.mix(docs(spark)).count() == 0
+    # Rows without an id are told apart by their texts; only rows that repeat both are numbered. A long text counts whole.
+    odd = [(None, f"w{k} " * 5, "a") for k in range(300)] + [(1, "same text", "a")] * 50 + [(2, "w " * 300_000, "b")]
+    got = mixing.mix(docs(spark, *odd)).collect()
+    assert len(got) == 351 and {r.size for r in got} == {5, 2, 300_000}
+    assert abs(sum(r.taken for r in got if r.source == "a") - next(r.target for r in got if r.source == "a")) <= 5
+
+
+@given(st.lists(st.tuples(st.floats(0.05, 0.95), st.integers(1, 9)), min_size=1, max_size=9))
+@settings(max_examples=100, deadline=None)
+def test_landing_is_near_the_best(rows):
+    """After flight and landing the word total is within the longest row of what it should be, and so is the best of all ways to round."""
+    p, s = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    want = float((p * s).sum())
+    landed = mixing.land(mixing.flight(p, s), s)
+    best = min(abs(sum(x for x, take in zip(s, way) if take) - want) for way in product((0, 1), repeat=len(s)))
+    assert set(landed) <= {0.0, 1.0} and best - 1e-9 <= abs(float((landed * s).sum()) - want) <= s.max() + 1e-9
 
 
 def test_flight_keeps_totals():

@@ -16,14 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import durable, text_or_empty, word_count
+from veriframe.llm.common import durable, maybe_broadcast, text_or_empty, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 #: Rows of a block on average; fractional rows of all sources that may be landed at once, a group each.
 BLOCK = 5_000
-#: Sources whose totals may come to the driver.
+#: Sources whose totals may come to the driver; more are refused.
 MAX_SOURCES = 100_000
+#: Keys of repeated rows that are broadcast at most; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 _EPS = 1e-9
 
 
@@ -109,11 +111,11 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = WEIGHT
 
     ``size`` is the number of words (null text: 0), ``taken`` is copies * size with 0, 1 or 2 copies. Nothing is random: rows are taken
     longest first, then by a hash of doc_id, within blocks set by another hash, so reruns agree. Documents without words and sources
-    without words get no copies and a target of 0. Rows that repeat a doc_id and text count each; equal rows may swap their copies. Other columns are
-    ignored. An empty table gives an empty result.
+    without words get no copies and a target of 0. Rows that repeat a doc_id and text count each; equal rows may swap their copies. Very long texts
+    are counted whole. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size"), *([F.struct(*keep).alias("_row")] if keep else []))
-    wide = wide.withColumn("key", F.xxhash64("doc_id", "size"))
+    text = text_or_empty()
+    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64("doc_id", text).alias("key"), *([F.struct(*keep).alias("_row")] if keep else []))
     rows = durable(wide.drop("_row"), "mix-sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
@@ -149,7 +151,7 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = WEIGHT
     for more in settled[1:]:
         chosen = chosen.unionByName(more)
     picked = chosen.where("prob >= 1").groupBy("source", "key").agg(F.count("*").alias("extra"))
-    repeated = known.groupBy("source", "key").count().where("count > 1").select(F.col("source").alias("_s"), F.col("key").alias("_k"))
+    repeated = known.where("size > 0").groupBy("source", "key").count().where("count > 1").select(F.col("source").alias("_s"), F.col("key").alias("_k"))
     picks = picked.select(F.col("source").alias("_s"), F.col("key").alias("_k"), "extra")
     picks = picks.hint("merge") if keep else picks  # texts are joined the same way at every size
     out = planned(wide if keep else rows).join(picks, (F.col("key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "_k")
@@ -157,15 +159,18 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = WEIGHT
 
 
 def _share(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``copies`` of each row: its whole part, and one more for as many rows of a key as were picked."""
-    base = F.col("whole").cast("long")
-    extra = F.coalesce("extra", F.lit(0))
+    """``copies`` of each row: its whole part, and one more for as many rows of a key as were picked. Only rows of keys that repeat are numbered for that."""
+    base, extra = F.col("whole").cast("long"), F.coalesce("extra", F.lit(0)).cast("long")
+    alone = rows.withColumn("copies", F.when(F.col("size") > 0, base + extra).otherwise(0).cast("long"))
     if repeated.isEmpty():
-        return rows.withColumn("copies", F.when(F.col("size") > 0, base + extra).otherwise(0).cast("long"))
+        return alone
     from pyspark.sql import Window
 
+    repeated = maybe_broadcast(repeated, BROADCAST_KEYS)
+    known = (F.col("key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s"))
     turn = F.row_number().over(Window.partitionBy("source", "key").orderBy("doc_id"))
-    return rows.withColumn("_turn", turn).withColumn("copies", F.when(F.col("size") > 0, base + (F.col("_turn") <= extra).cast("long")).otherwise(0).cast("long")).drop("_turn")
+    several = rows.join(repeated, known, "left_semi").withColumn("_turn", turn).withColumn("copies", base + (F.col("_turn") <= extra).cast("long")).drop("_turn")
+    return alone.join(repeated, known, "left_anti").unionByName(several)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
