@@ -28,6 +28,10 @@ def plan_of(df) -> str:
 def test_registry(spark):
     assert len(TABLES) == 27 and len(REFERENCES) == 21
     assert all(r.passed for r in quality.schema_gate(spark).collect())
+    t = seed(spark)
+    assert {r.table_name: (r.n_missing, r.n_rows, r.passed) for r in quality.tables_gate(t, {"risks": ["id", "owner"], "changes": ["id", "absent"]}).collect()} == {"risks": (0, 1, True), "changes": (1, 1, False)}
+    wrong = {"risks": t["risks"].withColumn("last_review_date_ns", t["risks"]["last_review_date_ns"].cast("int"))}
+    assert [(r.n_unknown, r.n_ns, r.passed) for r in quality.record_columns_gate(t | wrong, ["risks", "incidents"]).collect()] == [(1, 0, False), (0, 1, True)]
 
 
 def test_plans_push_down(spark):

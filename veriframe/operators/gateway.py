@@ -65,3 +65,24 @@ def select_providers(tasks: DataFrame) -> DataFrame:
     for task, name in PROVIDERS.items():
         provider = F.when(F.col("task") == task, name).otherwise(provider)
     return tasks.withColumn("provider", provider).withColumn("known", F.col("provider").isNotNull())
+
+
+#: Fixed value: the provider that a failed call goes on to, once.
+FALLBACK_PROVIDER = "openrouter_fallback"
+
+
+def cascade(calls: DataFrame) -> DataFrame:
+    """``calls`` (provider, outcome, fallback_outcome, ...) with ``answered_by``, ``degraded`` and ``failure_reason``.
+
+    Outcomes are ``ok``, ``missing_key``, ``timeout`` or ``http_`` and a status. A missing key, a timeout, 429 and 5xx go on to the
+    fallback, once, unless it was the provider; every other failure (another status, an unknown outcome, null) is degraded at
+    once, and so is a call without a provider. Nothing raises.
+    """
+    first, second = F.coalesce("outcome", F.lit("unknown")), F.coalesce("fallback_outcome", F.lit("unknown"))
+    status = F.try_to_number(F.regexp_extract(first, r"^http_(\d{3})$", 1), F.lit("999"))
+    goes_on = (first.isin("missing_key", "timeout") | F.coalesce((status == 429) | (status >= 500), F.lit(False))) & (F.col("provider") != FALLBACK_PROVIDER)
+    reason = F.concat(first, F.lit(":"), "provider")
+    answered = F.when((first == "ok") & F.col("provider").isNotNull(), F.col("provider")).when(goes_on & (second == "ok"), FALLBACK_PROVIDER)
+    why = F.when(F.col("provider").isNull(), "unknown_task").when(goes_on, F.concat(reason, F.lit(";"), second, F.lit(f":{FALLBACK_PROVIDER}"))).otherwise(reason)
+    done = calls.withColumn("answered_by", answered)
+    return done.withColumn("degraded", F.col("answered_by").isNull()).withColumn("failure_reason", F.when(F.col("answered_by").isNull(), why))

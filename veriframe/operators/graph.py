@@ -32,23 +32,24 @@ def evidence_edges(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where("source_id IS NOT NULL AND target_id IS NOT NULL").distinct()
 
 
-def reach(edges: DataFrame, sources: DataFrame, max_hops: int = 50) -> DataFrame:
-    """``sources`` (source) -> (source, node, hop): all nodes reachable from each, itself included, with the least number of hops.
+def reach(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """``sources`` (source) -> (source, node, hop): all nodes reachable from each within ``max_hops`` hops (null: any number), itself included, with the least number of hops.
 
     Breadth first: each round joins only the newest nodes to the edges and leaves out those seen; rounds are written to
-    the shared folder. Cycles end, sources that no edge has give no rows, and paths beyond ``max_hops`` raise.
+    the shared folder. Cycles end, since a node is new once; sources that no edge has give no rows.
     """
     links = checkpointed(edges.select("source_id", "target_id").distinct())  # read again in every round
     ends = links.select(F.col("source_id").alias("source")).unionByName(links.select(F.col("target_id").alias("source")))
     front = checkpointed(sources.select("source").distinct().join(ends, "source", "left_semi").select("source", F.col("source").alias("node"), F.lit(0).alias("hop")))
-    seen = front
-    for hop in range(1, max_hops + 2):
+    seen, hop = front, 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         new = front.join(links, front["node"] == links["source_id"]).select("source", F.col("target_id").alias("node")).distinct()
         front = checkpointed(new.join(seen, ["source", "node"], "left_anti").withColumn("hop", F.lit(hop)))
         if front.isEmpty():
-            return seen
+            break
         seen = seen.unionByName(front)
-    raise RuntimeError(f"a path is longer than {max_hops} hops")
+    return seen
 
 
 def node_type() -> F.Column:

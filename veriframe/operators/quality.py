@@ -18,8 +18,32 @@ NS_COLUMNS = [("gxp_systems", "last_backup_test_ns"), ("risks", "last_review_dat
 LEAST_NS = 10**18
 
 
+def tables_gate(t: Tables, needed: Mapping[str, list[str]]) -> DataFrame:
+    """(table_name, n_columns, n_missing, n_times, n_rows, passed) of the tables given: their columns, those of ``needed`` that they lack, those that hold times, and their rows."""
+
+    def one(name: str) -> DataFrame:
+        fields = t[name].schema.fields
+        missing = set(needed[name]) - {f.name for f in fields}
+        times = sum(f.dataType.typeName().startswith("timestamp") or f.name.endswith("_ns") for f in fields)
+        rows = t[name].agg(F.count("*").alias("n_rows"))
+        return rows.select(F.lit(name).alias("table_name"), F.lit(len(fields)).alias("n_columns"), F.lit(len(missing)).alias("n_missing"), F.lit(times).alias("n_times"), "n_rows", F.lit(not missing).alias("passed"))
+
+    return reduce(DataFrame.unionByName, (one(name) for name in needed))
+
+
+def record_columns_gate(t: Tables, names: list[str]) -> DataFrame:
+    """(table_name, n_unknown, n_ns, passed) of record tables: columns that the registry has with another type, and its ``_ns`` columns that are present as longs."""
+    rows = []
+    for name in names:
+        known = {f.name: f.dataType for f in T._parse_datatype_string(TABLES[name]).fields}
+        own = t[name].schema
+        wrong = sum(f.name in known and f.dataType != known[f.name] for f in own.fields)
+        rows.append((name, wrong, sum(f.name.endswith("_ns") and f.dataType == T.LongType() for f in own.fields), wrong == 0))
+    return t[names[0]].sparkSession.createDataFrame(rows, "table_name string, n_unknown int, n_ns int, passed boolean")
+
+
 def schema_gate(spark: SparkSession) -> DataFrame:
-    """(gate, expected, actual, passed) of the registry."""
+    """(gate, expected, actual, passed) of the registry itself."""
     columns = [(t, f) for t, ddl in TABLES.items() for f in T._parse_datatype_string(ddl).fields]
     actual = {"tables": len(TABLES), "references": len(REFERENCES), "ns_columns": sum(f.name.endswith("_ns") and f.dataType == T.LongType() for _, f in columns)}
     return spark.createDataFrame([(k, v, actual[k], actual[k] == v) for k, v in EXPECTED.items()], "gate string, expected int, actual int, passed boolean")

@@ -111,9 +111,13 @@ def parent_context(hits: DataFrame, all_chunks: DataFrame) -> DataFrame:
     return hits.join(context, ["doc_id", "chunk_index"])
 
 
-def provenance(fused: DataFrame) -> DataFrame:
-    """The evidence record of each fused hit."""
-    return fused.select(
+def provenance(fused: DataFrame, edges: DataFrame, violations: DataFrame) -> DataFrame:
+    """The evidence record of each fused hit (a top-k list): where it was found, the edge of the evidence graph that leads from its document (the first by target), and the rules that the document breaks."""
+    hits = fused.select(
         F.concat_ws("#", "doc_id", "chunk_index").alias("evidence_id"), F.col("doc_id").alias("document_id"), F.col("chunk_index").alias("chunk_id"), "retrieval_method", "dense_score", "bm25_score",
         F.lit(None).cast("double").alias("reranker_score"), F.concat(F.lit("DOC-"), "doc_id").alias("parent_section"),
     )
+    wanted = F.broadcast(hits.select("parent_section").distinct())  # a top-k list
+    paths = edges.join(wanted, edges["source_id"] == wanted["parent_section"]).groupBy("parent_section").agg(F.min("target_id").alias("_to")).select("parent_section", F.concat("parent_section", F.lit(" > "), "_to").alias("graph_path"))
+    rules = violations.join(wanted, violations["record_id"] == wanted["parent_section"]).groupBy("parent_section").agg(F.sort_array(F.collect_set("rule_id")).alias("regulatory_citations"))
+    return hits.join(paths, "parent_section", "left").join(rules, "parent_section", "left").withColumn("regulatory_citations", F.coalesce("regulatory_citations", F.array().cast("array<string>")))

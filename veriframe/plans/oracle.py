@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from veriframe.plans.catalogue import NEEDED
+
 _P = 1755648000000000000
 _D = 86400000000000
 
@@ -96,9 +98,22 @@ kinds(prefix, node_type) AS (VALUES ('URS', 'REQUIREMENT'), ('TC', 'TEST_CASE'),
 typed AS (SELECT r.*, coalesce(node_type, 'OTHER') AS node_type FROM reached r LEFT JOIN kinds ON prefix = split_part(node, '-', 1))
 """
 
-_FK = [
-    ("documents", "docs", "system_id", "gxp_systems"), ("requirements", "requirements", "system_id", "gxp_systems"), ("risks", "risks", "system_id", "gxp_systems"), ("incidents", "incidents", "system_id", "gxp_systems"),
-    ("changes", "changes", "system_id", "gxp_systems"), ("requirements", "requirements", "test_case_id", "test_cases"), ("change_actions", "change_actions", "change_id", "changes"),
+_SYS = "gxp_systems"
+#: (child, its rows, column, parent's rows, parent, key): all references of the registry.
+_FK = [(t, "docs" if t == "documents" else t, "system_id", _SYS, _SYS, "id") for t in ("documents", "requirements", "risks")] + [
+    ("design_elements", "(SELECT 'SYS-' || n_nationkey AS system_id FROM nation)", "system_id", _SYS, _SYS, "id"),
+    ("test_cases", "(SELECT 'SYS-' || (s_suppkey % 25) AS system_id FROM supplier)", "system_id", _SYS, _SYS, "id"),
+    *[(t, t, "system_id", _SYS, _SYS, "id") for t in ("incidents", "access_reviews", "access_records", "suppliers", "periodic_evaluations", "changes")],
+    ("findings", "(SELECT 'SYS-' || (o_custkey % 26) AS system_id FROM orders WHERE o_orderstatus = 'F')", "system_id", _SYS, _SYS, "id"),
+    ("graph_nodes", "(SELECT system_id FROM requirements UNION ALL SELECT 'SYS-' || (s_suppkey % 25) FROM supplier UNION ALL SELECT system_id FROM risks UNION ALL SELECT system_id FROM incidents UNION ALL SELECT system_id FROM docs)", "system_id", _SYS, _SYS, "id"),
+    ("document_chunks", "(SELECT 'DOC-' || (doc_id * 2) AS document_id FROM labels)", "document_id", "docs", "documents", "id"),
+    ("test_results", "(SELECT 'TC-' || (l_suppkey + 2) AS test_case_id FROM lineitem)", "test_case_id", "test_cases", "test_cases", "id"),
+    ("supplier_assessments", "(SELECT 'SUP-' || (p_partkey % 120) AS supplier_id FROM part)", "supplier_id", "suppliers", "suppliers", "id"),
+    ("change_actions", "change_actions", "change_id", "changes", "changes", "id"),
+    ("evidence_refs", "(SELECT 'F-' || o_orderkey AS finding_id FROM orders)", "finding_id", "(SELECT 'F-' || o_orderkey AS id FROM orders WHERE o_orderstatus = 'F')", "findings", "id"),
+    *[("graph_edges", f"(SELECT {c} AS {k} FROM requirements)", k, "(SELECT id AS node_id FROM requirements UNION ALL SELECT id FROM test_cases UNION ALL SELECT id FROM risks UNION ALL SELECT id FROM incidents UNION ALL SELECT id FROM docs)", "graph_nodes", "node_id")
+      for k, c in (("source_id", "id"), ("target_id", "test_case_id"))],
+    ("sessions", "(SELECT 'U-' || user_id AS user_id FROM events)", "user_id", "(SELECT 'U-' || c_custkey AS id FROM customer)", "users", "id"),
 ]
 _NS = [("gxp_systems", "last_backup_test_ns"), ("risks", "last_review_date_ns"), ("incidents", "opened_date_ns"), ("access_reviews", "scheduled_date_ns"), ("suppliers", "reassessment_due_date_ns"), ("periodic_evaluations", "due_date_ns")]
 _DIMENSIONS = [("0.25", ["docs"], ["v1"]), ("0.20", ["access_reviews", "access_records"], ["v2", "v9"]), ("0.20", ["risks"], ["v3"]), ("0.15", ["incidents"], ["v4"]), ("0.12", ["changes"], ["v10"]), ("0.08", ["requirements"], ["v5"])]
@@ -128,8 +143,21 @@ _SELECTS = {f"policy_p{n:02d}": f"SELECT * FROM v{n}" for n in range(1, 11)} | {
     "routed_findings": "SELECT system_id, agent, finding_id FROM f WHERE CASE WHEN system_id < 'SYS-2' THEN agent IN ('A2', 'A3') ELSE agent = 'A4' END",
     "confidence_ladder": "SELECT n_true, corroborated, score, CASE WHEN score > 80 THEN 'HIGH' WHEN score >= 50 THEN 'MEDIUM' WHEN score > 0 THEN 'LOW' ELSE 'INSUFFICIENT_EVIDENCE' END AS confidence FROM "
     "(SELECT n::INT AS n_true, c AS corroborated, (100 - (9 - n) * 10 - CASE WHEN c THEN 0 ELSE 100 END)::INT AS score FROM range(10) t(n), (VALUES (true), (false)) b(c))",
-    "dq_schema": "SELECT * FROM (VALUES ('tables', 27, 27, true), ('references', 21, 21, true), ('ns_columns', 8, 8, true)) t(gate, expected, actual, passed)",
-    "dq_fk_orphans": " UNION ALL ".join(f"SELECT '{child}' AS child, '{column}' AS column_name, '{parent}' AS parent, (SELECT count(*) FROM {t} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT id FROM {parent})) AS n_orphans" for child, t, column, parent in _FK),
+    "dq_schema": "SELECT *, n_missing = 0 AS passed FROM (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, (SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS n_columns, {len(cols)} - (SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}' AND column_name IN ({', '.join(repr(c) for c in cols)})) AS n_missing, "
+        f"(SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}' AND (data_type LIKE 'TIMESTAMP%' OR ends_with(column_name, '_ns'))) AS n_times, (SELECT count(*) FROM {t}) AS n_rows" for t, cols in NEEDED.items()) + ")",
+    "dq_fk_orphans": " UNION ALL ".join(f"SELECT '{child}' AS child, '{column}' AS column_name, '{parent}' AS parent, (SELECT count(*) FROM {rows} r WHERE r.{column} IS NOT NULL AND r.{column} NOT IN (SELECT {key} FROM {of})) AS n_orphans" for child, rows, column, of, parent, key in _FK),
+    "reach_bounded": "SELECT * FROM reached WHERE hop <= 1",
+    "source_status": "SELECT 'documents' AS table_name, true AS source_available, count(*) AS n_rows FROM documents UNION ALL SELECT 'users', true, count(*) FROM customer UNION ALL SELECT 'agent_messages', false, 0",
+    "policy_outage": "SELECT * FROM v WHERE false",
+    "verify_outage": "SELECT finding_id, system_id, 'INSUFFICIENT_EVIDENCE' AS confidence, false AS db_record_found, false AS opa_corroborated FROM f",
+    "golden_seed": "SELECT * FROM (VALUES ('ANNEX11-S4-DOC-001', 'GXP-MFG-DEMO-01', 'DOC-2026-OM-99'), ('ANNEX11-S12-ACC-001', 'GXP-MFG-DEMO-01', 'AR-2026-05'), ('ICH-Q9-RSK-001', 'GXP-MFG-DEMO-01', 'RSK-2024-11'), "
+    "('ANNEX11-S13-INC-001', 'GXP-MFG-DEMO-01', 'INC-849201'), ('ANNEX11-S4-TRC-001', 'GXP-MFG-DEMO-01', 'URS-042'), ('ANNEX11-S3-SUP-001', 'GXP-MFG-DEMO-01', 'SUP-2026-01'), ('ANNEX11-S11-PE-001', 'GXP-MFG-DEMO-01', 'PE-2024-01'), "
+    "('ANNEX11-S16-BCK-001', 'GXP-MFG-DEMO-01', 'GXP-MFG-DEMO-01'), ('ANNEX11-S16-BCK-001', 'BUS-IT-DEMO-02', 'BUS-IT-DEMO-02'), ('ANNEX11-S12-ACC-002', 'GXP-MFG-DEMO-01', 'ACC-2026-99'), ('ANNEX11-S10-CHG-001', 'GXP-MFG-DEMO-01', 'CR-2026-089')) t(rule_id, system_id, record_id)",
+    "provider_cascade": "SELECT task, answered_by, answered_by = '' AS degraded, CASE WHEN answered_by <> '' THEN '' WHEN p IS NULL THEN 'unknown_task' WHEN o IN ('missing_key', 'timeout', 'http_429', 'http_503') THEN o || ':' || p || ';' || s || ':openrouter_fallback' ELSE o || ':' || p END AS failure_reason, count(*) AS n_calls FROM "
+    "(SELECT task, p, o, s, CASE WHEN p IS NULL THEN '' WHEN o = 'ok' THEN p WHEN o IN ('missing_key', 'timeout', 'http_429', 'http_503') AND s = 'ok' THEN 'openrouter_fallback' ELSE '' END AS answered_by FROM "
+    "(SELECT task, CASE WHEN task IN ('knowledge', 'compliance', 'change') THEN 'gemini_flash_fast' WHEN task = 'incident' THEN 'groq_llama' END AS p, (['ok', 'missing_key', 'timeout', 'http_429', 'http_503', 'http_404', 'reset'])[event_id % 7 + 1] AS o, (['ok', 'ok', 'timeout', 'missing_key', 'http_500'])[event_id % 5 + 1] AS s FROM "
+    "(SELECT event_id, CASE event_type WHEN 'view' THEN 'knowledge' WHEN 'click' THEN 'compliance' WHEN 'purchase' THEN 'change' WHEN 'signup' THEN 'unlisted' WHEN 'error' THEN 'incident' END AS task FROM events))) GROUP BY ALL",
     "dq_ns_guard": " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{column}' AS column_name, count({column}) AS n_values, count(*) FILTER (WHERE {column} < 1000000000000000000) AS n_below, n_below = 0 AS passed FROM {t}" for t, column in _NS),
     "dq_assertions": "SELECT 'system 0' AS label, 'NATION_0' AS expected, name AS actual, name = 'NATION_0' AS passed FROM gxp_systems WHERE id = 'SYS-0' UNION ALL "
     "SELECT 'supplier 1', 'APPROVED', status, status = 'APPROVED' FROM suppliers WHERE id = 'SUP-1' UNION ALL SELECT 'absent', 'APPROVED', NULL, false",
@@ -147,7 +175,8 @@ _SELECTS = {f"policy_p{n:02d}": f"SELECT * FROM v{n}" for n in range(1, 11)} | {
     "dense_topk": "SELECT id, round(score, 6) AS score FROM similar_ WHERE same ORDER BY similar_.score DESC, id LIMIT 5",
     "bm25_topk": "SELECT doc_id, chunk_index, round(score, 6) AS score FROM sparse WHERE r <= 5",
     "rrf_fusion": "SELECT doc_id, chunk_index, retrieval_method, round(score, 6) AS score, round(dense_score, 6) AS dense_score, round(bm25_score, 6) AS bm25_score FROM fused",
-    "provenance": "SELECT doc_id || '#' || chunk_index AS evidence_id, doc_id AS document_id, chunk_index AS chunk_id, retrieval_method, 'DOC-' || doc_id AS parent_section FROM fused",
+    "provenance": "SELECT doc_id || '#' || chunk_index AS evidence_id, doc_id AS document_id, chunk_index AS chunk_id, retrieval_method, round(coalesce(dense_score, -1), 6) AS dense_score, round(coalesce(bm25_score, -1), 6) AS bm25_score, -1.0 AS reranker_score, 'DOC-' || doc_id AS parent_section, "
+    "coalesce((SELECT 'DOC-' || doc_id || ' > ' || min(target_id) FROM edges WHERE source_id = 'DOC-' || doc_id), '') AS graph_path, coalesce((SELECT string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) FROM v WHERE record_id = 'DOC-' || doc_id), '') AS regulatory_citations FROM fused",
     "parent_context": "SELECT s.doc_id, s.chunk_index, coalesce(b.content, '') AS before, c.content, coalesce(a.content, '') AS after FROM sparse s JOIN chunks c USING (doc_id, chunk_index) LEFT JOIN chunks b ON b.doc_id = s.doc_id AND b.chunk_index = s.chunk_index - 1 "
     "LEFT JOIN chunks a ON a.doc_id = s.doc_id AND a.chunk_index = s.chunk_index + 1 WHERE r <= 5",
     "graph_edges": "SELECT * FROM edges",

@@ -6,6 +6,10 @@ event tables are shifted so that one clock, NOW_NS, serves all tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,22 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name])
 
 
+def read_source(spark: SparkSession, name: str, read: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """What ``read`` gives and True; the record table without rows and False (``source_available``) where its source can't be read."""
+    try:
+        rows = read()
+        rows.schema  # fails here where the source is absent
+        return rows, True
+    except AnalysisException:
+        return empty(spark, name), False
+
+
+def source_status(spark: SparkSession, sources: Mapping[str, tuple[DataFrame, bool]]) -> DataFrame:
+    """(table_name, source_available, n_rows) of sources as from read_source."""
+    parts = [rows.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), F.lit(known).alias("source_available"), "n_rows") for name, (rows, known) in sources.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def rows_of(spark: SparkSession, name: str, rows: list[dict]) -> DataFrame:
     """A record table of literal rows; columns that a row leaves out are null."""
     frame = empty(spark, name)
@@ -127,6 +147,48 @@ class Records:
             "concat('CA-', l_orderkey, '-', l_linenumber) AS id", "concat('CR-', l_orderkey) AS change_id", "CASE l_linestatus WHEN 'O' THEN 'OPEN' WHEN 'F' THEN 'CLOSED' END AS status", "l_partkey"
         )
 
+    @property
+    def design_elements(self) -> DataFrame:
+        return self._read("nation").selectExpr("concat('DE-', n_nationkey) AS id", "concat('SYS-', n_nationkey) AS system_id", "n_name AS description")
+
+    @property
+    def test_results(self) -> DataFrame:
+        return self._read("lineitem").selectExpr("concat('TR-', l_orderkey, '-', l_linenumber) AS id", "concat('TC-', l_suppkey + 2) AS test_case_id")
+
+    @property
+    def supplier_assessments(self) -> DataFrame:
+        return self._read("part").selectExpr("concat('SA-', p_partkey) AS id", "concat('SUP-', p_partkey % 120) AS supplier_id")
+
+    @property
+    def document_chunks(self) -> DataFrame:
+        """A chunk for each labelled document and for some that aren't there."""
+        return self._read("labels").selectExpr("concat('CH-', doc_id) AS chunk_id", "concat('DOC-', doc_id * 2) AS document_id")
+
+    @property
+    def findings(self) -> DataFrame:
+        return self._read("orders").where("o_orderstatus = 'F'").selectExpr("concat('F-', o_orderkey) AS id", "concat('SYS-', o_custkey % 26) AS system_id")
+
+    @property
+    def evidence_refs(self) -> DataFrame:
+        return self._read("orders").selectExpr("concat('ER-', o_orderkey) AS id", "concat('F-', o_orderkey) AS finding_id")
+
+    @property
+    def graph_nodes(self) -> DataFrame:
+        parts = [self[t].select(F.col("id").alias("node_id"), "system_id") for t in ("requirements", "test_cases", "risks", "incidents", "documents")]
+        return reduce(DataFrame.unionByName, parts)
+
+    @property
+    def graph_edges(self) -> DataFrame:
+        return self.requirements.selectExpr("id AS source_id", "test_case_id AS target_id", "'VERIFIED_BY' AS relation_type")
+
+    @property
+    def users(self) -> DataFrame:
+        return self._read("customer").selectExpr("concat('U-', c_custkey) AS id", "c_name AS username")
+
+    @property
+    def sessions(self) -> DataFrame:
+        return self._read("events").selectExpr("concat('S-', event_id) AS id", "concat('U-', user_id) AS user_id")
+
     @property
     def action_proposals(self) -> DataFrame:
         kind = "CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'PROHIBITED' WHEN '2' THEN 'GXP_RELEVANT_WRITE' WHEN '3' THEN 'MOCK_WRITE_LOW_RISK' WHEN '4' THEN 'DRAFT' WHEN '5' THEN 'READ' END"
