@@ -84,9 +84,44 @@ def test_chain(spark):
     swapped = built.withColumn("ts", F.when(F.col("event_id") == 3, F.lit(datetime(2024, 1, 1, 0, 4, 30)).cast("timestamp_ntz")).otherwise(F.col("ts")))
     assert verdict(swapped)[1][:2] == ("TAMPERED", 3)
     assert audit.build_chains(spark.createDataFrame([], LOG_SCHEMA)).count() == 0
+    assert verdict(built.limit(0)) == {}
     built.unpersist()
 
 
+def test_long_chain_is_verified_in_parts(spark):
+    """A chain cut into several parts, against a walk over it; rows at every place overwritten, deleted, or with a stored hash that is null."""
+    log = [(1, datetime(2024, 1, 1, 0, k), k, str(k)) for k in range(40)] + [(None, datetime(2024, 1, 1), 50, "x"), (2, datetime(2024, 1, 1), 60, None)]
+    built = [tuple(r) for r in audit.build_chains(spark.createDataFrame(log, LOG_SCHEMA)).collect()]
+    schema = LOG_SCHEMA + ", previous_event_hash string, event_hash string"
+
+    def walk(rows):
+        out = {}
+        for chain in {r[0] for r in rows}:
+            last, bad, mine = audit.GENESIS, None, sorted((r for r in rows if r[0] == chain), key=lambda r: r[1:3])
+            for i, (_, _, event, text, before, own) in enumerate(mine):
+                if bad is None and (before != last or own != hashlib.sha256((last + (text or "")).encode()).hexdigest()):
+                    bad = (i, event)
+                last = own or audit.GENESIS
+            out[chain] = ("TAMPERED", *bad, None) if bad else ("VERIFIED", None, None, len(mine))
+        return out
+
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        cases = [built]
+        for k in (0, 9, 10, 11, 20, 21, 30, 39):
+            of = next(r for r in built if r[2] == k)
+            rest = [r for r in built if r is not of]
+            cases += [[*rest, (*of[:3], "other", *of[4:])], rest, [*rest, (*of[:5], None)], [*rest, (*of[:4], None, of[5])]]
+        rows = [(r[0] and r[0] + 10 * i, *r[1:]) for i, case in enumerate(cases) for r in case if i == 0 or r[0]]
+        assert {r.chain: tuple(r)[1:] for r in audit.verify_chains(spark.createDataFrame(rows, schema)).collect()} == walk(rows)
+        assert {r.chain: tuple(r)[1:] for r in audit.verify_chains(spark.createDataFrame(built, schema)).collect()} == walk(built)
+        ranges = spark.createDataFrame(built, schema).repartitionByRange("chain", "ts", "event_id").where("chain = 1")
+        assert ranges.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset(key)
+
+
 def test_reach(spark):
     edge = lambda *e: spark.createDataFrame([(a, b, "R") for a, b in e], "source_id string, target_id string, relation_type string")
     start = spark.createDataFrame([("a",), ("missing",)], "source string")
