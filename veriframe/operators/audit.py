@@ -48,7 +48,7 @@ def verify_chains(chained: DataFrame) -> DataFrame:
     """
     own = F.col("event_hash").eqNullSafe(F.sha2(F.concat("previous_event_hash", F.coalesce("canonical", F.lit(""))), 256))
     links = checkpointed(chained.select("chain", "ts", "event_id", "previous_event_hash", "event_hash", own.alias("_own")))
-    dealt = checkpointed(links.repartitionByRange("chain", "ts", "event_id").withColumn("_part", F.spark_partition_id()))
+    dealt = links.repartitionByRange("chain", "ts", "event_id").withColumn("_part", F.spark_partition_id())
     w = Window.partitionBy("chain", "_part").orderBy("ts", "event_id")
     rows = dealt.withColumn("_i", F.row_number().over(w) - 1).withColumn("_before", F.lag("event_hash").over(w))
     follows = (F.col("_i") == 0) | F.col("previous_event_hash").eqNullSafe(F.col("_before"))
