@@ -39,13 +39,15 @@ def injected(text: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters, in bits; 0 for null and empty. No row leaves its place: characters are sorted, and the lengths of runs are the counts."""
+    """Shannon entropy of the characters, in bits; 0 for null and empty. No row leaves its place: one fold over the sorted characters sums k log2 k over the lengths k of their runs."""
     n = F.char_length(text)
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-    begins = F.filter(F.sequence(F.lit(1), F.size(chars)), lambda i: (i == 1) | (F.get(chars, i - 1) != F.get(chars, i - 2)))
-    ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(chars) + 1))
-    bits = F.aggregate(F.zip_with(begins, ends, lambda a, b: (b - a) / n), F.lit(0.0), lambda s, p: s - p * F.log2(p))
-    return F.when(n > 0, bits).otherwise(0.0)
+    weight = lambda k: F.when(k > 0, k * F.log2(k)).otherwise(0.0)
+    state = lambda last, run, total: F.struct(last.alias("last"), run.alias("run"), total.alias("total"))
+    start = state(F.lit("").cast("string"), F.lit(0.0), F.lit(0.0))
+    step = lambda s, c: F.when(c == s["last"], state(c, s["run"] + 1.0, s["total"])).otherwise(state(c, F.lit(1.0), s["total"] + weight(s["run"])))
+    # The sort stands outside the fold's functions, so that it runs once a text.
+    total = F.aggregate(F.sort_array(F.filter(F.split(text, ""), lambda c: c != "")), start, step, lambda s: s["total"] + weight(s["run"]))
+    return F.when(n > 0, F.greatest(F.log2(n) - total / n, F.lit(0.0)) + 0.0).otherwise(0.0)
 
 
 def canonical_json(**fields: Column) -> Column:

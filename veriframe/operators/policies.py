@@ -29,7 +29,18 @@ RULES = [
     ("ANNEX11-S10-CHG-001", "HIGH", "Change closed but linked actions remain open"),
 ]
 #: The table that holds each rule's evidence.
-EVIDENCE = dict(zip((r[0] for r in RULES), "documents access_reviews risks incidents requirements suppliers periodic_evaluations gxp_systems access_records changes".split()))
+EVIDENCE = {
+    "ANNEX11-S4-DOC-001": "documents",
+    "ANNEX11-S12-ACC-001": "access_reviews",
+    "ICH-Q9-RSK-001": "risks",
+    "ANNEX11-S13-INC-001": "incidents",
+    "ANNEX11-S4-TRC-001": "requirements",
+    "ANNEX11-S3-SUP-001": "suppliers",
+    "ANNEX11-S11-PE-001": "periodic_evaluations",
+    "ANNEX11-S16-BCK-001": "gxp_systems",
+    "ANNEX11-S12-ACC-002": "access_records",
+    "ANNEX11-S10-CHG-001": "changes",
+}
 
 Tables = Mapping[str, DataFrame]
 
