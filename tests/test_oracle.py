@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -22,7 +23,7 @@ def db():
 
 
 def rows(frame) -> list[tuple]:
-    plain = lambda x: "" if x is None or x != x else str(round(float(x), 5)) if isinstance(x, float) or hasattr(x, "dtype") and x.dtype.kind in "fiu" else str(float(x)) if isinstance(x, int) and not isinstance(x, bool) else str(x)
+    plain = lambda x: "" if x is None or x is pd.NA or x != x else str(round(float(x), 5)) if isinstance(x, float) or hasattr(x, "dtype") and x.dtype.kind in "fiu" else str(float(x)) if isinstance(x, int) and not isinstance(x, bool) else str(x)
     return sorted(tuple(plain(x) for x in r) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 
 
