@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions.expressions import confidence, confidence_score, entropy, injected, true_count
 from veriframe.functions.runtime import checkpointed
-from veriframe.operators import audit, checks, gateway, graph, package, policies, quality, readiness, retrieval, verify
+from veriframe.operators import audit, checks, duties, gateway, graph, machines, package, policies, quality, readiness, recurrence, retrieval, verify
 from veriframe.sources import records
 from veriframe.sources.policy_input import INPUT_TABLES, PolicyInputs, to_json_documents
 from veriframe.sources.records import NOW_NS, Records, table
@@ -288,6 +288,22 @@ def risk_rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readiness.risk_score(rows, {"HIGH": 3, "MEDIUM": 2, "LOW": 1}, {"FREQUENT": 3, "OCCASIONAL": 2, "RARE": 1})
 
 
+def recurring_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents of a system and severity that recur."""
+    return recurrence.recurring(Records(spark, sf_dir).incidents.select("system_id", F.col("severity").alias("kind"), F.col("opened_date_ns").alias("at_ns")))
+
+
+def duty_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duties.duty_conflicts(Records(spark, sf_dir).access_grants)
+
+
+def machine_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten machines over all records; events of a high value were tampered with."""
+    t = Records(spark, sf_dir)
+    chains = audit.verify_chains(audit.tamper(audit.build_chains(t.audit_log), F.col("value") > 370))
+    return machines.fold_machines(machines.verification_steps(t, NOW_NS, table(spark, sf_dir, "conversations"), chains))
+
+
 def _over(f: Callable[..., DataFrame]) -> Query:
     """A query of an operator that takes the record tables and the clock."""
     return lambda spark, sf_dir: f(Records(spark, sf_dir), NOW_NS)
@@ -298,7 +314,7 @@ def queries() -> dict[str, Query]:
     own = (
         policy_from_json, violations_json, audit_package, findings_all, verify_findings, error_findings, routed_findings, confidence_ladder, check_d4, dq_assertions, dq_insert_if_absent, upsert_latest, merge_last_write, chain_build, chain_verify_clean,
         chain_verify_tampered, chunk_documents, dense_topk, bm25_topk, rrf_fusion, provenance, parent_context, injection_regex, entropy_score, route_validate, provider_selection, authorized_requests, risk_rubric,
-        reach_bounded, dq_schema, source_status, policy_outage, verify_outage, golden_seed, provider_cascade,
+        reach_bounded, dq_schema, source_status, policy_outage, verify_outage, golden_seed, provider_cascade, recurring_incidents, duty_conflicts, machine_states,
     )
     return (
         {f"policy_{rule.__name__}": _over(rule) for rule in policies.BUNDLE}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from veriframe.operators.duties import CONFLICTS, PERMISSIONS
 from veriframe.plans.catalogue import NEEDED
 
 _P = 1755648000000000000
@@ -95,6 +96,23 @@ edges AS (SELECT id AS source_id, test_case_id AS target_id, 'VERIFIED_BY' AS re
 walk AS (SELECT record_id AS source, record_id AS node, 0 AS hop FROM v10 WHERE record_id IN (SELECT source_id FROM edges) UNION SELECT source, target_id, hop + 1 FROM walk JOIN edges ON node = source_id),
 reached AS (SELECT source, node, min(hop) AS hop FROM walk GROUP BY ALL),
 kinds(prefix, node_type) AS (VALUES ('URS', 'REQUIREMENT'), ('TC', 'TEST_CASE'), ('CR', 'CHANGE'), ('DE', 'DESIGN_ELEMENT'), ('SYS', 'SYSTEM'), ('INC', 'INCIDENT'), ('RSK', 'RISK'), ('DOC', 'DOCUMENT'), ('AR', 'ACCESS_REVIEW'), ('ACC', 'ACCESS_RECORD')),
+grants AS (SELECT 'U-' || o_custkey AS user_id, 'SYS-' || c_nationkey AS system_id, ({PERMISSIONS})[3 * (o_orderpriority[1]::INT - 1) + CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END + 1] AS permission FROM oc),
+proposals AS (SELECT 'AP-' || o_orderkey AS id, 'U-' || o_custkey AS user_id, CASE o_orderpriority[1] WHEN '1' THEN 'bad' WHEN '2' THEN 'bad' WHEN '3' THEN 'doubt' WHEN '4' THEN 'ok' WHEN '5' THEN 'ok' END AS symbol FROM orders),
+steps AS (SELECT 'documentation' AS machine, system_id AS subject, NULL::BIGINT AS ns, id AS tie, CASE WHEN id IN (SELECT record_id FROM v1) THEN 'bad' WHEN status = 'APPROVED' THEN 'ok' ELSE 'doubt' END AS symbol FROM docs
+  UNION ALL SELECT 'traceability', r.system_id, NULL, r.id, CASE WHEN t.status = 'DRAFT' THEN 'bad' WHEN t.id IS NOT NULL THEN 'ok' ELSE 'doubt' END FROM requirements r LEFT JOIN test_cases t ON t.id = r.test_case_id
+  UNION ALL SELECT 'risk', system_id, last_review_date_ns, id, CASE WHEN id IN (SELECT record_id FROM v3) THEN 'bad' ELSE 'ok' END FROM risks
+  UNION ALL SELECT 'change_impact', system_id, NULL, id, CASE WHEN id IN (SELECT record_id FROM v10) THEN 'bad' WHEN status = 'CLOSED' THEN 'ok' ELSE 'doubt' END FROM changes
+  UNION ALL SELECT 'incident', system_id, opened_date_ns, id, CASE WHEN id IN (SELECT record_id FROM v4) THEN 'bad' WHEN rca_started OR status = 'CLOSED' THEN 'ok' ELSE 'doubt' END FROM incidents
+  UNION ALL SELECT 'access_control', system_id, scheduled_date_ns, id, CASE WHEN id IN (SELECT record_id FROM v2) THEN 'bad' WHEN status <> 'PENDING' THEN 'ok' ELSE 'doubt' END FROM access_reviews
+  UNION ALL SELECT 'access_control', system_id, {_P}, id, CASE WHEN id IN (SELECT record_id FROM v9) THEN 'bad' WHEN user_status = 'ACTIVE' THEN 'ok' ELSE 'doubt' END FROM access_records
+  UNION ALL SELECT 'evidence', 'SYS-' || (doc_id * 2 % 25), NULL, 'CH-' || doc_id, CASE WHEN 'DOC-' || (doc_id * 2) IN (SELECT id FROM docs) THEN 'ok' ELSE 'bad' END FROM labels
+  UNION ALL SELECT 'policy_gateway', 'CONV-' || conv_id, turn, sha256(coalesce(text, '')), CASE WHEN regexp_matches(coalesce(text, ''), '(?i)(ignore previous instructions|override system prompt|disregard rules)') THEN 'bad' WHEN coalesce(text, '') <> '' THEN 'ok' ELSE 'doubt' END FROM conversations
+  UNION ALL SELECT 'action_authorization', user_id, NULL, id, symbol FROM proposals
+  UNION ALL SELECT 'hash_chain', 'CHAIN-' || chain, NULL, NULL, CASE WHEN max(value) > 370 THEN 'bad' ELSE 'ok' END FROM log GROUP BY chain),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY machine, subject ORDER BY ns NULLS FIRST, tie NULLS FIRST) AS n FROM steps),
+machine AS (SELECT machine, subject, 0::BIGINT AS n, 'START' AS state FROM (SELECT DISTINCT machine, subject FROM steps)
+  UNION ALL SELECT m.machine, m.subject, s.n, CASE WHEN s.symbol = 'bad' THEN CASE WHEN m.state IN ('VIOLATION', 'REPEATED') THEN 'REPEATED' ELSE 'VIOLATION' END WHEN m.state IN ('VIOLATION', 'REPEATED') THEN 'VIOLATION'
+    WHEN s.symbol = 'doubt' OR m.state = 'DOUBTFUL' AND m.machine = 'action_authorization' THEN 'DOUBTFUL' ELSE 'VERIFIED' END FROM machine m JOIN numbered s ON s.machine = m.machine AND s.subject = m.subject AND s.n = m.n + 1),
 typed AS (SELECT r.*, coalesce(node_type, 'OTHER') AS node_type FROM reached r LEFT JOIN kinds ON prefix = split_part(node, '-', 1))
 """
 
@@ -204,6 +222,10 @@ _SELECTS = {f"policy_p{n:02d}": f"SELECT * FROM v{n}" for n in range(1, 11)} | {
     "capa_candidates": "SELECT rule_id, system_id, record_id, severity, '2025-09-19' AS due_date FROM v WHERE severity IN ('HIGH', 'CRITICAL')",
     "risk_rubric": "SELECT 'RSK-' || p_partkey AS id, CASE WHEN p_size > 35 THEN 'HIGH' WHEN p_size > 15 THEN 'MEDIUM' ELSE 'LOW' END AS severity, CASE WHEN p_retailprice > 1500 THEN 'FREQUENT' WHEN p_retailprice > 1000 THEN 'OCCASIONAL' ELSE 'RARE' END AS probability, "
     "(CASE WHEN p_size > 35 THEN 3 WHEN p_size > 15 THEN 2 ELSE 1 END) * (CASE WHEN p_retailprice > 1500 THEN 3 WHEN p_retailprice > 1000 THEN 2 ELSE 1 END) AS risk_score FROM part",
+    "recurring_incidents": "SELECT system_id, kind, session, min(ns) AS start_ns, max(ns) AS end_ns, count(*) AS n_incidents FROM (SELECT system_id, kind, ns, (sum(is_new) OVER (PARTITION BY system_id, kind ORDER BY ns))::BIGINT AS session FROM "
+    "(SELECT system_id, severity AS kind, opened_date_ns AS ns, (coalesce(opened_date_ns - lag(opened_date_ns) OVER (PARTITION BY system_id, severity ORDER BY opened_date_ns) > 7200000000000, false))::INT AS is_new FROM incidents)) GROUP BY ALL HAVING count(*) >= 3",
+    "duty_conflicts": f"SELECT DISTINCT a.user_id, a.system_id, c.conflict_id, c.first, c.second FROM grants a JOIN grants b USING (user_id, system_id) JOIN (VALUES {', '.join(map(str, CONFLICTS))}) c(conflict_id, first, second) ON a.permission = c.first AND b.permission = c.second",
+    "machine_states": "SELECT machine, subject, state, CASE state WHEN 'VERIFIED' THEN 'VERIFIED' WHEN 'VIOLATION' THEN 'VIOLATION' WHEN 'REPEATED' THEN 'VIOLATION' ELSE 'INSUFFICIENT EVIDENCE' END AS outcome, n AS n_records FROM machine QUALIFY row_number() OVER (PARTITION BY machine, subject ORDER BY n DESC) = 1",
 }
 
 

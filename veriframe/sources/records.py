@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriframe.functions.clock import NS_PER_DAY, epoch_ns
+from veriframe.operators.duties import PERMISSIONS
 from veriframe.sources.schemas import TABLES
 
 #: The clock of all queries: 2025-08-20 00:00 UTC; what orders (from 2001-06-01) and events (from 2024-01-20) are shifted by.
@@ -192,7 +193,15 @@ class Records:
     @property
     def action_proposals(self) -> DataFrame:
         kind = "CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'PROHIBITED' WHEN '2' THEN 'GXP_RELEVANT_WRITE' WHEN '3' THEN 'MOCK_WRITE_LOW_RISK' WHEN '4' THEN 'DRAFT' WHEN '5' THEN 'READ' END"
-        return self._read("orders").selectExpr("concat('AP-', o_orderkey) AS id", f"{kind} AS action_type")
+        return self._read("orders").selectExpr("concat('AP-', o_orderkey) AS id", f"{kind} AS action_type", "concat('U-', o_custkey) AS user_id")
+
+    @property
+    def access_grants(self) -> DataFrame:
+        """Permissions that users were given in systems: an order is a grant to its customer, by its priority and status."""
+        number = "3 * (cast(substring(o_orderpriority, 1, 1) AS int) - 1) + CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END"
+        customers = self._read("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+        names = ", ".join(f"'{p}'" for p in PERMISSIONS)
+        return self._read("orders").select("o_custkey", "o_orderpriority", "o_orderstatus").join(customers, "o_custkey").selectExpr("concat('U-', o_custkey) AS user_id", "concat('SYS-', c_nationkey) AS system_id", f"get(array({names}), {number}) AS permission")
 
     @property
     def audit_log(self) -> DataFrame:
