@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from veriframe.operators import duties, machines, policies, recurrence
+from veriframe.operators import duties, impact, machines, policies, recurrence
 from veriframe.sources.records import NOW_NS, Records
 
 SF = "/root/testdata/sf0.001"
@@ -111,3 +111,51 @@ def test_machines_agree_with_the_rules(spark):
     assert of("hash_chain") == {"CHAIN-1": "VERIFIED", "CHAIN-2": "VIOLATION"}
     assert of("policy_gateway") == {"CONV-1": "VIOLATION", "CONV-2": "VERIFIED", "CONV-3": "INSUFFICIENT EVIDENCE"}
     assert {r.machine for r in got} == set(machines.MACHINES)
+
+
+# Downstream impact
+
+
+def plain_impact(edges):
+    out = defaultdict(set)
+    for u, v in edges:
+        if u and v:
+            out[u].add(v)
+
+    def below(n):
+        seen, todo = set(), [n]
+        while todo:
+            for v in out.get(todo.pop(), ()):
+                if v not in seen:
+                    seen.add(v)
+                    todo.append(v)
+        return seen - {n}
+
+    total = {n: len(below(n)) for n in {x for e in edges for x in e if x}}
+    kind = lambda d, *prefixes: sum(x.split("-")[0] in prefixes for x in d)
+    rows = []
+    for n in out:
+        if d := below(n):
+            top = min(d, key=lambda x: (-total[x], x))
+            rows.append((n, kind(d, "URS"), kind(d, "TC"), kind(d, "RSK"), kind(d, "CR"), kind(d, "TC", "ACC"), len(d), top, total[top]))
+    return sorted(rows)
+
+
+GRAPHS = {
+    "diamonds": [("CR-1", "URS-1"), ("CR-1", "URS-2"), ("URS-1", "TC-1"), ("URS-2", "TC-1"), ("TC-1", "ACC-1"), ("CR-2", "CR-1")],
+    "cycles": [("CR-1", "URS-1"), ("URS-1", "TC-1"), ("TC-1", "CR-1"), ("TC-1", "ACC-9"), ("ACC-9", "ACC-8"), ("ACC-8", "ACC-9"), ("RSK-1", "RSK-1"), ("INC-1", "CR-1"), ("ACC-9", "SYS-1")],
+    "none": [],
+    "loops only": [("CR-1", "CR-1")],
+    "no ends": [("CR-1", None), (None, "URS-1"), ("CR-1", "URS-1"), ("CR-1", "URS-1")],
+}
+
+
+@pytest.mark.parametrize("name", [*GRAPHS, "random"])
+def test_downstream_impact(spark, name):
+    rng = random.Random(6)
+    edges = GRAPHS.get(name)
+    if edges is None:
+        nodes = [f"{k}-{i}" for k in ("CR", "URS", "TC", "RSK", "ACC", "X") for i in range(25)]
+        edges = [tuple(rng.sample(nodes, 2)) for _ in range(170)]
+    got = impact.downstream_impact(spark.createDataFrame(edges, "source_id string, target_id string"))
+    assert sorted(tuple(r)[:9] for r in got.collect()) == plain_impact(edges)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions.expressions import confidence, confidence_score, entropy, injected, true_count
 from veriframe.functions.runtime import checkpointed
-from veriframe.operators import audit, checks, duties, gateway, graph, machines, package, policies, quality, readiness, recurrence, retrieval, verify
+from veriframe.operators import audit, checks, duties, gateway, graph, impact, machines, package, policies, quality, readiness, recurrence, retrieval, verify
 from veriframe.sources import records
 from veriframe.sources.policy_input import INPUT_TABLES, PolicyInputs, to_json_documents
 from veriframe.sources.records import NOW_NS, Records, table
@@ -329,6 +329,7 @@ def queries() -> dict[str, Query]:
             "graph_edges": lambda s, d: graph.evidence_edges(Records(s, d)),
             "reach_from": _reached,
             "blast_radius": lambda s, d: graph.blast_radius(_reached(s, d)),
+            "downstream_impact": lambda s, d: impact.downstream_impact(graph.evidence_edges(Records(s, d))),
             "impact_by_type": lambda s, d: graph.impact_by_type(_reached(s, d)),
             "rbac_matrix": lambda s, d: gateway.rbac_matrix(s),
             "action_routing": lambda s, d: gateway.route_actions(Records(s, d).action_proposals),

@@ -97,6 +97,8 @@ walk AS (SELECT record_id AS source, record_id AS node, 0 AS hop FROM v10 WHERE
 reached AS (SELECT source, node, min(hop) AS hop FROM walk GROUP BY ALL),
 kinds(prefix, node_type) AS (VALUES ('URS', 'REQUIREMENT'), ('TC', 'TEST_CASE'), ('CR', 'CHANGE'), ('DE', 'DESIGN_ELEMENT'), ('SYS', 'SYSTEM'), ('INC', 'INCIDENT'), ('RSK', 'RISK'), ('DOC', 'DOCUMENT'), ('AR', 'ACCESS_REVIEW'), ('ACC', 'ACCESS_RECORD')),
 grants AS (SELECT 'U-' || o_custkey AS user_id, 'SYS-' || c_nationkey AS system_id, ({PERMISSIONS})[3 * (o_orderpriority[1]::INT - 1) + CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END + 1] AS permission FROM oc),
+below AS (SELECT source_id AS source, target_id AS node FROM edges UNION SELECT source, target_id FROM below JOIN edges ON node = source_id),
+impacts AS (SELECT source, count(*) AS n_total FROM below WHERE source <> node GROUP BY source),
 proposals AS (SELECT 'AP-' || o_orderkey AS id, 'U-' || o_custkey AS user_id, CASE o_orderpriority[1] WHEN '1' THEN 'bad' WHEN '2' THEN 'bad' WHEN '3' THEN 'doubt' WHEN '4' THEN 'ok' WHEN '5' THEN 'ok' END AS symbol FROM orders),
 steps AS (SELECT 'documentation' AS machine, system_id AS subject, NULL::BIGINT AS ns, id AS tie, CASE WHEN id IN (SELECT record_id FROM v1) THEN 'bad' WHEN status = 'APPROVED' THEN 'ok' ELSE 'doubt' END AS symbol FROM docs
   UNION ALL SELECT 'traceability', r.system_id, NULL, r.id, CASE WHEN t.status = 'DRAFT' THEN 'bad' WHEN t.id IS NOT NULL THEN 'ok' ELSE 'doubt' END FROM requirements r LEFT JOIN test_cases t ON t.id = r.test_case_id
@@ -226,6 +228,9 @@ _SELECTS = {f"policy_p{n:02d}": f"SELECT * FROM v{n}" for n in range(1, 11)} | {
     "(SELECT system_id, severity AS kind, opened_date_ns AS ns, (coalesce(opened_date_ns - lag(opened_date_ns) OVER (PARTITION BY system_id, severity ORDER BY opened_date_ns) > 7200000000000, false))::INT AS is_new FROM incidents)) GROUP BY ALL HAVING count(*) >= 3",
     "duty_conflicts": f"SELECT DISTINCT a.user_id, a.system_id, c.conflict_id, c.first, c.second FROM grants a JOIN grants b USING (user_id, system_id) JOIN (VALUES {', '.join(map(str, CONFLICTS))}) c(conflict_id, first, second) ON a.permission = c.first AND b.permission = c.second",
     "machine_states": "SELECT machine, subject, state, CASE state WHEN 'VERIFIED' THEN 'VERIFIED' WHEN 'VIOLATION' THEN 'VIOLATION' WHEN 'REPEATED' THEN 'VIOLATION' ELSE 'INSUFFICIENT EVIDENCE' END AS outcome, n AS n_records FROM machine QUALIFY row_number() OVER (PARTITION BY machine, subject ORDER BY n DESC) = 1",
+    "downstream_impact": "SELECT source, count(*) FILTER (WHERE prefix = 'URS') AS n_requirements, count(*) FILTER (WHERE prefix = 'TC') AS n_tests, count(*) FILTER (WHERE prefix = 'RSK') AS n_risks, count(*) FILTER (WHERE prefix = 'CR') AS n_changes, "
+    "count(*) FILTER (WHERE prefix IN ('TC', 'ACC')) AS n_controls, count(*) AS n_total, first(node ORDER BY n DESC, node) AS top_dependency, max(n) AS top_impact, CASE WHEN count(*) >= 10 THEN 'HIGH' WHEN count(*) >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS impact "
+    "FROM (SELECT b.source, node, split_part(node, '-', 1) AS prefix, coalesce(i.n_total, 0) AS n FROM below b LEFT JOIN impacts i ON i.source = b.node WHERE b.source <> node) GROUP BY source",
 }
 
 
