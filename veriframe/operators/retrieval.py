@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.functions.expressions import true_count
+from veriframe.operators.reconcile import event_sequence, reconcile
 
 #: Characters of a chunk and of its overlap.
 CHUNK, OVERLAP = 512, 64
@@ -33,16 +34,25 @@ def alcoa_prescore(documents: DataFrame) -> DataFrame:
     )
 
 
-def alcoa_extended(documents: DataFrame, systems: DataFrame) -> DataFrame:
-    """(id, n_true, outcome), own definition of the nine dimensions: VERIFIED if all hold, else FAIL, or INSUFFICIENT under five."""
+def alcoa_extended(documents: DataFrame, systems: DataFrame, source: DataFrame, archive: DataFrame, events: DataFrame) -> DataFrame:
+    """(id, n_true, failed, outcome), own definition of the nine dimensions: VERIFIED if all hold, else FAIL, or INSUFFICIENT under five; ``failed`` names those that don't.
+
+    Accurate: the size on record is that of ``source`` (id, n_chars). Enduring: ``archive`` (id) holds it. Consistent: its system is known and its ``events``
+    (subject, seq, at) are in order; contemporaneous: dated, as all of them are.
+    """
     known = systems.select(F.col("id").alias("system_id"), F.lit(True).alias("_known"))
-    rows = documents.join(known, "system_id", "left")
+    wrong = reconcile(documents, source, "id", ["n_chars"]).where("outcome <> 'extra'").select("id", F.lit(True).alias("_wrong"))
+    lost = reconcile(documents, archive, "id", []).where("outcome = 'lost'").select("id", F.lit(True).alias("_lost"))
+    order = event_sequence(events).select(F.col("subject").alias("id"), "n_undated", "n_out_of_order")
+    rows = documents.join(known, "system_id", "left").join(wrong, "id", "left").join(lost, "id", "left").join(order, "id", "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
     flags = {
-        "attributable": F.coalesce("author", F.lit("")) != "", "legible": F.col("doc_type").isNotNull(), "contemporaneous": F.col("created_date").isNotNull(), "original": ~F.coalesce("is_copy", F.lit(False)),
-        "accurate": F.coalesce(F.col("status").isin("APPROVED", "DRAFT"), F.lit(False)), "complete": F.col("author").isNotNull() & F.col("status").isNotNull(),
-        "consistent": F.coalesce("_known", F.lit(False)), "enduring": F.lit(True), "available": F.col("id").isNotNull(),
+        "attributable": F.coalesce("author", F.lit("")) != "", "legible": F.col("doc_type").isNotNull(), "contemporaneous": F.col("created_date").isNotNull() & none("n_undated"), "original": ~F.coalesce("is_copy", F.lit(False)),
+        "accurate": F.col("_wrong").isNull(), "complete": F.col("author").isNotNull() & F.col("status").isNotNull(),
+        "consistent": F.coalesce("_known", F.lit(False)) & none("n_out_of_order"), "enduring": F.col("_lost").isNull(), "available": F.col("id").isNotNull(),
     }
-    scored = rows.select("id", true_count(F.create_map(*[x for k, v in flags.items() for x in (F.lit(k), v)])).alias("n_true"))
+    failed = F.array_compact(F.array(*[F.when(~v, F.lit(k)) for k, v in flags.items()]))
+    scored = rows.select("id", true_count(F.create_map(*[x for k, v in flags.items() for x in (F.lit(k), v)])).alias("n_true"), F.array_join(failed, ",").alias("failed"))
     return scored.withColumn("outcome", F.when(F.col("n_true") == 9, "VERIFIED").when(F.col("n_true") >= 5, "FAIL").otherwise("INSUFFICIENT"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions.expressions import confidence, confidence_score, entropy, injected, true_count
 from veriframe.functions.runtime import checkpointed
-from veriframe.operators import audit, checks, duties, gateway, graph, impact, machines, package, policies, quality, readiness, recurrence, retrieval, verify
+from veriframe.operators import audit, checks, duties, gateway, graph, impact, machines, package, policies, quality, readiness, reconcile, recurrence, retrieval, verify
 from veriframe.sources import records
 from veriframe.sources.policy_input import INPUT_TABLES, PolicyInputs, to_json_documents
 from veriframe.sources.records import NOW_NS, Records, table
@@ -304,6 +304,25 @@ def machine_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.fold_machines(machines.verification_steps(t, NOW_NS, table(spark, sf_dir, "conversations"), chains))
 
 
+def _dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Records(spark, sf_dir)
+    return retrieval.alcoa_extended(t.documents, t.gxp_systems, t.document_source, t.document_archive, t.document_events)
+
+
+def source_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against the archive: what it lost, and what differs in size where the archive has it as half a text."""
+    t = Records(spark, sf_dir)
+    held = t.document_source.join(t.document_archive, "id", "left_semi")
+    cut = held.withColumn("n_chars", F.when(F.col("n_chars") % 10 == 0, F.floor(F.col("n_chars") / 2)).otherwise(F.col("n_chars")))
+    return reconcile.reconcile(t.documents, cut, "id", ["n_chars"])
+
+
+def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as a sequence: their dates against their numbers."""
+    orders = table(spark, sf_dir, "orders").select(F.expr("concat('U-', o_custkey)").alias("subject"), F.col("o_orderkey").alias("seq"), F.col("o_orderdate").alias("at"))
+    return reconcile.event_sequence(orders)
+
+
 def _over(f: Callable[..., DataFrame]) -> Query:
     """A query of an operator that takes the record tables and the clock."""
     return lambda spark, sf_dir: f(Records(spark, sf_dir), NOW_NS)
@@ -314,7 +333,7 @@ def queries() -> dict[str, Query]:
     own = (
         policy_from_json, violations_json, audit_package, findings_all, verify_findings, error_findings, routed_findings, confidence_ladder, check_d4, dq_assertions, dq_insert_if_absent, upsert_latest, merge_last_write, chain_build, chain_verify_clean,
         chain_verify_tampered, chunk_documents, dense_topk, bm25_topk, rrf_fusion, provenance, parent_context, injection_regex, entropy_score, route_validate, provider_selection, authorized_requests, risk_rubric,
-        reach_bounded, dq_schema, source_status, policy_outage, verify_outage, golden_seed, provider_cascade, recurring_incidents, duty_conflicts, machine_states,
+        reach_bounded, dq_schema, source_status, policy_outage, verify_outage, golden_seed, provider_cascade, recurring_incidents, duty_conflicts, machine_states, source_reconciliation, event_order,
     )
     return (
         {f"policy_{rule.__name__}": _over(rule) for rule in policies.BUNDLE}
@@ -325,7 +344,7 @@ def queries() -> dict[str, Query]:
             "dq_fk_orphans": lambda s, d: quality.orphans(Records(s, d), REFERENCES),
             "dq_ns_guard": lambda s, d: quality.ns_guard(Records(s, d)),
             "alcoa_prescore": lambda s, d: retrieval.alcoa_prescore(Records(s, d).documents),
-            "alcoa_extended": lambda s, d: retrieval.alcoa_extended(Records(s, d).documents, Records(s, d).gxp_systems),
+            "alcoa_extended": _dimensions,
             "graph_edges": lambda s, d: graph.evidence_edges(Records(s, d)),
             "reach_from": _reached,
             "blast_radius": lambda s, d: graph.blast_radius(_reached(s, d)),

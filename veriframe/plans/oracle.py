@@ -12,7 +12,7 @@ _TABLES = f"""
 gxp_systems AS (SELECT 'SYS-' || n_nationkey AS id, n_name AS name, {_P} - 31 * n_nationkey::BIGINT * {_D} AS last_backup_test_ns FROM nation),
 docs AS (SELECT 'DOC-' || d.doc_id AS id, 'SYS-' || (d.doc_id % 25) AS system_id,
   CASE WHEN n % 4 = 0 THEN 'O&M' WHEN n % 4 = 1 THEN 'URS' ELSE 'SOP' END AS doc_type,
-  CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE lang END AS author, CASE WHEN quality IS NOT NULL THEN 1 END AS created_date, n_chars < 500 AS is_copy,
+  CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE lang END AS author, CASE WHEN quality IS NOT NULL THEN 1 END AS created_date, n_chars < 500 AS is_copy, d.doc_id, n_chars, n_chars = length(text) AS accurate,
   CASE quality WHEN 1 THEN 'APPROVED' WHEN 0 THEN 'DRAFT' END AS status
   FROM (SELECT *, try_cast(substring(source, 4) AS INT) AS n FROM documents) d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 oc AS (SELECT o.*, c_nationkey FROM orders o JOIN customer c ON o_custkey = c_custkey),
@@ -190,8 +190,12 @@ _SELECTS = {f"policy_p{n:02d}": f"SELECT * FROM v{n}" for n in range(1, 11)} | {
     "FROM (SELECT chain, min(i) FILTER (WHERE value > 370) AS bad, arg_min(event_id, i) FILTER (WHERE value > 370) AS bad_id, count(*) AS n FROM log GROUP BY chain)",
     "chunk_documents": "SELECT doc_id, chunk_index, md5(content) AS content_md5, length(content) AS n_chars FROM chunks",
     "alcoa_prescore": "SELECT id, coalesce(author, '') <> '' AS attributable, created_date IS NOT NULL AS contemporaneous, NOT coalesce(is_copy, false) AS original FROM docs",
-    "alcoa_extended": "SELECT id, n AS n_true, CASE WHEN n = 9 THEN 'VERIFIED' WHEN n >= 5 THEN 'FAIL' ELSE 'INSUFFICIENT' END AS outcome FROM (SELECT id, (coalesce(author, '') <> '')::INT + (doc_type IS NOT NULL)::INT + (created_date IS NOT NULL)::INT "
-    "+ (NOT coalesce(is_copy, false))::INT + coalesce(status IN ('APPROVED', 'DRAFT'), false)::INT + (author IS NOT NULL AND status IS NOT NULL)::INT + (system_id IN (SELECT id FROM gxp_systems))::INT + 1 + (id IS NOT NULL)::INT AS n FROM docs)",
+    "alcoa_extended": "SELECT id, 9 - len(bad) AS n_true, array_to_string(bad, ',') AS failed, CASE WHEN len(bad) = 0 THEN 'VERIFIED' WHEN len(bad) <= 4 THEN 'FAIL' ELSE 'INSUFFICIENT' END AS outcome FROM (SELECT id, list_filter([CASE WHEN coalesce(author, '') = '' THEN 'attributable' END, "
+    "CASE WHEN doc_type IS NULL THEN 'legible' END, CASE WHEN created_date IS NULL OR doc_id IN (SELECT user_id FROM events WHERE ts IS NULL) THEN 'contemporaneous' END, CASE WHEN is_copy THEN 'original' END, CASE WHEN NOT accurate THEN 'accurate' END, CASE WHEN author IS NULL OR status IS NULL THEN 'complete' END, "
+    "CASE WHEN system_id NOT IN (SELECT id FROM gxp_systems) OR doc_id IN (SELECT user_id FROM (SELECT user_id, ts < lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS late FROM events) WHERE late) THEN 'consistent' END, "
+    "CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN 'enduring' END], lambda x: x IS NOT NULL) AS bad FROM docs)",
+    "source_reconciliation": "SELECT id, CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN 'lost' ELSE 'changed' END AS outcome FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM labels) OR n_chars % 10 = 0 AND n_chars > 0",
+    "event_order": "SELECT 'U-' || o_custkey AS subject, count(*) AS n_events, count(*) FILTER (WHERE o_orderdate IS NULL) AS n_undated, count(*) FILTER (WHERE late) AS n_out_of_order FROM (SELECT *, o_orderdate < lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS late FROM orders) GROUP BY o_custkey",
     "dense_topk": "SELECT id, round(score, 6) AS score FROM similar_ WHERE same ORDER BY similar_.score DESC, id LIMIT 5",
     "bm25_topk": "SELECT doc_id, chunk_index, round(score, 6) AS score FROM sparse WHERE r <= 5",
     "rrf_fusion": "SELECT doc_id, chunk_index, retrieval_method, round(score, 6) AS score, round(dense_score, 6) AS dense_score, round(bm25_score, 6) AS bm25_score FROM fused",

@@ -81,9 +81,24 @@ class Records:
             "concat('DOC-', doc_id) AS id", "concat('SYS-', doc_id % 25) AS system_id",
             f"CASE WHEN {number} % 4 = 0 THEN 'O&M' WHEN {number} % 4 = 1 THEN 'URS' ELSE 'SOP' END AS doc_type",
             "CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS author", "CASE WHEN quality IS NOT NULL THEN timestamp_ntz'2024-01-01 00:00:00' END AS created_date",
-            "n_chars < 500 AS is_copy", "CASE quality WHEN 1 THEN 'APPROVED' WHEN 0 THEN 'DRAFT' END AS status", "doc_id",
+            "n_chars < 500 AS is_copy", "CASE quality WHEN 1 THEN 'APPROVED' WHEN 0 THEN 'DRAFT' END AS status", "doc_id", "n_chars",
         )
 
+    @property
+    def document_source(self) -> DataFrame:
+        """What the documents' own texts say of them."""
+        return self._read("documents").select(F.expr("concat('DOC-', doc_id)").alias("id"), F.char_length("text").cast("long").alias("n_chars"))
+
+    @property
+    def document_archive(self) -> DataFrame:
+        """The documents under retention: those that were labelled."""
+        return self._read("labels").select(F.expr("concat('DOC-', doc_id)").alias("id"))
+
+    @property
+    def document_events(self) -> DataFrame:
+        """Events of documents, numbered as they were recorded: a user's events are those of the document of that number."""
+        return self._read("events").select(F.expr("concat('DOC-', user_id)").alias("subject"), F.col("event_id").alias("seq"), epoch_ns("ts").alias("at"))
+
     @property
     def _orders(self) -> DataFrame:
         customers = self._read("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
