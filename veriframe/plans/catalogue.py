@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions.expressions import confidence, confidence_score, entropy, injected, true_count
 from veriframe.functions.runtime import checkpointed
-from veriframe.operators import audit, checks, duties, gateway, graph, impact, machines, package, policies, quality, readiness, reconcile, recurrence, retrieval, verify
+from veriframe.operators import audit, checks, duties, gateway, graph, impact, machines, package, policies, postings, quality, readiness, reconcile, recurrence, retrieval, verify
 from veriframe.sources import records
 from veriframe.sources.policy_input import INPUT_TABLES, PolicyInputs, to_json_documents
 from veriframe.sources.records import NOW_NS, Records, table
@@ -323,6 +323,29 @@ def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.event_sequence(orders)
 
 
+def identifier_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items as queries over all chunks, in one pass."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return postings.search(postings.index(_chunks(spark, sf_dir)), asked, 5).withColumn("score", F.round("score", 6))
+
+
+def exact_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usual terms and the first identifier of the corpus: vectors, terms and identifier fused."""
+    made = postings.index(_chunks(spark, sf_dir))
+    asked = made.blocks.where(postings.is_identifier(F.col("term"))).agg(F.min("term").alias("_id")).select(F.lit(0).alias("query_id"), F.concat_ws(" ", F.lit(" ".join(TERMS)), "_id").alias("text"))
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "id"))  # of a top-k list
+    dense = _dense(spark, sf_dir, retrieval.CANDIDATES, False).select(F.lit(0).alias("query_id"), place.alias("rank"), F.col("id").alias("doc_id"), F.lit(0).alias("chunk_index"))
+    sparse, exact = postings.search(made, asked, retrieval.CANDIDATES), postings.search(made, asked, retrieval.KEEP, exact=True)
+    return postings.fuse(dense, sparse, exact).withColumn("score", F.round("score", 6))
+
+
+def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages and occurrences of each term of the items' texts among the chunks of all documents."""
+    made = postings.index(_chunks(spark, sf_dir))
+    asked = table(spark, sf_dir, "benchmark").select(F.explode(postings.terms(F.col("text"))).alias("term")).distinct()
+    return made.postings.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_passages"), F.sum("tf").alias("n_occurrences"), F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda s, x: s + x)).alias("sum_positions"))
+
+
 def _over(f: Callable[..., DataFrame]) -> Query:
     """A query of an operator that takes the record tables and the clock."""
     return lambda spark, sf_dir: f(Records(spark, sf_dir), NOW_NS)
@@ -333,7 +356,7 @@ def queries() -> dict[str, Query]:
     own = (
         policy_from_json, violations_json, audit_package, findings_all, verify_findings, error_findings, routed_findings, confidence_ladder, check_d4, dq_assertions, dq_insert_if_absent, upsert_latest, merge_last_write, chain_build, chain_verify_clean,
         chain_verify_tampered, chunk_documents, dense_topk, bm25_topk, rrf_fusion, provenance, parent_context, injection_regex, entropy_score, route_validate, provider_selection, authorized_requests, risk_rubric,
-        reach_bounded, dq_schema, source_status, policy_outage, verify_outage, golden_seed, provider_cascade, recurring_incidents, duty_conflicts, machine_states, source_reconciliation, event_order,
+        reach_bounded, dq_schema, source_status, policy_outage, verify_outage, golden_seed, provider_cascade, recurring_incidents, duty_conflicts, machine_states, source_reconciliation, event_order, identifier_search, exact_fusion, term_statistics,
     )
     return (
         {f"policy_{rule.__name__}": _over(rule) for rule in policies.BUNDLE}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from veriframe.operators.duties import CONFLICTS, PERMISSIONS
+from veriframe.operators.postings import TERM
 from veriframe.plans.catalogue import NEEDED
 
 _P = 1755648000000000000
@@ -84,6 +85,15 @@ query AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q, label FROM
 similar_ AS (SELECT vec_id AS id, e.label = query.label AS same, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), q) AS score FROM embeddings e, query),
 tok AS (SELECT doc_id, chunk_index, regexp_extract_all(lower(content), '[a-z0-9]+') AS t FROM chunks),
 tf AS (SELECT doc_id, chunk_index, len(t) AS n, len(list_filter(t, lambda x: x = 'the')) AS a, len(list_filter(t, lambda x: x = 'with')) AS b, len(list_filter(t, lambda x: x = 'edited')) AS e FROM tok),
+terms AS (SELECT doc_id, chunk_index, list_transform(regexp_extract_all(lower(content), '{TERM}'), lambda x: regexp_replace(x, '\\s+', ' ', 'g')) AS t FROM chunks),
+placed AS (SELECT doc_id, chunk_index, len(t) AS n, unnest(t) AS term, unnest(range(0, len(t)::BIGINT)) AS pos FROM terms),
+posted AS (SELECT doc_id, chunk_index, n, term, count(*) AS tf, sum(pos)::BIGINT AS at_sum FROM placed GROUP BY ALL),
+asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_transform(regexp_extract_all(lower(coalesce(text, '')), '{TERM}'), lambda x: regexp_replace(x, '\\s+', ' ', 'g'))) AS term FROM benchmark),
+dfs AS (SELECT term, count(*) AS df FROM posted WHERE term IN (SELECT term FROM asked) GROUP BY term),
+ranked AS (SELECT query_id, doc_id, chunk_index, round(sum(ln(1 + ((SELECT count(*) FROM terms) - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * n / (SELECT avg(len(t)) FROM terms)))), 9) AS score,
+  count(*) FILTER (WHERE regexp_matches(term, '[^a-z0-9]'))::INT AS n_identifiers FROM asked JOIN dfs USING (term) JOIN posted USING (term) GROUP BY ALL),
+hits AS (SELECT doc_id, chunk_index, round(sum(ln(1 + ((SELECT count(*) FROM terms) - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * n / (SELECT avg(len(t)) FROM terms)))), 9) AS s, bool_or(regexp_matches(term, '[^a-z0-9]')) AS x
+  FROM posted JOIN (SELECT term, count(*) AS df FROM posted GROUP BY term) USING (term) WHERE term IN ('the', 'with', 'edited') OR term = (SELECT min(term) FROM posted WHERE regexp_matches(term, '[^a-z0-9]')) GROUP BY ALL),
 st AS (SELECT count(*) AS c, avg(n) AS m, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db, count(*) FILTER (WHERE e > 0) AS de FROM tf),
 bm AS (SELECT doc_id, chunk_index, ln(1 + (c - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / m)) + ln(1 + (c - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / m))
   + ln(1 + (c - de + 0.5) / (de + 0.5)) * e * 2.2 / (e + 1.2 * (0.25 + 0.75 * n / m)) AS score FROM tf, st),
@@ -235,6 +245,11 @@ _SELECTS = {f"policy_p{n:02d}": f"SELECT * FROM v{n}" for n in range(1, 11)} | {
     "downstream_impact": "SELECT source, count(*) FILTER (WHERE prefix = 'URS') AS n_requirements, count(*) FILTER (WHERE prefix = 'TC') AS n_tests, count(*) FILTER (WHERE prefix = 'RSK') AS n_risks, count(*) FILTER (WHERE prefix = 'CR') AS n_changes, "
     "count(*) FILTER (WHERE prefix IN ('TC', 'ACC')) AS n_controls, count(*) AS n_total, first(node ORDER BY n DESC, node) AS top_dependency, max(n) AS top_impact, CASE WHEN count(*) >= 10 THEN 'HIGH' WHEN count(*) >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS impact "
     "FROM (SELECT b.source, node, split_part(node, '-', 1) AS prefix, coalesce(i.n_total, 0) AS n FROM below b LEFT JOIN impacts i ON i.source = b.node WHERE b.source <> node) GROUP BY source",
+    "identifier_search": "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index)::INT AS rank, doc_id, chunk_index, round(ranked.score, 6) AS score, n_identifiers FROM ranked QUALIFY rank <= 5",
+    "term_statistics": "SELECT term, count(*) AS n_passages, sum(tf)::BIGINT AS n_occurrences, sum(at_sum)::BIGINT AS sum_positions FROM posted WHERE term IN (SELECT term FROM asked) GROUP BY term",
+    "exact_fusion": "SELECT 0 AS query_id, row_number() OVER (ORDER BY exact DESC, round(score, 9) DESC, doc_id, chunk_index)::INT AS place, doc_id, chunk_index, round(fusion.score, 6) AS score, exact FROM (SELECT doc_id, chunk_index, sum(v) AS score, bool_or(x) AS exact FROM "
+    "(SELECT doc_id, chunk_index, 1.0::DOUBLE / (60 + r) AS v, false AS x FROM dense UNION ALL SELECT doc_id, chunk_index, 1.0::DOUBLE / (60 + r), false FROM (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id, chunk_index) AS r FROM hits) WHERE r <= 20 "
+    "UNION ALL SELECT doc_id, chunk_index, 1.0::DOUBLE / (60 + r), true FROM (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id, chunk_index) AS r FROM hits WHERE x) WHERE r <= 8) GROUP BY ALL) fusion QUALIFY place <= 8",
 }
 
 
