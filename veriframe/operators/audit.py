@@ -10,66 +10,112 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from veriframe.functions.runtime import checkpointed
+from pyspark.sql import types as T
 
 #: Fixed value: what the first row of a chain follows.
 GENESIS = "0" * 64
 TAMPERED = "TAMPERED DATA"
 
 
-def build_chains(log: DataFrame) -> DataFrame:
-    """``log`` (chain, ts, event_id, canonical) -> with previous_event_hash and event_hash; order within a chain is (ts, event_id)."""
+HEADS = "chain long, last_hash string, n long, status string, broken_at_index long, event_id long"
+
+
+def build_chains(log: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """``log`` (chain, ts, event_id, canonical, ...) -> with previous_event_hash and event_hash; order within a chain is (ts, event_id). ``heads`` (chain, last_hash): what chains go on from."""
+    width = len(log.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, last = object(), GENESIS
         for batch in batches:
-            previous, own = [], []
-            for key, canonical in zip(batch.column("chain").to_pylist(), batch.column("canonical").to_pylist()):
+            previous, own, rows = [], [], []
+            for i, (key, canonical, head) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("chain", "canonical", "_head")))):
                 if key != chain:
                     chain, last = key, GENESIS
+                if head is not None:  # the row that says what its chain goes on from
+                    last = head
+                    continue
+                rows.append(i)
                 previous.append(last)
                 last = hashlib.sha256((last + (canonical or "")).encode()).hexdigest()
                 own.append(last)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(previous, pa.string()), pa.array(own, pa.string())], names=[*batch.schema.names, "previous_event_hash", "event_hash"])
+            kept = batch.select(range(width)).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(previous, pa.string()), pa.array(own, pa.string())], names=[*kept.schema.names, "previous_event_hash", "event_hash"])
 
-    ordered = log.repartition("chain").sortWithinPartitions("chain", "ts", "event_id")
-    return ordered.mapInArrow(run, log.schema.add("previous_event_hash", "string").add("event_hash", "string"))
+    rows = log.withColumn("_head", F.lit(None).cast("string"))
+    if heads is not None:
+        rows = rows.unionByName(heads.select("chain", F.col("last_hash").alias("_head")), allowMissingColumns=True)
+    ordered = rows.repartition("chain").sortWithinPartitions("chain", F.col("_head").isNull(), "ts", "event_id")
+    more = [T.StructField(c, T.StringType()) for c in ("previous_event_hash", "event_hash")]
+    return ordered.mapInArrow(run, T.StructType([*log.schema.fields, *more]))
 
 
-def verify_chains(chained: DataFrame) -> DataFrame:
-    """(chain, status, broken_at_index, event_id, events_checked): VERIFIED, or TAMPERED with the first bad row (from 0).
+_PARTS = "chain long, part long, n long, first_previous string, first_event long, last_hash string, bad_at long, bad_event long"
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chain, event_id, previous_event_hash, event_hash, own) in order -> a row for each chain of the partition: its size, its ends and the first bad row."""
+    part, at = TaskContext.get().partitionId(), None
+
+    def out(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.string() if k == "string" else pa.int64()) for n, k in (c.split() for c in _PARTS.split(", "))]))
+
+    for batch in batches:
+        done, chains = [], batch.column("chain").to_pylist()
+        before, own = batch.column("previous_event_hash"), batch.column("event_hash")
+        follows = pc.fill_null(pc.equal(before.slice(1), own.slice(0, max(0, len(own) - 1))), False).to_numpy(zero_copy_only=False)
+        sound = pc.fill_null(batch.column("own"), False).to_numpy(zero_copy_only=False)
+        starts = [i for i, c in enumerate(chains) if not i or c != chains[i - 1]]
+        for start, end in zip(starts, [*starts[1:], len(chains)]):
+            good = sound[start:end].copy()
+            good[1:] &= follows[start : end - 1]
+            if at and at["chain"] == chains[start]:  # goes on from the batch before
+                good[0] &= before[start].as_py() is not None and before[start].as_py() == at["last_hash"]
+            else:
+                done += [at] if at else []
+                at = {"chain": chains[start], "part": part, "n": 0, "first_previous": before[start].as_py(), "first_event": batch.column("event_id")[start].as_py(), "bad_at": None, "bad_event": None}
+            if at["bad_at"] is None and not good.all():
+                first = int(np.argmin(good))
+                at |= {"bad_at": at["n"] + first, "bad_event": batch.column("event_id")[start + first].as_py()}
+            at |= {"n": at["n"] + end - start, "last_hash": own[end - 1].as_py()}
+        yield out(done)
+    yield out([at] if at else [])
 
-    Rows are dealt by ranges of (chain, ts, event_id), so that a long chain is cut into parts that are checked apart; what
+
+def chain_heads(chained: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """``chained`` rows -> HEADS of the chains that have any: verified rows, the last hash, and where a chain breaks. ``heads``: HEADS of the rows before, which aren't read again; a broken chain stays as it broke.
+
+    Rows are dealt once, by ranges of (chain, ts, event_id), so that a long chain is cut into parts that are checked apart as they stream by; what
     joins a part to the one before is one row a part. Texts are hashed where they lie and don't travel.
     """
     own = F.col("event_hash").eqNullSafe(F.sha2(F.concat("previous_event_hash", F.coalesce("canonical", F.lit(""))), 256))
-    links = checkpointed(chained.select("chain", "ts", "event_id", "previous_event_hash", "event_hash", own.alias("_own")))
-    dealt = links.repartitionByRange("chain", "ts", "event_id").withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("chain", "_part").orderBy("ts", "event_id")
-    rows = dealt.withColumn("_i", F.row_number().over(w) - 1).withColumn("_before", F.lag("event_hash").over(w))
-    follows = (F.col("_i") == 0) | F.col("previous_event_hash").eqNullSafe(F.col("_before"))
-    parts = rows.groupBy("chain", "_part").agg(
-        F.min(F.when(~(F.col("_own") & follows), F.struct("_i", "event_id"))).alias("_bad"),
-        F.count("*").alias("_n"),
-        F.min(F.struct("_i", "previous_event_hash", "event_id")).alias("_first"),
-        F.max(F.struct("_i", "event_hash")).alias("_last"),
-    )
-    v = Window.partitionBy("chain").orderBy("_part")
-    parts = parts.withColumn("_before", F.coalesce(F.lag("_last.event_hash").over(v), F.lit(GENESIS)))
-    parts = parts.withColumn("_from", F.coalesce(F.sum("_n").over(v.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joins = F.col("_first.previous_event_hash").eqNullSafe(F.col("_before"))
-    bad = F.when(~joins, F.struct(F.col("_from").alias("i"), F.col("_first.event_id").alias("event_id"))).when(
-        F.col("_bad").isNotNull(), F.struct((F.col("_from") + F.col("_bad._i")).alias("i"), F.col("_bad.event_id").alias("event_id"))
-    )
-    return (
-        parts.groupBy("chain")
-        .agg(F.min(bad).alias("_bad"), F.sum("_n").alias("_n"))
-        .select("chain", F.when(F.col("_bad").isNull(), "VERIFIED").otherwise("TAMPERED").alias("status"), F.col("_bad.i").cast("long").alias("broken_at_index"), F.col("_bad.event_id").alias("event_id"), F.when(F.col("_bad").isNull(), F.col("_n")).alias("events_checked"))
+    rows = chained.select(F.col("chain").cast("long").alias("chain"), "ts", F.col("event_id").cast("long").alias("event_id"), "previous_event_hash", "event_hash", own.alias("own"))
+    dealt = rows.repartitionByRange("chain", "ts", "event_id").sortWithinPartitions("chain", "ts", "event_id").select("chain", "event_id", "previous_event_hash", "event_hash", "own")
+    parts = dealt.mapInArrow(_summaries, _PARTS)
+    known = (heads if heads is not None else chained.sparkSession.createDataFrame([], HEADS)).select("chain", F.struct("last_hash", "n", "status", "broken_at_index", "event_id").alias("_h"))
+    v = Window.partitionBy("chain").orderBy("part")
+    parts = parts.join(known, "chain", "left").withColumn("_before", F.coalesce(F.lag("last_hash").over(v), "_h.last_hash", F.lit(GENESIS)))
+    start = F.coalesce(F.col("_h.n"), F.lit(0))
+    parts = parts.withColumn("_from", F.coalesce(F.sum("n").over(v.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + start)
+    bad = F.when(~F.col("first_previous").eqNullSafe(F.col("_before")), F.struct(F.col("_from").alias("i"), F.col("first_event").alias("event_id"))).when(
+        F.col("bad_at").isNotNull(), F.struct((F.col("_from") + F.col("bad_at")).alias("i"), F.col("bad_event").alias("event_id"))
     )
+    met = parts.groupBy("chain").agg(F.min(bad).alias("_bad"), F.sum("n").alias("_n"), F.max(F.struct("part", "last_hash")).alias("_last"), F.any_value("_h").alias("_h"))
+    broken = F.coalesce(F.col("_h.status") == "TAMPERED", F.lit(False))
+    return met.select(
+        "chain", F.col("_last.last_hash").alias("last_hash"), (F.col("_n") + F.coalesce("_h.n", F.lit(0))).alias("n"), F.when(broken | F.col("_bad").isNotNull(), "TAMPERED").otherwise("VERIFIED").alias("status"),
+        F.when(broken, F.col("_h.broken_at_index")).otherwise(F.col("_bad.i")).cast("long").alias("broken_at_index"), F.when(broken, F.col("_h.event_id")).otherwise(F.col("_bad.event_id")).cast("long").alias("event_id"),
+    )
+
+
+def verify_chains(chained: DataFrame) -> DataFrame:
+    """(chain, status, broken_at_index, event_id, events_checked): VERIFIED, or TAMPERED with the first bad row (from 0)."""
+    return chain_heads(chained).select("chain", "status", "broken_at_index", "event_id", F.when(F.col("status") == "VERIFIED", F.col("n")).alias("events_checked"))
 
 
 def tamper(chained: DataFrame, which) -> DataFrame:
