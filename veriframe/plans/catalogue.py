@@ -16,6 +16,7 @@ from veriframe.sources.policy_input import INPUT_TABLES, PolicyInputs, to_json_d
 from veriframe.sources.records import NOW_NS, Records, table
 from veriframe.sources.schemas import REFERENCES
 from veriframe.sources.seed import seed
+from veriframe.streaming import agent_states as streams
 from veriframe.sources.sinks import insert_if_absent, last_write_wins, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -346,6 +347,13 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.postings.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_passages"), F.sum("tf").alias("n_occurrences"), F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda s, x: s + x)).alias("sum_positions"))
 
 
+def agent_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as those of agents in sessions: a user's in a day is a session, the kind tells what happened."""
+    action = F.expr("CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'started' WHEN 'purchase' THEN 'finished' END")
+    rows = table(spark, sf_dir, "events").select(F.expr("concat(user_id, '/', cast(ts AS date))").alias("session_id"), F.expr("concat('A', event_id % 3 + 1)").alias("agent"), action.alias("action"), F.expr("unix_millis(cast(ts AS timestamp))").alias("at_ms"))
+    return streams.agent_states(rows, limit_ms=3 * 3_600_000)
+
+
 def _over(f: Callable[..., DataFrame]) -> Query:
     """A query of an operator that takes the record tables and the clock."""
     return lambda spark, sf_dir: f(Records(spark, sf_dir), NOW_NS)
@@ -356,7 +364,7 @@ def queries() -> dict[str, Query]:
     own = (
         policy_from_json, violations_json, audit_package, findings_all, verify_findings, error_findings, routed_findings, confidence_ladder, check_d4, dq_assertions, dq_insert_if_absent, upsert_latest, merge_last_write, chain_build, chain_verify_clean,
         chain_verify_tampered, chunk_documents, dense_topk, bm25_topk, rrf_fusion, provenance, parent_context, injection_regex, entropy_score, route_validate, provider_selection, authorized_requests, risk_rubric,
-        reach_bounded, dq_schema, source_status, policy_outage, verify_outage, golden_seed, provider_cascade, recurring_incidents, duty_conflicts, machine_states, source_reconciliation, event_order, identifier_search, exact_fusion, term_statistics,
+        reach_bounded, dq_schema, source_status, policy_outage, verify_outage, golden_seed, provider_cascade, recurring_incidents, duty_conflicts, machine_states, source_reconciliation, event_order, identifier_search, exact_fusion, term_statistics, agent_states,
     )
     return (
         {f"policy_{rule.__name__}": _over(rule) for rule in policies.BUNDLE}

@@ -250,6 +250,9 @@ _SELECTS = {f"policy_p{n:02d}": f"SELECT * FROM v{n}" for n in range(1, 11)} | {
     "exact_fusion": "SELECT 0 AS query_id, row_number() OVER (ORDER BY exact DESC, round(score, 9) DESC, doc_id, chunk_index)::INT AS place, doc_id, chunk_index, round(fusion.score, 6) AS score, exact FROM (SELECT doc_id, chunk_index, sum(v) AS score, bool_or(x) AS exact FROM "
     "(SELECT doc_id, chunk_index, 1.0::DOUBLE / (60 + r) AS v, false AS x FROM dense UNION ALL SELECT doc_id, chunk_index, 1.0::DOUBLE / (60 + r), false FROM (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id, chunk_index) AS r FROM hits) WHERE r <= 20 "
     "UNION ALL SELECT doc_id, chunk_index, 1.0::DOUBLE / (60 + r), true FROM (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id, chunk_index) AS r FROM hits WHERE x) WHERE r <= 8) GROUP BY ALL) fusion QUALIFY place <= 8",
+    "agent_states": "SELECT session_id, agent, CASE WHEN f > s + 10800000 OR s IS NOT NULL AND f IS NULL THEN 'TIMED_OUT' WHEN f IS NOT NULL THEN 'COMPLETE' ELSE 'WAITING' END AS state, CASE WHEN f > s + 10800000 OR s IS NOT NULL AND f IS NULL THEN s + 10800000 ELSE coalesce(f, q) END AS at_ms FROM "
+    "(SELECT user_id || '/' || ts::DATE AS session_id, 'A' || (event_id % 3 + 1) AS agent, min(epoch_us(ts) // 1000) FILTER (WHERE event_type = 'view') AS q, min(epoch_us(ts) // 1000) FILTER (WHERE event_type = 'click') AS s, min(epoch_us(ts) // 1000) FILTER (WHERE event_type = 'purchase') AS f "
+    "FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY ALL)",
 }
 
 
