@@ -6,17 +6,13 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the folder that spark.checkpoint.dir names and read from there: a cut of the lineage that keeps column pruning and outlives executors.
-
-    Where the setting is unset, a temporary folder on a local master; elsewhere an error, since executors don't see each other's disks.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that spark.checkpoint.dir names. Where the setting is unset, below a temporary folder on a local master; elsewhere an error, since executors don't see each other's disks."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -24,6 +20,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='veriframe-')}")
         path = _own[0]
-    path = f"{path.rstrip('/')}/veriframe/core-{uuid.uuid4().hex}"
+    return f"{path.rstrip('/')}/veriframe/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to a shared folder and read from there: a cut of the lineage that keeps column pruning and outlives executors."""
+    path = shared_folder(df.sparkSession, "core")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

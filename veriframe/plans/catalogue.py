@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions.expressions import confidence, confidence_score, entropy, injected, true_count
-from veriframe.functions.runtime import checkpointed
-from veriframe.operators import audit, checks, duties, gateway, graph, impact, machines, package, policies, postings, quality, readiness, reconcile, recurrence, retrieval, verify
+from veriframe.functions.runtime import checkpointed, shared_folder
+from veriframe.operators import audit, checks, duties, gateway, graph, impact, machines, package, policies, postings, quality, readiness, reconcile, recurrence, retrieval, sections, verify
 from veriframe.sources import records
+from veriframe.sources.chunk_store import ChunkStore
 from veriframe.sources.policy_input import INPUT_TABLES, PolicyInputs, to_json_documents
 from veriframe.sources.records import NOW_NS, Records, table
 from veriframe.sources.schemas import REFERENCES
 from veriframe.sources.seed import seed
-from veriframe.streaming import agent_states as streams
 from veriframe.sources.sinks import insert_if_absent, last_write_wins, upsert
+from veriframe.streaming import agent_states as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 TERMS = ["the", "with", "edited"]
@@ -354,6 +355,29 @@ def agent_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.agent_states(rows, limit_ms=3 * 3_600_000)
 
 
+def parent_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of the best chunks for all of the benchmark's items."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    hits = checkpointed(postings.search(postings.index(_chunks(spark, sf_dir)), asked, 5).select("query_id", "rank", "doc_id", "chunk_index"))
+    found = sections.parent_sections(hits, table(spark, sf_dir, "documents").select("doc_id", "text"), retrieval.CHUNK - retrieval.OVERLAP)
+    return found.select("query_id", "rank", "doc_id", "chunk_index", "level", "title", "start", "end", F.md5("section").alias("section_md5"))
+
+
+def document_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.headings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def chunk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of all documents, then those of a later state: some documents gone, some edited."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = ChunkStore(spark, shared_folder(spark, "chunks"))
+    store.upsert(retrieval.chunks(docs))
+    later = docs.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.replace("text", F.lit("e"), F.lit("E"))).otherwise(F.col("text")))
+    store.upsert(retrieval.chunks(later))
+    gone = store.tombstones().select("doc_id", "chunk_index", F.lit("").alias("content_md5"), F.lit(True).alias("deleted"))
+    return store.table().select("doc_id", "chunk_index", F.md5("content").alias("content_md5"), F.lit(False).alias("deleted")).unionByName(gone)
+
+
 def _over(f: Callable[..., DataFrame]) -> Query:
     """A query of an operator that takes the record tables and the clock."""
     return lambda spark, sf_dir: f(Records(spark, sf_dir), NOW_NS)
@@ -364,7 +388,7 @@ def queries() -> dict[str, Query]:
     own = (
         policy_from_json, violations_json, audit_package, findings_all, verify_findings, error_findings, routed_findings, confidence_ladder, check_d4, dq_assertions, dq_insert_if_absent, upsert_latest, merge_last_write, chain_build, chain_verify_clean,
         chain_verify_tampered, chunk_documents, dense_topk, bm25_topk, rrf_fusion, provenance, parent_context, injection_regex, entropy_score, route_validate, provider_selection, authorized_requests, risk_rubric,
-        reach_bounded, dq_schema, source_status, policy_outage, verify_outage, golden_seed, provider_cascade, recurring_incidents, duty_conflicts, machine_states, source_reconciliation, event_order, identifier_search, exact_fusion, term_statistics, agent_states,
+        reach_bounded, dq_schema, source_status, policy_outage, verify_outage, golden_seed, provider_cascade, recurring_incidents, duty_conflicts, machine_states, source_reconciliation, event_order, identifier_search, exact_fusion, term_statistics, agent_states, parent_sections, document_headings, chunk_upsert,
     )
     return (
         {f"policy_{rule.__name__}": _over(rule) for rule in policies.BUNDLE}

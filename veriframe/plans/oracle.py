@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from veriframe.operators.duties import CONFLICTS, PERMISSIONS
 from veriframe.operators.postings import TERM
+from veriframe.operators.sections import MARKED, NUMBERED
 from veriframe.plans.catalogue import NEEDED
 
 _P = 1755648000000000000
@@ -94,6 +95,11 @@ ranked AS (SELECT query_id, doc_id, chunk_index, round(sum(ln(1 + ((SELECT count
   count(*) FILTER (WHERE regexp_matches(term, '[^a-z0-9]'))::INT AS n_identifiers FROM asked JOIN dfs USING (term) JOIN posted USING (term) GROUP BY ALL),
 hits AS (SELECT doc_id, chunk_index, round(sum(ln(1 + ((SELECT count(*) FROM terms) - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * n / (SELECT avg(len(t)) FROM terms)))), 9) AS s, bool_or(regexp_matches(term, '[^a-z0-9]')) AS x
   FROM posted JOIN (SELECT term, count(*) AS df FROM posted GROUP BY term) USING (term) WHERE term IN ('the', 'with', 'edited') OR term = (SELECT min(term) FROM posted WHERE regexp_matches(term, '[^a-z0-9]')) GROUP BY ALL),
+lined AS (SELECT doc_id, i, l, len(l) AS n, rtrim(l, ' ') AS r, regexp_extract(l, '{NUMBERED}', 1) AS number, len(regexp_extract(l, '{MARKED}', 1)) AS marks
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(0, len(string_split(text, chr(10)))::BIGINT)) AS i FROM documents WHERE text IS NOT NULL)),
+leveled AS (SELECT doc_id, i, n, l, CASE WHEN marks > 0 THEN marks WHEN number <> '' AND len(r) <= 120 AND NOT regexp_matches(r, '[.,;:!?|]$') THEN least(len(string_split(number, '.')), 6) WHEN regexp_matches(r, '^[A-Z]') AND NOT regexp_matches(r, '[.,;:!?|]$') AND len(r) <= 60 THEN 7 END AS level,
+  (coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, (sum(n + 1) OVER (PARTITION BY doc_id) - 1)::BIGINT AS whole FROM lined),
+heads AS (SELECT doc_id, start, coalesce((SELECT min(b.start) FROM leveled b WHERE b.doc_id = a.doc_id AND b.start > a.start AND b.level <= a.level), whole) AS "end", level::INT AS level, trim(regexp_replace(l, '^#+', ''), ' ') AS title FROM leveled a WHERE level IS NOT NULL),
 st AS (SELECT count(*) AS c, avg(n) AS m, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db, count(*) FILTER (WHERE e > 0) AS de FROM tf),
 bm AS (SELECT doc_id, chunk_index, ln(1 + (c - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / m)) + ln(1 + (c - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / m))
   + ln(1 + (c - de + 0.5) / (de + 0.5)) * e * 2.2 / (e + 1.2 * (0.25 + 0.75 * n / m)) AS score FROM tf, st),
@@ -253,6 +259,12 @@ _SELECTS = {f"policy_p{n:02d}": f"SELECT * FROM v{n}" for n in range(1, 11)} | {
     "agent_states": "SELECT session_id, agent, CASE WHEN f > s + 10800000 OR s IS NOT NULL AND f IS NULL THEN 'TIMED_OUT' WHEN f IS NOT NULL THEN 'COMPLETE' ELSE 'WAITING' END AS state, CASE WHEN f > s + 10800000 OR s IS NOT NULL AND f IS NULL THEN s + 10800000 ELSE coalesce(f, q) END AS at_ms FROM "
     "(SELECT user_id || '/' || ts::DATE AS session_id, 'A' || (event_id % 3 + 1) AS agent, min(epoch_us(ts) // 1000) FILTER (WHERE event_type = 'view') AS q, min(epoch_us(ts) // 1000) FILTER (WHERE event_type = 'click') AS s, min(epoch_us(ts) // 1000) FILTER (WHERE event_type = 'purchase') AS f "
     "FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY ALL)",
+    "document_headings": "SELECT * FROM heads",
+    "parent_sections": "SELECT query_id, rank, h.doc_id, chunk_index, coalesce(level, 0) AS level, coalesce(title, '') AS title, coalesce(start, 0) AS start, coalesce(s.end, length(text)) AS \"end\", md5(substring(text, (coalesce(start, 0) + 1)::BIGINT, (coalesce(s.end, length(text)) - coalesce(start, 0))::BIGINT)) AS section_md5 "
+    "FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index)::INT AS rank, doc_id, chunk_index FROM ranked QUALIFY rank <= 5) h JOIN documents d ON d.doc_id = h.doc_id "
+    "LEFT JOIN heads s ON s.doc_id = h.doc_id AND s.start = (SELECT max(x.start) FROM heads x WHERE x.doc_id = h.doc_id AND x.start <= h.chunk_index * 448)",
+    "chunk_upsert": "SELECT doc_id, (pos // 448)::INT AS chunk_index, md5(substring(t, pos + 1, 512)) AS content_md5, false AS deleted FROM (SELECT doc_id, t, unnest(range(0, length(t)::BIGINT, 448)) AS pos FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN replace(text, 'e', 'E') ELSE text END AS t FROM documents WHERE doc_id % 7 <> 0)) "
+    "UNION ALL SELECT doc_id, chunk_index, '', true FROM chunks WHERE doc_id % 7 = 0",
 }
 
 
