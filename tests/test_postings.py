@@ -42,12 +42,12 @@ def made(spark, n=240):
 
 
 def brute(rows, asked, k):
-    tokens = [[re.sub(r"\s+", " ", t) for t in re.findall(postings.TERM, (c or "").lower())] for _, _, c in rows]
+    tokens = [re.findall(postings.TERM, re.sub(r"\s+", " ", (c or "").lower())) for _, _, c in rows]
     mean = sum(map(len, tokens)) / len(rows)
     df = Counter(t for own in tokens for t in set(own))
     out = []
     for query, text in asked:
-        want = {re.sub(r"\s+", " ", t) for t in re.findall(postings.TERM, (text or "").lower())}
+        want = set(re.findall(postings.TERM, re.sub(r"\s+", " ", (text or "").lower())))
         scored = []
         for (doc, chunk, _), own in zip(rows, tokens):
             tf = Counter(own)

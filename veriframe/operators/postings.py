@@ -19,10 +19,10 @@ from veriframe.operators.retrieval import B, K1, KEEP, RRF_K
 #: Of lower-cased text: references to regulations and guidelines, numbered sections, ids of hyphenated parts of which one
 #: after the first has a digit, else runs of letters and digits.
 TERM = (
-    r"[0-9]+\s+cfr\s+[0-9]+(?:\.[0-9]+)?(?:\([a-z0-9]+\))*"
-    r"|ich\s+[a-z][0-9]+[a-z]?(?:\(r[0-9]+\))?"
+    r"[0-9]+ cfr [0-9]+(?:\.[0-9]+)?(?:\([a-z0-9]+\))*"
+    r"|ich [a-z][0-9]+[a-z]?(?:\(r[0-9]+\))?"
     r"|[0-9]+(?:\.[0-9]+)+(?:\([a-z0-9]+\))*"
-    r"|[a-z][a-z0-9]*(?:-[a-z0-9]+)*?-[a-z]*[0-9][a-z0-9]*(?:-[a-z0-9]+)*"
+    r"|[a-z][a-z0-9]*+(?:-[a-z0-9]+)*?-[a-z]*[0-9][a-z0-9]*(?:-[a-z0-9]+)*"
     r"|[a-z0-9]+"
 )
 #: Blocks of a term, by weight; rows of a search's plan that are broadcast at most.
@@ -31,8 +31,8 @@ BLOCKS, MOST_BROADCAST = 16, 200_000
 
 def terms(text: Column) -> Column:
     """The terms of a text in order; white space within one is a single space. Null has none."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
-    return F.transform(found, lambda t: F.regexp_replace(t, r"\s+", " "))
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
+    return F.regexp_extract_all(plain, F.lit(TERM), F.lit(0))
 
 
 def is_identifier(term: Column) -> Column:
@@ -49,12 +49,11 @@ class Index:
 
 
 def index(passages: DataFrame, k1: float = K1, b: float = B) -> Index:
-    """Of ``passages`` (doc_id, chunk_index, content). A passage is one row and its postings are made where it lies; one shuffle sorts them by term."""
-    split = passages.select("doc_id", "chunk_index", terms(F.col("content")).alias("_t"))
+    """Of ``passages`` (doc_id, chunk_index, content), one row a key. Texts are split once; a passage's terms are summed where it lies, before anything is shuffled."""
+    split = checkpointed(passages.select("doc_id", "chunk_index", terms(F.col("content")).alias("_t")))
     size = split.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("mean")).first()
-    places = lambda w: F.filter(F.transform("_t", lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())
-    each = F.transform(F.array_distinct("_t"), lambda w: F.struct(w.alias("term"), places(w).alias("positions")))
-    rows = split.select("doc_id", "chunk_index", F.size("_t").alias("_n"), F.inline(each)).withColumn("tf", F.size("positions"))
+    each = split.select("doc_id", "chunk_index", F.size("_t").alias("_n"), F.posexplode("_t").alias("_i", "term"))
+    rows = each.groupBy("doc_id", "chunk_index", "_n", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("_i")).alias("positions"))
     weight = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("_n") / (size.mean or 1.0)))  # below 1
     rows = rows.withColumn("weight", weight).withColumn("block", F.floor(F.col("weight") * BLOCKS).cast("int"))
     kept = rows.select("term", "block", "doc_id", "chunk_index", "tf", "positions", "weight")

@@ -32,21 +32,32 @@ def tables_gate(t: Tables, needed: Mapping[str, list[str]]) -> DataFrame:
 
 
 def record_columns_gate(t: Tables, names: list[str]) -> DataFrame:
-    """(table_name, n_unknown, n_ns, passed) of record tables: columns that the registry has with another type, and its ``_ns`` columns that are present as longs."""
-    rows = []
-    for name in names:
+    """(table_name, n_unknown, n_ns, n_rows, passed) of record tables: columns that the registry has with another type, its ``_ns`` columns that are present as longs, and rows."""
+
+    def one(name: str) -> DataFrame:
         known = {f.name: f.dataType for f in T._parse_datatype_string(TABLES[name]).fields}
-        own = t[name].schema
-        wrong = sum(f.name in known and f.dataType != known[f.name] for f in own.fields)
-        rows.append((name, wrong, sum(f.name.endswith("_ns") and f.dataType == T.LongType() for f in own.fields), wrong == 0))
-    return t[names[0]].sparkSession.createDataFrame(rows, "table_name string, n_unknown int, n_ns int, passed boolean")
+        own = t[name].schema.fields
+        wrong = sum(f.name in known and f.dataType != known[f.name] for f in own)
+        ns = sum(f.name.endswith("_ns") and f.dataType == T.LongType() for f in own)
+        rows = t[name].agg(F.count("*").alias("n_rows"))
+        return rows.select(F.lit(name).alias("table_name"), F.lit(wrong).alias("n_unknown"), F.lit(ns).alias("n_ns"), "n_rows", F.lit(wrong == 0).alias("passed"))
+
+    return reduce(DataFrame.unionByName, (one(name) for name in names))
 
 
-def schema_gate(spark: SparkSession) -> DataFrame:
-    """(gate, expected, actual, passed) of the registry itself."""
-    columns = [(t, f) for t, ddl in TABLES.items() for f in T._parse_datatype_string(ddl).fields]
+def schema_gate(spark: SparkSession, t: Tables | None = None, names: list[str] | None = None) -> DataFrame:
+    """(gate, expected, actual, passed) of the registry itself; with tables also how many of it ``names`` of them make, with n_rows in them: (gate, expected, actual, passed, n_made, n_rows)."""
+    columns = [(table, f) for table, ddl in TABLES.items() for f in T._parse_datatype_string(ddl).fields]
     actual = {"tables": len(TABLES), "references": len(REFERENCES), "ns_columns": sum(f.name.endswith("_ns") and f.dataType == T.LongType() for _, f in columns)}
-    return spark.createDataFrame([(k, v, actual[k], actual[k] == v) for k, v in EXPECTED.items()], "gate string, expected int, actual int, passed boolean")
+    gates = spark.createDataFrame([(k, v, actual[k], actual[k] == v) for k, v in EXPECTED.items()], "gate string, expected int, actual int, passed boolean")
+    if t is None or names is None:
+        return gates
+    ns = [(n, c) for n in names for c, kind in t[n].dtypes if c.endswith("_ns") and kind == "bigint"]
+    met = [r for r in REFERENCES if r[0] in names and r[2] in names and r[1] in t[r[0]].columns]
+    made = [(k, len(x), sorted({i[0] for i in x})) for k, x in (("tables", [(n,) for n in names]), ("references", met), ("ns_columns", ns))]
+    rows = reduce(DataFrame.unionByName, (t[n].agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n in names))
+    asked = spark.createDataFrame(made, "gate string, n_made int, of array<string>").select("gate", "n_made", F.explode("of").alias("table_name"))
+    return gates.join(asked.join(rows, "table_name").groupBy("gate", "n_made").agg(F.sum("n_rows").alias("n_rows")), "gate")
 
 
 def orphans(t: Tables, references: list[tuple[str, str, str, str]]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.functions.expressions import true_count
+from veriframe.functions.runtime import checkpointed
 from veriframe.operators.reconcile import event_sequence, reconcile
 
 #: Characters of a chunk and of its overlap.
@@ -78,12 +79,13 @@ def _count(text: str, part: str) -> Column:
 def bm25_topk(passages: DataFrame, terms: list[str], k: int, k1: float = K1, b: float = B) -> DataFrame:
     """``passages`` (content, ...) -> the ``k`` rows that rank highest for the terms (runs of a-z and 0-9), with ``score``.
 
-    Two scans and no shuffle of passages: the first sums a row of statistics, the second scores and keeps k rows a task.
+    One scan of the passages, which leaves their counts, and no shuffle; the counts are summed to a row of statistics, then scored, k rows a task.
     """
     keep = [c for c in passages.columns if c != "content"]
     words = passages.select(*keep, F.trim(F.regexp_replace(F.lower("content"), "[^a-z0-9]+", " ")).alias("_t"))
     words = words.select(*keep, F.when(F.col("_t") == "", 0).otherwise(_count("_t", " ") + 1).alias("_n"), F.concat(F.lit(" "), F.replace("_t", F.lit(" "), F.lit("  ")), F.lit(" ")).alias("_t"))
-    counted = words.select(*keep, "_n", *[_count("_t", f" {w} ").alias(f"_tf{i}") for i, w in enumerate(terms)])
+    # Written once: the statistics and the scores read counts, not texts.
+    counted = checkpointed(words.select(*keep, "_n", *[_count("_t", f" {w} ").alias(f"_tf{i}") for i, w in enumerate(terms)]))
     stats = counted.agg(F.count("*").alias("n"), F.avg("_n").alias("mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):

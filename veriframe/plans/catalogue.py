@@ -28,6 +28,11 @@ NEEDED = {
     "part": ["p_partkey", "p_name", "p_size", "p_retailprice"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus"],
     "events": ["event_id", "ts", "user_id", "event_type", "value", "props"], "documents": ["doc_id", "text", "lang", "source", "n_chars"], "labels": ["doc_id", "quality", "toxic"],
 }
+#: The record tables that are made from them, of the registry's 27.
+RECORD_TABLES = [
+    "gxp_systems", "documents", "document_chunks", "requirements", "risks", "design_elements", "test_cases", "test_results", "incidents", "access_reviews", "access_records", "suppliers", "supplier_assessments",
+    "periodic_evaluations", "changes", "change_actions", "findings", "evidence_refs", "action_proposals", "graph_nodes", "graph_edges", "users", "sessions",
+]
 #: What the route validator is given for each kind of event, and the task that providers are chosen for.
 RESPONSES = {
     "view": '{"active_agents": ["A1", "A2"], "intent_category": "audit_readiness"}', "click": "not json", "purchase": '{"active_agents": [], "intent_category": "x"}',
@@ -85,8 +90,11 @@ def routed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def confidence_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = spark.range(10).select(F.col("id").cast("int").alias("n_true"), F.explode(F.array(F.lit(True), F.lit(False))).alias("corroborated"))
-    return cases.select("n_true", "corroborated", confidence_score(F.col("n_true"), F.col("corroborated")).alias("score"), confidence(F.col("n_true"), F.lit(True), F.col("corroborated")).alias("confidence"))
+    """Documents graded by how many of the nine dimensions they meet, corroborated if a violation names them: each rung that occurs."""
+    named = violations(spark, sf_dir).select(F.col("record_id").alias("id"), F.lit(True).alias("_v")).distinct()
+    rungs = _dimensions(spark, sf_dir).join(named, "id", "left").select(F.col("n_true"), F.coalesce("_v", F.lit(False)).alias("corroborated"))
+    counted = rungs.groupBy("n_true", "corroborated").agg(F.count("*").alias("n_documents"))
+    return counted.select("n_true", "corroborated", confidence_score(F.col("n_true"), F.col("corroborated")).alias("score"), confidence(F.col("n_true"), F.lit(True), F.col("corroborated")).alias("confidence"), "n_documents")
 
 
 def check_d4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,8 +230,11 @@ def source_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy_outage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stands in for the violations where rules can't be evaluated."""
-    return policies.no_violations(spark)
+    """Systems with their violations where the rules can be evaluated, and with what stands in for them where they can't."""
+    count = lambda rows, name: rows.groupBy("system_id").agg(F.count("*").alias(name))
+    systems = Records(spark, sf_dir).gxp_systems.select(F.col("id").alias("system_id"))
+    met = systems.join(count(violations(spark, sf_dir), "n_reached"), "system_id", "left").join(count(policies.no_violations(spark), "n_in_outage"), "system_id", "left")
+    return met.na.fill(0)
 
 
 def verify_outage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,8 +245,31 @@ def verify_outage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations of the golden rows."""
-    return policies.evaluate_policies(seed(spark), NOW_NS).select("rule_id", "system_id", "record_id")
+    """Violations of the given records and the golden ones together, loaded as new records beside them: by rule and system."""
+    given, golden = Records(spark, sf_dir), seed(spark)
+    both = {}
+    for name in INPUT_TABLES:
+        own = given[name]
+        both[name] = insert_if_absent(own, golden[name].select(*[F.col(c).cast(k).alias(c) if c in golden[name].columns else F.lit(None).cast(k).alias(c) for c, k in own.dtypes]))
+    return policies.policy_summary(policies.evaluate_policies(both, NOW_NS))
+
+
+def rbac_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by the role of their segment: each role's agents, and how many may call them."""
+    role = F.expr("CASE c_mktsegment WHEN 'MACHINERY' THEN 'IT System Manager' WHEN 'BUILDING' THEN 'QA/Compliance' WHEN 'HOUSEHOLD' THEN 'Auditor' ELSE 'Guest' END")
+    users = table(spark, sf_dir, "customer").groupBy(role.alias("role")).agg(F.count("*").alias("n_users"))
+    return gateway.rbac_matrix(spark).join(users, "role", "left").na.fill(0, ["n_users"])
+
+
+def record_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All record tables that the given ones make: columns of another type than the registry's, nanosecond columns, and rows."""
+    t = Records(spark, sf_dir)
+    return quality.record_columns_gate(t, RECORD_TABLES)
+
+
+def schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the registry must hold, and how many of it the given tables make."""
+    return quality.schema_gate(spark, Records(spark, sf_dir), RECORD_TABLES)
 
 
 def provider_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,7 +422,7 @@ def queries() -> dict[str, Query]:
     own = (
         policy_from_json, violations_json, audit_package, findings_all, verify_findings, error_findings, routed_findings, confidence_ladder, check_d4, dq_assertions, dq_insert_if_absent, upsert_latest, merge_last_write, chain_build, chain_verify_clean,
         chain_verify_tampered, chunk_documents, dense_topk, bm25_topk, rrf_fusion, provenance, parent_context, injection_regex, entropy_score, route_validate, provider_selection, authorized_requests, risk_rubric,
-        reach_bounded, dq_schema, source_status, policy_outage, verify_outage, golden_seed, provider_cascade, recurring_incidents, duty_conflicts, machine_states, source_reconciliation, event_order, identifier_search, exact_fusion, term_statistics, agent_states, parent_sections, document_headings, chunk_upsert,
+        reach_bounded, dq_schema, source_status, policy_outage, verify_outage, golden_seed, provider_cascade, recurring_incidents, duty_conflicts, machine_states, source_reconciliation, event_order, identifier_search, exact_fusion, term_statistics, agent_states, parent_sections, document_headings, chunk_upsert, rbac_matrix, record_columns, schema_gate,
     )
     return (
         {f"policy_{rule.__name__}": _over(rule) for rule in policies.BUNDLE}
@@ -405,7 +439,6 @@ def queries() -> dict[str, Query]:
             "blast_radius": lambda s, d: graph.blast_radius(_reached(s, d)),
             "downstream_impact": lambda s, d: impact.downstream_impact(graph.evidence_edges(Records(s, d))),
             "impact_by_type": lambda s, d: graph.impact_by_type(_reached(s, d)),
-            "rbac_matrix": lambda s, d: gateway.rbac_matrix(s),
             "action_routing": lambda s, d: gateway.route_actions(Records(s, d).action_proposals),
             "readiness_score": lambda s, d: readiness.readiness(Records(s, d), violations(s, d)),
             "gap_matrix": lambda s, d: readiness.gap_matrix(violations(s, d)),

@@ -9,6 +9,7 @@ from veriframe.plans.catalogue import NEEDED
 
 _P = 1755648000000000000
 _D = 86400000000000
+_TERM = TERM.replace("*+", "*")  # DuckDB's patterns don't go back anyway
 
 _TABLES = f"""
 gxp_systems AS (SELECT 'SYS-' || n_nationkey AS id, n_name AS name, {_P} - 31 * n_nationkey::BIGINT * {_D} AS last_backup_test_ns FROM nation),
@@ -86,10 +87,10 @@ query AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q, label FROM
 similar_ AS (SELECT vec_id AS id, e.label = query.label AS same, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), q) AS score FROM embeddings e, query),
 tok AS (SELECT doc_id, chunk_index, regexp_extract_all(lower(content), '[a-z0-9]+') AS t FROM chunks),
 tf AS (SELECT doc_id, chunk_index, len(t) AS n, len(list_filter(t, lambda x: x = 'the')) AS a, len(list_filter(t, lambda x: x = 'with')) AS b, len(list_filter(t, lambda x: x = 'edited')) AS e FROM tok),
-terms AS (SELECT doc_id, chunk_index, list_transform(regexp_extract_all(lower(content), '{TERM}'), lambda x: regexp_replace(x, '\\s+', ' ', 'g')) AS t FROM chunks),
+terms AS (SELECT doc_id, chunk_index, regexp_extract_all(regexp_replace(lower(content), '\\s+', ' ', 'g'), '{_TERM}') AS t FROM chunks),
 placed AS (SELECT doc_id, chunk_index, len(t) AS n, unnest(t) AS term, unnest(range(0, len(t)::BIGINT)) AS pos FROM terms),
 posted AS (SELECT doc_id, chunk_index, n, term, count(*) AS tf, sum(pos)::BIGINT AS at_sum FROM placed GROUP BY ALL),
-asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_transform(regexp_extract_all(lower(coalesce(text, '')), '{TERM}'), lambda x: regexp_replace(x, '\\s+', ' ', 'g'))) AS term FROM benchmark),
+asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'), '{_TERM}')) AS term FROM benchmark),
 dfs AS (SELECT term, count(*) AS df FROM posted WHERE term IN (SELECT term FROM asked) GROUP BY term),
 ranked AS (SELECT query_id, doc_id, chunk_index, round(sum(ln(1 + ((SELECT count(*) FROM terms) - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * n / (SELECT avg(len(t)) FROM terms)))), 9) AS score,
   count(*) FILTER (WHERE regexp_matches(term, '[^a-z0-9]'))::INT AS n_identifiers FROM asked JOIN dfs USING (term) JOIN posted USING (term) GROUP BY ALL),
@@ -115,6 +116,8 @@ kinds(prefix, node_type) AS (VALUES ('URS', 'REQUIREMENT'), ('TC', 'TEST_CASE'),
 grants AS (SELECT 'U-' || o_custkey AS user_id, 'SYS-' || c_nationkey AS system_id, ({PERMISSIONS})[3 * (o_orderpriority[1]::INT - 1) + CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END + 1] AS permission FROM oc),
 below AS (SELECT source_id AS source, target_id AS node FROM edges UNION SELECT source, target_id FROM below JOIN edges ON node = source_id),
 impacts AS (SELECT source, count(*) AS n_total FROM below WHERE source <> node GROUP BY source),
+dimensions AS (SELECT id, 9 - len(bad) AS n_true, array_to_string(bad, ',') AS failed, CASE WHEN len(bad) = 0 THEN 'VERIFIED' WHEN len(bad) <= 4 THEN 'FAIL' ELSE 'INSUFFICIENT' END AS outcome
+  FROM (SELECT id, list_filter([CASE WHEN coalesce(author, '') = '' THEN 'attributable' END, CASE WHEN doc_type IS NULL THEN 'legible' END, CASE WHEN created_date IS NULL OR doc_id IN (SELECT user_id FROM events WHERE ts IS NULL) THEN 'contemporaneous' END, CASE WHEN is_copy THEN 'original' END, CASE WHEN NOT accurate THEN 'accurate' END, CASE WHEN author IS NULL OR status IS NULL THEN 'complete' END, CASE WHEN system_id NOT IN (SELECT id FROM gxp_systems) OR doc_id IN (SELECT user_id FROM (SELECT user_id, ts < lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS late FROM events) WHERE late) THEN 'consistent' END, CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN 'enduring' END], lambda x: x IS NOT NULL) AS bad FROM docs)),
 proposals AS (SELECT 'AP-' || o_orderkey AS id, 'U-' || o_custkey AS user_id, CASE o_orderpriority[1] WHEN '1' THEN 'bad' WHEN '2' THEN 'bad' WHEN '3' THEN 'doubt' WHEN '4' THEN 'ok' WHEN '5' THEN 'ok' END AS symbol FROM orders),
 steps AS (SELECT 'documentation' AS machine, system_id AS subject, NULL::BIGINT AS ns, id AS tie, CASE WHEN id IN (SELECT record_id FROM v1) THEN 'bad' WHEN status = 'APPROVED' THEN 'ok' ELSE 'doubt' END AS symbol FROM docs
   UNION ALL SELECT 'traceability', r.system_id, NULL, r.id, CASE WHEN t.status = 'DRAFT' THEN 'bad' WHEN t.id IS NOT NULL THEN 'ok' ELSE 'doubt' END FROM requirements r LEFT JOIN test_cases t ON t.id = r.test_case_id
@@ -155,6 +158,25 @@ _NS = [("gxp_systems", "last_backup_test_ns"), ("risks", "last_review_date_ns"),
 _DIMENSIONS = [("0.25", ["docs"], ["v1"]), ("0.20", ["access_reviews", "access_records"], ["v2", "v9"]), ("0.20", ["risks"], ["v3"]), ("0.15", ["incidents"], ["v4"]), ("0.12", ["changes"], ["v10"]), ("0.08", ["requirements"], ["v5"])]
 
 
+#: The record tables and the rows that each is made from; those with a nanosecond column.
+_MADE = {
+    "gxp_systems": ["nation"], "documents": ["documents"], "document_chunks": ["labels"], "requirements": ["part"], "risks": ["part"], "design_elements": ["nation"], "test_cases": ["supplier"], "test_results": ["lineitem"], "incidents": ["events"],
+    "access_reviews": ["oc"], "access_records": ["customer"], "suppliers": ["supplier"], "supplier_assessments": ["part"], "periodic_evaluations": ["customer"], "changes": ["oc"], "change_actions": ["lineitem"],
+    "findings": ["(SELECT 1 FROM orders WHERE o_orderstatus = 'F')"], "evidence_refs": ["orders"], "action_proposals": ["orders"], "graph_nodes": ["part", "supplier", "part", "events", "documents"], "graph_edges": ["part"], "users": ["customer"], "sessions": ["events"],
+}
+_WITH_NS = [t for t, _ in _NS]
+_GOLDEN = [
+    ("GXP-MFG-DEMO-01", "ANNEX11-S4-DOC-001", "HIGH"), ("GXP-MFG-DEMO-01", "ANNEX11-S12-ACC-001", "HIGH"), ("GXP-MFG-DEMO-01", "ICH-Q9-RSK-001", "MEDIUM"), ("GXP-MFG-DEMO-01", "ANNEX11-S13-INC-001", "HIGH"),
+    ("GXP-MFG-DEMO-01", "ANNEX11-S4-TRC-001", "HIGH"), ("GXP-MFG-DEMO-01", "ANNEX11-S3-SUP-001", "MEDIUM"), ("GXP-MFG-DEMO-01", "ANNEX11-S11-PE-001", "HIGH"), ("GXP-MFG-DEMO-01", "ANNEX11-S16-BCK-001", "HIGH"),
+    ("BUS-IT-DEMO-02", "ANNEX11-S16-BCK-001", "HIGH"), ("GXP-MFG-DEMO-01", "ANNEX11-S12-ACC-002", "CRITICAL"), ("GXP-MFG-DEMO-01", "ANNEX11-S10-CHG-001", "HIGH"),
+]
+
+
+def _rows(names: list[str]) -> str:
+    """SQL for the rows of record tables together."""
+    return "(" + " + ".join(f"(SELECT count(*) FROM {source})" for n in names for source in _MADE[n]) + ")"
+
+
 def _counts(names: list[str]) -> str:
     return "(" + " + ".join(f"(SELECT count(*) FROM {'(SELECT DISTINCT * FROM ' + n + ')' if n[0] == 'v' else n} x WHERE x.system_id = s.id)" for n in names) + ")"
 
@@ -177,19 +199,19 @@ _SELECTS = {f"policy_p{n:02d}": f"SELECT * FROM v{n}" for n in range(1, 11)} | {
     "WHEN 'A6' THEN 'ANNEX11-S12-ACC-001,ANNEX11-S12-ACC-002' ELSE '' END AS citations, 'LOW' AS confidence_score, '' AS evidence, CASE agent WHEN 'A1' THEN 0 ELSE 6 END AS n_true, "
     "CASE agent WHEN 'A1' THEN 'gemini-2.5-flash' ELSE 'deterministic-fallback' END AS model_attribution FROM gxp_systems, (VALUES ('A1'), ('A2'), ('A3'), ('A4'), ('A5'), ('A6')) a(agent)",
     "routed_findings": "SELECT system_id, agent, finding_id FROM f WHERE CASE WHEN system_id < 'SYS-2' THEN agent IN ('A2', 'A3') ELSE agent = 'A4' END",
-    "confidence_ladder": "SELECT n_true, corroborated, score, CASE WHEN score > 80 THEN 'HIGH' WHEN score >= 50 THEN 'MEDIUM' WHEN score > 0 THEN 'LOW' ELSE 'INSUFFICIENT_EVIDENCE' END AS confidence FROM "
-    "(SELECT n::INT AS n_true, c AS corroborated, (100 - (9 - n) * 10 - CASE WHEN c THEN 0 ELSE 100 END)::INT AS score FROM range(10) t(n), (VALUES (true), (false)) b(c))",
+    "confidence_ladder": "SELECT n_true, corroborated, score, CASE WHEN score > 80 THEN 'HIGH' WHEN score >= 50 THEN 'MEDIUM' WHEN score > 0 THEN 'LOW' ELSE 'INSUFFICIENT_EVIDENCE' END AS confidence, count(*) AS n_documents FROM "
+    "(SELECT n_true, id IN (SELECT record_id FROM v) AS corroborated, (100 - (9 - n_true) * 10 - CASE WHEN id IN (SELECT record_id FROM v) THEN 0 ELSE 100 END)::INT AS score FROM dimensions) GROUP BY ALL",
     "dq_schema": "SELECT *, n_missing = 0 AS passed FROM (" + " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, (SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS n_columns, {len(cols)} - (SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}' AND column_name IN ({', '.join(repr(c) for c in cols)})) AS n_missing, "
         f"(SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}' AND (data_type LIKE 'TIMESTAMP%' OR ends_with(column_name, '_ns'))) AS n_times, (SELECT count(*) FROM {t}) AS n_rows" for t, cols in NEEDED.items()) + ")",
     "dq_fk_orphans": " UNION ALL ".join(f"SELECT '{child}' AS child, '{column}' AS column_name, '{parent}' AS parent, (SELECT count(*) FROM {rows} r WHERE r.{column} IS NOT NULL AND r.{column} NOT IN (SELECT {key} FROM {of})) AS n_orphans" for child, rows, column, of, parent, key in _FK),
     "reach_bounded": "SELECT * FROM reached WHERE hop <= 1",
     "source_status": "SELECT 'documents' AS table_name, true AS source_available, count(*) AS n_rows FROM documents UNION ALL SELECT 'users', true, count(*) FROM customer UNION ALL SELECT 'agent_messages', false, 0",
-    "policy_outage": "SELECT * FROM v WHERE false",
+    "policy_outage": "SELECT s.id AS system_id, (SELECT count(*) FROM v WHERE v.system_id = s.id) AS n_reached, 0 AS n_in_outage FROM gxp_systems s",
     "verify_outage": "SELECT finding_id, system_id, 'INSUFFICIENT_EVIDENCE' AS confidence, false AS db_record_found, false AS opa_corroborated FROM f",
-    "golden_seed": "SELECT * FROM (VALUES ('ANNEX11-S4-DOC-001', 'GXP-MFG-DEMO-01', 'DOC-2026-OM-99'), ('ANNEX11-S12-ACC-001', 'GXP-MFG-DEMO-01', 'AR-2026-05'), ('ICH-Q9-RSK-001', 'GXP-MFG-DEMO-01', 'RSK-2024-11'), "
-    "('ANNEX11-S13-INC-001', 'GXP-MFG-DEMO-01', 'INC-849201'), ('ANNEX11-S4-TRC-001', 'GXP-MFG-DEMO-01', 'URS-042'), ('ANNEX11-S3-SUP-001', 'GXP-MFG-DEMO-01', 'SUP-2026-01'), ('ANNEX11-S11-PE-001', 'GXP-MFG-DEMO-01', 'PE-2024-01'), "
-    "('ANNEX11-S16-BCK-001', 'GXP-MFG-DEMO-01', 'GXP-MFG-DEMO-01'), ('ANNEX11-S16-BCK-001', 'BUS-IT-DEMO-02', 'BUS-IT-DEMO-02'), ('ANNEX11-S12-ACC-002', 'GXP-MFG-DEMO-01', 'ACC-2026-99'), ('ANNEX11-S10-CHG-001', 'GXP-MFG-DEMO-01', 'CR-2026-089')) t(rule_id, system_id, record_id)",
+    "golden_seed": f"SELECT system_id, rule_id, severity, count(*) AS n_violations FROM (SELECT system_id, rule_id, severity FROM v UNION ALL SELECT * FROM (VALUES {', '.join(map(str, _GOLDEN))}) g(system_id, rule_id, severity)) GROUP BY ALL",
+    "record_columns": " UNION ALL ".join(f"SELECT '{t}' AS table_name, 0 AS n_unknown, {int(t in _WITH_NS)} AS n_ns, {_rows([t])} AS n_rows, true AS passed" for t in _MADE),
+    "schema_gate": f"SELECT 'tables' AS gate, 27 AS expected, 27 AS actual, true AS passed, {len(_MADE)} AS n_made, {_rows(list(_MADE))} AS n_rows UNION ALL SELECT 'references', 21, 21, true, 21, {_rows(sorted({x[0] for x in _FK}))} UNION ALL SELECT 'ns_columns', 8, 8, true, {len(_WITH_NS)}, {_rows(_WITH_NS)}",
     "provider_cascade": "SELECT task, answered_by, answered_by = '' AS degraded, CASE WHEN answered_by <> '' THEN '' WHEN p IS NULL THEN 'unknown_task' WHEN o IN ('missing_key', 'timeout', 'http_429', 'http_503') THEN o || ':' || p || ';' || s || ':openrouter_fallback' ELSE o || ':' || p END AS failure_reason, count(*) AS n_calls FROM "
     "(SELECT task, p, o, s, CASE WHEN p IS NULL THEN '' WHEN o = 'ok' THEN p WHEN o IN ('missing_key', 'timeout', 'http_429', 'http_503') AND s = 'ok' THEN 'openrouter_fallback' ELSE '' END AS answered_by FROM "
     "(SELECT task, CASE WHEN task IN ('knowledge', 'compliance', 'change') THEN 'gemini_flash_fast' WHEN task = 'incident' THEN 'groq_llama' END AS p, (['ok', 'missing_key', 'timeout', 'http_429', 'http_503', 'http_404', 'reset'])[event_id % 7 + 1] AS o, (['ok', 'ok', 'timeout', 'missing_key', 'http_500'])[event_id % 5 + 1] AS s FROM "
@@ -206,10 +228,7 @@ _SELECTS = {f"policy_p{n:02d}": f"SELECT * FROM v{n}" for n in range(1, 11)} | {
     "FROM (SELECT chain, min(i) FILTER (WHERE value > 370) AS bad, arg_min(event_id, i) FILTER (WHERE value > 370) AS bad_id, count(*) AS n FROM log GROUP BY chain)",
     "chunk_documents": "SELECT doc_id, chunk_index, md5(content) AS content_md5, length(content) AS n_chars FROM chunks",
     "alcoa_prescore": "SELECT id, coalesce(author, '') <> '' AS attributable, created_date IS NOT NULL AS contemporaneous, NOT coalesce(is_copy, false) AS original FROM docs",
-    "alcoa_extended": "SELECT id, 9 - len(bad) AS n_true, array_to_string(bad, ',') AS failed, CASE WHEN len(bad) = 0 THEN 'VERIFIED' WHEN len(bad) <= 4 THEN 'FAIL' ELSE 'INSUFFICIENT' END AS outcome FROM (SELECT id, list_filter([CASE WHEN coalesce(author, '') = '' THEN 'attributable' END, "
-    "CASE WHEN doc_type IS NULL THEN 'legible' END, CASE WHEN created_date IS NULL OR doc_id IN (SELECT user_id FROM events WHERE ts IS NULL) THEN 'contemporaneous' END, CASE WHEN is_copy THEN 'original' END, CASE WHEN NOT accurate THEN 'accurate' END, CASE WHEN author IS NULL OR status IS NULL THEN 'complete' END, "
-    "CASE WHEN system_id NOT IN (SELECT id FROM gxp_systems) OR doc_id IN (SELECT user_id FROM (SELECT user_id, ts < lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS late FROM events) WHERE late) THEN 'consistent' END, "
-    "CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN 'enduring' END], lambda x: x IS NOT NULL) AS bad FROM docs)",
+    "alcoa_extended": "SELECT * FROM dimensions",
     "source_reconciliation": "SELECT id, CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN 'lost' ELSE 'changed' END AS outcome FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM labels) OR n_chars % 10 = 0 AND n_chars > 0",
     "event_order": "SELECT 'U-' || o_custkey AS subject, count(*) AS n_events, count(*) FILTER (WHERE o_orderdate IS NULL) AS n_undated, count(*) FILTER (WHERE late) AS n_out_of_order FROM (SELECT *, o_orderdate < lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS late FROM orders) GROUP BY o_custkey",
     "dense_topk": "SELECT id, round(score, 6) AS score FROM similar_ WHERE same ORDER BY similar_.score DESC, id LIMIT 5",
@@ -224,7 +243,7 @@ _SELECTS = {f"policy_p{n:02d}": f"SELECT * FROM v{n}" for n in range(1, 11)} | {
     "blast_radius": "SELECT source, n_direct, n_indirect, n_controls, CASE WHEN n_direct + n_indirect >= 10 THEN 'HIGH' WHEN n_direct + n_indirect >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS impact FROM "
     "(SELECT source, count(*) FILTER (WHERE hop = 1) AS n_direct, count(*) FILTER (WHERE hop > 1) AS n_indirect, count(*) FILTER (WHERE node_type IN ('TEST_CASE', 'ACCESS_RECORD')) AS n_controls FROM typed WHERE hop > 0 GROUP BY source)",
     "impact_by_type": "SELECT node_type, hop, count(*) AS n_nodes, count(DISTINCT node) AS n_distinct FROM typed WHERE hop > 0 GROUP BY ALL",
-    "rbac_matrix": "SELECT role, agent, list_contains(agents, agent) AS allowed FROM (VALUES ('IT System Manager', ['A1', 'A2', 'A3', 'A4', 'A5', 'A6', 'A7']), ('QA/Compliance', ['A1', 'A2', 'A3', 'A4', 'A5', 'A6']), ('Auditor', ['A1', 'A2'])) r(role, agents), "
+    "rbac_matrix": "SELECT role, agent, list_contains(agents, agent) AS allowed, (SELECT count(*) FROM customer WHERE CASE c_mktsegment WHEN 'MACHINERY' THEN 'IT System Manager' WHEN 'BUILDING' THEN 'QA/Compliance' WHEN 'HOUSEHOLD' THEN 'Auditor' ELSE 'Guest' END = role) AS n_users FROM (VALUES ('IT System Manager', ['A1', 'A2', 'A3', 'A4', 'A5', 'A6', 'A7']), ('QA/Compliance', ['A1', 'A2', 'A3', 'A4', 'A5', 'A6']), ('Auditor', ['A1', 'A2'])) r(role, agents), "
     "(VALUES ('A1'), ('A2'), ('A3'), ('A4'), ('A5'), ('A6'), ('A7')) a(agent)",
     "authorized_requests": "SELECT role, agent, CASE role WHEN 'IT System Manager' THEN agent <= 'A7' WHEN 'QA/Compliance' THEN agent <= 'A6' WHEN 'Auditor' THEN agent <= 'A2' ELSE false END AS allowed, count(*) AS n_requests FROM "
     "(SELECT CASE user_id % 4 WHEN 0 THEN 'IT System Manager' WHEN 1 THEN 'QA/Compliance' WHEN 2 THEN 'Auditor' ELSE 'Guest' END AS role, 'A' || (event_id % 8 + 1) AS agent FROM events) GROUP BY ALL",
