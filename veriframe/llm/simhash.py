@@ -33,6 +33,8 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 2
 GOLAY = 0b101011100011
 #: Anchors with more rows than this are searched breadth first, not by all shifts.
 WIDE = 64
+#: Rows of an anchor that 256 others are held against at once.
+STRETCH = 32_768
 
 
 def fingerprint(text: bytes) -> int:
@@ -126,12 +128,17 @@ def _spanning(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
             block, front = front[:256], front[256:]
-            close = np.bitwise_count(block[:, None] ^ rest[None, :]) <= MAX_BITS
-            hit = close.any(axis=0)
-            if hit.any():
-                new = rest[hit]
-                yield block[close[:, hit].argmax(axis=0)], new
-                front, rest = np.concatenate([front, new]), rest[~hit]
+            left = []
+            for at in range(0, len(rest), STRETCH):  # an anchor of any size is compared in memory of one size
+                part = rest[at : at + STRETCH]
+                close = np.bitwise_count(block[:, None] ^ part[None, :]) <= MAX_BITS
+                hit = close.any(axis=0)
+                left.append(part[~hit])
+                if hit.any():
+                    new = part[hit]
+                    yield block[close[:, hit].argmax(axis=0)], new
+                    front = np.concatenate([front, new])
+            rest = np.concatenate(left)
 
 
 def _links(keys: np.ndarray, fps: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
