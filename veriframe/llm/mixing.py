@@ -158,8 +158,12 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = WEIGHT
     return _share(out, durable(repeated, "mix-repeated")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"_row.{c}").alias(c) for c in keep])
 
 
+#: Parts that the rows of a repeated key are numbered in.
+PARTS = 64
+
+
 def _share(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``copies`` of each row: its whole part, and one more for as many rows of a key as were picked. Only rows of keys that repeat are numbered for that."""
+    """``copies`` of each row: its whole part, and one more for as many rows of a key as were picked. Only rows of keys that repeat are numbered for that; which of a key's rows are picked isn't defined, as they have one id and text."""
     base, extra = F.col("whole").cast("long"), F.coalesce("extra", F.lit(0)).cast("long")
     alone = rows.withColumn("copies", F.when(F.col("size") > 0, base + extra).otherwise(0).cast("long"))
     if repeated.isEmpty():
@@ -168,8 +172,14 @@ def _share(rows: DataFrame, repeated: DataFrame) -> DataFrame:
 
     repeated = maybe_broadcast(repeated, BROADCAST_KEYS)
     known = (F.col("key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s"))
-    turn = F.row_number().over(Window.partitionBy("source", "key").orderBy("doc_id"))
-    several = rows.join(repeated, known, "left_semi").withColumn("_turn", turn).withColumn("copies", base + (F.col("_turn") <= extra).cast("long")).drop("_turn")
+    # Rows of a key are dealt into parts and numbered in each, after those of the parts before, so that one key may have any number of rows.
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).alias("_part")
+    held = durable(rows.join(repeated, known, "left_semi").select("*", part), "mix-several")
+    sizes = held.groupBy("source", "key", "_part").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("source", "key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("source").alias("_s"), F.col("key").alias("_k"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = held.withColumn("_turn", F.row_number().over(Window.partitionBy("source", "key", "_part").orderBy("doc_id"))).join(sizes, known & (F.col("_part") == F.col("_p")))
+    several = numbered.withColumn("copies", base + (F.col("_turn") + F.col("_before") <= extra).cast("long")).drop("_turn", "_before", "_part", "_s", "_k", "_p")
     return alone.join(repeated, known, "left_anti").unionByName(several)
 
 
