@@ -439,7 +439,7 @@ def queries() -> dict[str, Query]:
             "blast_radius": lambda s, d: graph.blast_radius(_reached(s, d)),
             "downstream_impact": lambda s, d: impact.downstream_impact(graph.evidence_edges(Records(s, d))),
             "impact_by_type": lambda s, d: graph.impact_by_type(_reached(s, d)),
-            "action_routing": lambda s, d: gateway.route_actions(Records(s, d).action_proposals),
+            "action_routing": lambda s, d: gateway.route_actions(Records(s, d).action_proposals.drop("user_id")),
             "readiness_score": lambda s, d: readiness.readiness(Records(s, d), violations(s, d)),
             "gap_matrix": lambda s, d: readiness.gap_matrix(violations(s, d)),
             "evidence_heat_map": lambda s, d: readiness.evidence_heat_map(Records(s, d)),
