@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
+
 import corpus_pipeline as pipeline
 from tests.llm.test_operators import docs
 from veriframe.llm import near_copies
@@ -63,22 +66,51 @@ def test_rows_of_one_id_and_of_none(spark):
     assert got == [(0, c), (3, b[:20]), (4, ("long word " * 3)[:20]), (7, a[:20]), (8, "")]
 
 
-def test_wide_bands(spark):
-    """Texts made from one template, all about 0.7 alike, in pairs that are 0.8 alike: of 300 pairs hardly any is missed."""
-    rng = random.Random(3)
-    base, texts = [f"v{k}" for k in range(300)], {}
+def template(rng, n: int, words: int, step: int, changes: int, more: int) -> dict[int, str]:
+    """``n`` pairs of texts of one template; texts of different pairs differ in twice ``changes`` words, those of a pair in ``more``."""
+    base, texts = [f"v{k}" for k in range(words)], {}
 
     def changed(words, n):
         out = list(words)
-        for at in rng.sample(range(0, len(out) - 6, 6), n):
+        for at in rng.sample(range(0, len(out) - 6, step), n):
             out[at] = f"z{rng.randrange(10**9)}"
         return out
 
-    for k in range(300):
-        mine = changed(base, 5)
-        texts[2 * k], texts[2 * k + 1] = " ".join(mine), " ".join(changed(mine, 5))
-    want = brute(texts)
-    frame = docs(spark, *texts.items()).drop("_id")
-    got = pipeline.near_duplicates(spark, frame, "").count()
-    print(len(want), got)
-    assert got <= len(want) + 3
+    for k in range(n):
+        mine = changed(base, changes)
+        texts[2 * k], texts[2 * k + 1] = " ".join(mine), " ".join(changed(mine, more))
+    return texts
+
+
+def test_wide_bands(spark):
+    """Texts of one template, all about 0.7 alike, in pairs that are 0.8 alike: none of 300 links is missed."""
+    texts = template(random.Random(3), 300, 300, 6, 5, 5)
+    got = sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs(spark, *texts.items()).drop("_id"), "").collect())
+    assert got == brute(texts)
+
+
+def test_families(spark, monkeypatch):
+    """Texts of one template, most of them just under 0.8 alike, so that their rarest shingles are common too; blocks so small that there are many."""
+    monkeypatch.setattr(near_copies, "BLOCK_NODES", 40)
+    monkeypatch.setattr(near_copies, "WIDE", 8)
+    called = []
+    whole = near_copies.families
+    monkeypatch.setattr(near_copies, "families", lambda *a: called.append(1) or whole(*a))
+    texts = template(random.Random(4), 150, 300, 6, 4, 2)
+    got = sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs(spark, *texts.items()).drop("_id"), "").collect())
+    assert called and got == brute(texts)
+
+
+def test_blocks_against_sets():
+    """Overlaps by products and links of blocks against Python's sets."""
+    rng = np.random.default_rng(5)
+    sets = [np.sort(rng.permutation(60)[: rng.integers(44, 56)]) for _ in range(70)]
+    frame = pd.DataFrame({"node": range(100, 170), "root": range(100, 170), "shingles": sets, "at": [k % 2 for k in range(70)], "i": 0, "j": 1})
+    both = near_copies.overlaps(sets, sets)
+    assert all(both[a, b] == len(set(sets[a]) & set(sets[b])) for a in range(70) for b in range(70))
+    near = [(a, b) for a, b in combinations(range(70), 2) if a % 2 != b % 2 and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))]
+    assert 10 < len(near) < 1_000
+    want = near_copies.least_labels(70, *(np.array(x) for x in zip(*near)))
+    links = near_copies.compared(frame)
+    got = near_copies.least_labels(70, links["u"].to_numpy() - 100, links["v"].to_numpy() - 100)
+    assert (want == got).all()

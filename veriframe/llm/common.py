@@ -2,39 +2,23 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriframe.functions.runtime import shared_folder, table_name
+
 #: The white space of all contracts, ``[\x20\x09-\x0D]``, as characters.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a temporary one on a local master; elsewhere an error, since executors don't see each other's disks."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if not _own:
-            _own.append(f"file://{tempfile.mkdtemp(prefix='veriframe-')}")
-        path = _own[0]
-    return path.rstrip("/")
-
-
 def durable(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veriframe/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -43,8 +27,8 @@ def durable(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 def bucketed(df: DataFrame, name: str, buckets: int, by: tuple[str, ...], partition_by: tuple[str, ...] = (), placed: bool = False) -> DataFrame:
     """``df`` written to the shared folder in buckets of ``by``, each sorted, and read again: joins and sums by ``by`` of such tables with as many buckets need no shuffle. ``placed``: ``df`` comes from such tables."""
     spark = df.sparkSession
-    table = f"veriframe_{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    writer = (df if placed else df.repartition(buckets, *by)).write.bucketBy(buckets, *by).sortBy(*by).option("path", f"{shared_dir(spark)}/veriframe/{table}")
+    table = table_name(spark, name)
+    writer = (df if placed else df.repartition(buckets, *by)).write.bucketBy(buckets, *by).sortBy(*by).option("path", shared_folder(spark, name))
     (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table)
     return spark.table(table)
 

@@ -1,18 +1,21 @@
 """Near copies by operator 10's anchors, carried on to a similarity of 0.8: what the pipeline's near-duplicate stage calls.
 
 Texts are near copies when their sets of five-word shingles have a Jaccard similarity of 0.8 or more; every link is checked
-on the whole sets. Texts with the same set are one node, and copies of a node are never expanded into pairs. Candidates come in three waves, and a pair whose nodes earlier
+on the whole sets. Texts with the same set are one node, and copies of a node are never expanded into pairs. Candidates come in four waves, and a pair whose nodes earlier
 waves have joined is not looked at again, so that a large group of copies costs a few checks a node, not all its pairs:
 
 1. SimHash fingerprints of the shingles within two bits, found at the anchors of the covering code (simhash.py). At 0.8 about ten of 64
    bits differ, far beyond any radius for which anchors are few, so that this wave finds close copies only;
 2. the first of each of the first three bands, of BANDS bands of ROWS min-hashes of the set;
-3. the first of each band, and all pairs of a band that holds WIDE nodes or fewer. A wider band is split by each of the next SPLITS
-   bands of its nodes, and the parts are treated alike; in a part that is wide still, PIVOTS nodes take the place of all.
-
-Two sets of similarity 0.8 share no band with a chance of (1 - 0.8^5)^24, about 7 in 100,000; where all bands are wide, they share
-none of the 72 parts with a chance of about 5 in 10,000. In a wide part, a pair may be missed that has no chain through any of its
-pivots: parts are wide where hundreds of texts are alike to a degree at which most of them are linked.
+3. the first of each band, and all pairs of a band that holds WIDE nodes or fewer;
+4. of the nodes in wider bands that still hold several components, all pairs that can be similar, by the rarest shingles of their
+   sets: sets of similarity 0.8 share one of the first |s| - 0.8 |s| + 1 when all are put in order of how many sets have them. Pairs
+   are made of the nodes of a shingle that WIDE nodes or fewer have among those; nodes that meet at more common ones are one family,
+   whose sets are held against one another block by block, in tasks of one size, each of which gives a forest and no list of pairs.
+
+Nothing is left out where many texts are alike. Two sets of similarity 0.8 share no band with a chance of (1 - 0.8^5)^24, about 7 in
+100,000. The price is paid in families: texts made from one template, most of them alike to 0.75 or so but not to 0.8, are compared
+each with each, as nothing short of that tells which are linked.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -32,7 +36,9 @@ from veriframe.llm.components import connected_components
 from veriframe.llm.simhash import majority, near_links
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-BANDS, ROWS, WIDE, SPLITS, PIVOTS, EARLY = 24, 5, 32, 3, 4, 3
+BANDS, ROWS, WIDE, EARLY = 24, 5, 32, 3
+#: Nodes, and shingles, of a block on average; columns of a product at once.
+BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 512, 500_000, 4_096
 #: Nodes of candidate pairs, and ids, that are broadcast at most; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 _MIX = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,11 +118,10 @@ def anchored(nodes: DataFrame) -> DataFrame:
     return same.unionByName(close)
 
 
-def pivoted(places: DataFrame, pivots: int) -> DataFrame:
-    """(band, node, root) -> pairs (u, v) of each node and those of other components among the ``pivots`` nodes of its band that come first by so many hashes."""
-    first = places.groupBy("band").agg(F.array(*[F.min(F.struct(F.xxhash64(F.lit(k), "band", "node").alias("h"), F.col("node"), F.col("root"))) for k in range(pivots)]).alias("first"))
-    other = F.filter("first", lambda p: p["root"] != F.col("root"))
-    return _pairs(places.join(first, "band").where(F.size(other) > 0).select("node", F.explode(F.array_distinct(F.transform(other, lambda p: p["node"]))).alias("end")), "node", "end")
+def pivoted(places: DataFrame) -> DataFrame:
+    """(band, node, root) -> pairs (u, v) of each node and the first of its band by a hash, if that is of another component."""
+    first = places.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "node").alias("h"), F.col("node"), F.col("root"))).alias("first"))
+    return _pairs(places.join(first, "band").where(F.col("first.root") != F.col("root")).select("node", F.col("first.node").alias("end")), "node", "end")
 
 
 def within(places: DataFrame) -> DataFrame:
@@ -133,6 +138,74 @@ def divided(places: DataFrame) -> DataFrame:
     return durable(places.join(of, "band"), "near-divided")
 
 
+def rarest(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) and their ``sets`` -> (node, root, band): of each set the shingles, one of which any similar set has among its own; those that no other set has are left out."""
+    tokens = durable(nodes.join(sets, "node").select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("band")), "near-tokens")
+    shared = durable(tokens.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
+    ordered = tokens.join(maybe_broadcast(shared, BROADCAST_NODES), "band").groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "band"))).alias("of"))
+    wanted = F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("of"))  # shingles of one set come first
+    return ordered.withColumn("wanted", wanted.cast("int")).where("wanted > 0").select("node", "root", F.explode(F.slice("of", F.lit(1), F.col("wanted"))).alias("p")).select("node", "root", "p.band")
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each of 0..n-1's component by the edges (a, b)."""
+    label = np.arange(n)
+    while True:
+        low, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets, by products of COLUMNS shared shingles at a time."""
+    flat = [np.concatenate(side) for side in (left, right)]
+    owner = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    common = np.intersect1d(*flat)
+    place = [np.searchsorted(common, f) for f in flat]
+    held = [np.take(common, np.minimum(p, len(common) - 1)) == f if len(common) else np.zeros(len(f), bool) for p, f in zip(place, flat)]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(common), COLUMNS):
+        parts = []
+        for side, p, h, o in zip((left, right), place, held, owner):
+            part, here = np.zeros((len(side), COLUMNS), np.float32), h & (p >= at) & (p < at + COLUMNS)
+            part[o[here], p[here] - at] = 1
+            parts.append(part)
+        total += parts[0] @ parts[1].T
+    return total.astype(np.float64)
+
+
+def compared(part: pd.DataFrame) -> pd.DataFrame:
+    """Rows (node, root, shingles, at, i, j) of blocks i and j of a family -> links (u, v) that join what the similar pairs of one block and the other join."""
+    sides = [part[part["at"] == part[c]] for c in ("i", "j")]
+    if not len(sides[0]) or not len(sides[1]):
+        return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+    sets = [[np.asarray(s) for s in side["shingles"]] for side in sides]
+    size = [np.array([len(s) for s in side], np.float64) for side in sets]
+    both = overlaps(*sets)
+    close = (both >= SIMILARITY * (size[0][:, None] + size[1][None, :] - both)) & (sides[0]["root"].to_numpy()[:, None] != sides[1]["root"].to_numpy()[None, :])
+    a, b = np.nonzero(close)
+    node = np.concatenate([side["node"].to_numpy() for side in sides])
+    label = least_labels(len(node), a, b + len(sides[0]))
+    return pd.DataFrame({"u": node[label], "v": node})[node[label] != node]
+
+
+def families(places: DataFrame, sets: DataFrame) -> DataFrame:
+    """(band, node, root) of wide bands -> links (u, v): nodes that bands join are a family, and any two of its blocks of nodes are compared in a task."""
+    first = places.groupBy("band").agg(F.min("node").alias("first"))
+    of = connected_components(_pairs(places.join(first, "band"), "node", "first")).select("node", F.col("root").alias("family"))
+    rows = durable(places.select("node", "root").distinct().join(of, "node").join(sets, "node"), "near-families")
+    n = F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int")
+    blocks = durable(rows.groupBy("family").agg(n.alias("blocks")), "near-blocks")
+    dealt = rows.join(maybe_broadcast(blocks, BROADCAST_NODES), "family").withColumn("at", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    other = dealt.select("family", "node", "root", "shingles", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    pairs = other.withColumn("i", F.least("at", "with")).withColumn("j", F.greatest("at", "with")).drop("with")
+    return pairs.groupBy("family", "i", "j").applyInPandas(compared, "u long, v long")
+
+
 def nearest_least(links: DataFrame) -> DataFrame:
     """(node, root): the least node within two links. Nodes of one root are in one component; a component may have several roots, which costs a few checks more and no link."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -166,13 +239,15 @@ def near_links_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
         of = maybe_broadcast(durable(nearest_least(reduce(DataFrame.unionByName, found)), "near-roots"), BROADCAST_NODES)
         return places.join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    found.append(checked(pivoted(divided(labelled(places.where(F.col("k") < EARLY))), 1)))
+    found.append(checked(pivoted(divided(labelled(places.where(F.col("k") < EARLY))))))
     places = divided(labelled(places))
-    wide = places.where(F.col("n") > WIDE).select("node", "root", "k", "band").join(nodes.select("node", "bands"), "node")
-    parts = wide.select("node", "root", F.explode(F.array(*[F.xxhash64(F.lit(j), "band", F.get("bands", (F.col("k") + j) % BANDS)) for j in range(1, SPLITS + 1)])).alias("band"))
-    parts = divided(durable(parts, "near-parts"))
-    rest = [pivoted(places, 1), within(places), within(parts), pivoted(parts.where(F.col("n") > WIDE), PIVOTS)]
-    found.append(checked(reduce(DataFrame.unionByName, rest)))
+    found.append(checked(pivoted(places).unionByName(within(places))))
+    wide = divided(labelled(places.where(F.col("n") > WIDE).select("node", "band"))).select("node", "root").distinct()
+    if not wide.isEmpty():
+        rare = divided(rarest(durable(wide, "near-wide"), sets))
+        found.append(checked(within(rare)))
+        if not (common := rare.where(F.col("n") > WIDE)).isEmpty():
+            found.append(durable(families(common, sets), "near-links"))
     return durable(reduce(DataFrame.unionByName, found), "near-all")
 
 
