@@ -7,11 +7,11 @@ waves have joined is not looked at again, so that a large group of copies costs
 1. SimHash fingerprints of the shingles within two bits, found at the anchors of the covering code (simhash.py). At 0.8 about ten of 64
    bits differ, far beyond any radius for which anchors are few, so that this wave finds close copies only;
 2. the first of each of the first three bands, of BANDS bands of ROWS min-hashes of the set;
-3. the first of each band, and all pairs of a band that holds WIDE nodes or fewer;
+3. the first of each band, and then all pairs of a band that holds WIDE nodes or fewer and several components still;
 4. of the nodes in wider bands that still hold several components, all pairs that can be similar, by the rarest shingles of their
    sets: sets of similarity 0.8 share one of the first |s| - 0.8 |s| + 1 when all are put in order of how many sets have them. Pairs
-   are made of the nodes of a shingle that WIDE nodes or fewer have among those; nodes that meet at more common ones are one family,
-   whose sets are held against one another block by block, in tasks of one size, each of which gives a forest and no list of pairs.
+   are made of the nodes of a shingle that WIDE nodes or fewer have among those, where sizes and places allow a similar pair whose
+   first common shingle it is; nodes that meet at more common ones are one family, whose sets are held against one another block by block, in tasks of one size, each of which gives a forest and no list of pairs.
 
 Nothing is left out where many texts are alike. Two sets of similarity 0.8 share no band with a chance of (1 - 0.8^5)^24, about 7 in
 100,000. The price is paid in families: texts made from one template, most of them alike to 0.75 or so but not to 0.8, are compared
@@ -139,12 +139,32 @@ def divided(places: DataFrame) -> DataFrame:
 
 
 def rarest(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) and their ``sets`` -> (node, root, band): of each set the shingles, one of which any similar set has among its own; those that no other set has are left out."""
+    """(node, root) and their ``sets`` -> (node, root, size, of, at, band): of each set the shingles, one of which any similar set has among its own; those that no other set has are left out.
+
+    ``of`` is how many sets have the shingle, ``at`` its place (from 1) in the set's order, by ``of`` and then by value.
+    """
     tokens = durable(nodes.join(sets, "node").select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("band")), "near-tokens")
-    shared = durable(tokens.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
-    ordered = tokens.join(maybe_broadcast(shared, BROADCAST_NODES), "band").groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "band"))).alias("of"))
-    wanted = F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("of"))  # shingles of one set come first
-    return ordered.withColumn("wanted", wanted.cast("int")).where("wanted > 0").select("node", "root", F.explode(F.slice("of", F.lit(1), F.col("wanted"))).alias("p")).select("node", "root", "p.band")
+    shared = durable(tokens.groupBy("band").agg(F.count("*").alias("of")).where("of > 1"), "near-shared")
+    ordered = tokens.join(maybe_broadcast(shared, BROADCAST_NODES), "band").groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("of", "band"))).alias("held"))
+    alone = F.col("size") - F.size("held")  # shingles of one set come first
+    wanted = F.greatest(F.lit(0), F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9) + 1 - alone).cast("int")
+    return ordered.select("node", "root", "size", alone.alias("alone"), F.posexplode(F.slice("held", F.lit(1), wanted)).alias("pos", "p")).select("node", "root", "size", "p.of", (F.col("alone") + F.col("pos") + 1).alias("at"), "p.band")
+
+
+def meeting(rare: DataFrame) -> DataFrame:
+    """Rows of ``rarest`` -> pairs (u, v) of different components that meet at a shingle of WIDE nodes or fewer and can be similar by their sizes and the shingle's places in them.
+
+    At the first shingle that two sets share, all that they share is still to come; a similar pair passes there, and need not elsewhere. Of shingles with the same nodes only the first can be that one.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in range(2)]
+    bands = rare.groupBy("band").agg(F.min("of").alias("of"), F.count("*").alias("n"), *marks, F.min("root").alias("a"), F.max("root").alias("b")).where((F.col("n") <= WIDE) & (F.col("a") != F.col("b")))
+    once = durable(bands.groupBy("n", "x0", "x1").agg(F.min(F.struct("of", "band")).alias("first")).select("first.band"), "near-meeting")
+    rows = durable(rare.join(once, "band"), "near-rare")
+    other = rows.select("band", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "size", "at")])
+    least = F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("other_size")) - 1e-9)
+    fits = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at")) + 1 >= least
+    both = rows.join(other, (rows["band"] == other["band"]) & (F.col("node") < F.col("other_node")) & (F.col("root") != F.col("other_root")) & fits)
+    return both.select(F.col("node").alias("u"), F.col("other_node").alias("v"))
 
 
 def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -241,12 +261,14 @@ def near_links_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     found.append(checked(pivoted(divided(labelled(places.where(F.col("k") < EARLY))))))
     places = divided(labelled(places))
-    found.append(checked(pivoted(places).unionByName(within(places))))
-    wide = divided(labelled(places.where(F.col("n") > WIDE).select("node", "band"))).select("node", "root").distinct()
+    found.append(checked(pivoted(places)))
+    places = divided(labelled(places.select("node", "band")))
+    found.append(checked(within(places)))
+    wide = places.where(F.col("n") > WIDE).select("node", "root").distinct()
     if not wide.isEmpty():
-        rare = divided(rarest(durable(wide, "near-wide"), sets))
-        found.append(checked(within(rare)))
-        if not (common := rare.where(F.col("n") > WIDE)).isEmpty():
+        rare = durable(rarest(durable(wide, "near-wide"), sets), "near-rarest")
+        found.append(checked(meeting(rare)))
+        if not (common := divided(rare).where(F.col("n") > WIDE)).isEmpty():
             found.append(durable(families(common, sets), "near-links"))
     return durable(reduce(DataFrame.unionByName, found), "near-all")
 
