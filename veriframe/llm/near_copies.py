@@ -138,6 +138,16 @@ def divided(places: DataFrame) -> DataFrame:
     return durable(places.join(of, "band"), "near-divided")
 
 
+def distinct_bands(places: DataFrame, order: str, *kept: Column) -> DataFrame:
+    """(band, node, ``order``) -> (band, n, ...): of bands that hold the same nodes, two or more, the first by ``order``; the others would only give the same pairs again. ``kept``: what else is summed for a band.
+
+    Bands are the same if their numbers of nodes and two 64-bit sums of hashes are.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in range(2)]
+    bands = places.groupBy("band").agg(F.min(order).alias("first"), F.count("*").alias("n"), *marks, *kept).where("n > 1")
+    return bands.groupBy("n", "x0", "x1").agg(F.min_by(F.struct(*[c for c in bands.columns if c not in ("x0", "x1", "n")]), F.struct("first", "band")).alias("b")).select("n", "b.*").drop("first")
+
+
 def rarest(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, root) and their ``sets`` -> (node, root, size, of, at, band): of each set the shingles, one of which any similar set has among its own; those that no other set has are left out.
 
@@ -156,9 +166,8 @@ def meeting(rare: DataFrame) -> DataFrame:
 
     At the first shingle that two sets share, all that they share is still to come; a similar pair passes there, and need not elsewhere. Of shingles with the same nodes only the first can be that one.
     """
-    marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in range(2)]
-    bands = rare.groupBy("band").agg(F.min("of").alias("of"), F.count("*").alias("n"), *marks, F.min("root").alias("a"), F.max("root").alias("b")).where((F.col("n") <= WIDE) & (F.col("a") != F.col("b")))
-    once = durable(bands.groupBy("n", "x0", "x1").agg(F.min(F.struct("of", "band")).alias("first")).select("first.band"), "near-meeting")
+    bands = distinct_bands(rare, "of", F.min("root").alias("a"), F.max("root").alias("b"))
+    once = durable(bands.where((F.col("n") <= WIDE) & (F.col("a") != F.col("b"))).select("band"), "near-meeting")
     rows = durable(rare.join(once, "band"), "near-rare")
     other = rows.select("band", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "size", "at")])
     least = F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("other_size")) - 1e-9)
@@ -238,8 +247,8 @@ def near_links_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``docs`` and their sketches -> links (u, v) of nodes."""
     nodes = durable(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-nodes")
     places = nodes.select("node", F.posexplode("bands").alias("k", "band"))
-    size = durable(places.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "near-bands")
-    places = durable(places.join(size, "band"), "near-places")  # of bands of two nodes or more
+    several = durable(distinct_bands(places, "k"), "near-bands")
+    places = durable(places.join(several.select("band"), "band"), "near-places")
     one = durable(anchored(nodes), "near-pairs")
     ends = places.select("node").unionByName(one.select(F.col("u").alias("node"))).unionByName(one.select(F.col("v").alias("node")))
     wanted = durable(ends.distinct(), "near-wanted")
