@@ -56,6 +56,24 @@ def test_small_blocks_and_a_hot_label(spark, monkeypatch):
     assert len(want) > 60 and result(spark, rows) == want
 
 
+@pytest.mark.parametrize("partitions", ["3", "5", "64"])
+def test_chunks_in_any_order(spark, monkeypatch, partitions):
+    """Without adaptive execution a tile's chunks come in the order of their partitions, the one with the positives not always first."""
+    for name, n in (("ROWS", 40), ("DIMS", 3)):
+        monkeypatch.setattr(hard_negatives, name, n)
+    rng = random.Random(4)
+    rows = [(i, [0.4 + rng.gauss(0, 0.3) for _ in range(12)], rng.randrange(10)) for i in range(300)]
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": partitions}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert result(spark, rows) == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_nulls_ragged_and_repeated_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

@@ -71,8 +71,8 @@ def _multiply(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _added(tiles: pa.Table) -> tuple[np.ndarray, dict]:
-    """The sum of a tile's partial ones as int64, and what the first of them says of its sides."""
-    first = tiles.slice(0, 1).to_pylist()[0]
+    """The sum of a tile's partial ones as int64, and its sides as that of chunk 0 has them: only there are the positives, and a shuffle brings chunks in any order."""
+    first = tiles.slice(int(tiles["k"].to_numpy().argmin()), 1).drop_columns(["tile"]).to_pylist()[0]
     total = np.zeros((len(first["a_ids"]), len(first["b_ids"])), np.int64)
     for size, tile in zip(tiles["bytes"].to_pylist(), tiles["tile"]):
         total += np.frombuffer(tile.as_buffer(), f"<i{size}").reshape(total.shape)
