@@ -91,3 +91,22 @@ def test_exact_matches_stay(spark):
 def test_nothing_to_index(spark):
     of = postings.index(spark.createDataFrame([], PASSAGES))
     assert postings.search(of, spark.createDataFrame([(1, "a")], "query_id long, text string"), 3).count() == 0
+
+
+@pytest.mark.parametrize("cells, few", [(1, True), (500, True), (1_000_000, True), (500, False)])
+def test_search_in_slices(spark, monkeypatch, cells, few):
+    """Passages scored a few at a time, many of them without any of the terms; and by a join, where the plan is too long for all tasks."""
+    monkeypatch.setattr(postings, "CELLS", cells)
+    monkeypatch.setattr(postings, "MOST_BROADCAST", 200_000 if few else 0)
+    rows = made(spark)
+    of = postings.index(spark.createDataFrame(rows, PASSAGES).repartition(3))
+    asked = [(1, "w39"), (2, "w38 w30"), (3, "w0 w1 URS-042")]
+    got = postings.search(of, spark.createDataFrame(asked, "query_id long, text string"), 4)
+    assert sorted(tuple(r)[:4] for r in got.collect()) == brute(rows, asked, 4)
+
+
+def test_neither_postings_nor_scores_are_shuffled(spark):
+    of = postings.index(spark.createDataFrame(made(spark), PASSAGES))
+    assert "Exchange" not in of.postings._jdf.queryExecution().executedPlan().toString()
+    found = postings.search(of, spark.createDataFrame([(1, "w0 w1 w2")], "query_id long, text string"), 4)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()  # the best of each task, and their ranks
