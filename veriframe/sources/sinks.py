@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def insert_if_absent(existing: DataFrame, new: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
-    """``existing`` and those rows of ``new`` whose key it lacks; of new rows with one key the first by ``order`` (or any)."""
-    absent = new.join(existing.select(key), key, "left_anti").select(*existing.columns, *([order.alias("_order")] if order is not None else []))
+def insert_if_absent(existing: DataFrame, new: DataFrame, key: str | list[str] = "id", order: Column | None = None) -> DataFrame:
+    """``existing`` and those rows of ``new`` whose key, of one column or several, it lacks; of new rows with one key the first by ``order`` (or any)."""
+    key = [key] if isinstance(key, str) else key
+    absent = new.join(existing.select(*key), key, "left_anti").select(*existing.columns, *([order.alias("_order")] if order is not None else []))
     if order is None:
-        return existing.unionByName(absent.dropDuplicates([key]))
-    first = absent.groupBy(key).agg(F.min_by(F.struct(*existing.columns), "_order").alias("_row")).select("_row.*")
+        return existing.unionByName(absent.dropDuplicates(key))
+    first = absent.groupBy(*key).agg(F.min_by(F.struct(*existing.columns), "_order").alias("_row")).select("_row.*")
     return existing.unionByName(first)
 
 
