@@ -21,7 +21,7 @@ each with each, as nothing short of that tells which are linked.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriframe.llm.common import durable, maybe_broadcast, slices, small_batches
+from veriframe.llm.common import bucketed, durable, maybe_broadcast, slices, small_batches
 from veriframe.llm.components import connected_components
 from veriframe.llm.simhash import majority, near_links
 
@@ -41,6 +41,8 @@ BANDS, ROWS, WIDE, EARLY = 24, 5, 32, 3
 BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 512, 500_000, 4_096
 #: Nodes of candidate pairs, and ids, that are broadcast at most; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
+#: Pairs of a node, from which its set is broadcast; shingles that are broadcast so at most. Sets beyond that are sent to the other end of each pair.
+HOT, BROADCAST_SHINGLES = 1_000, 4_000_000
 _MIX = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -119,9 +121,8 @@ def anchored(nodes: DataFrame) -> DataFrame:
 
 
 def pivoted(places: DataFrame) -> DataFrame:
-    """(band, node, root) -> pairs (u, v) of each node and the first of its band by a hash, if that is of another component."""
-    first = places.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "node").alias("h"), F.col("node"), F.col("root"))).alias("first"))
-    return _pairs(places.join(first, "band").where(F.col("first.root") != F.col("root")).select("node", F.col("first.node").alias("end")), "node", "end")
+    """Rows of ``divided`` -> pairs (u, v) of each node and the first of its band, if that is of another component."""
+    return _pairs(places.where(F.col("first.root") != F.col("root")).select("node", F.col("first.node").alias("end")), "node", "end")
 
 
 def within(places: DataFrame) -> DataFrame:
@@ -133,8 +134,9 @@ def within(places: DataFrame) -> DataFrame:
 
 
 def divided(places: DataFrame) -> DataFrame:
-    """(band, node, root, ...) of the bands that hold more than one component, with their size ``n``; the others have nothing left to find."""
-    of = places.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("band", "n")
+    """(band, node, root, ...) of the bands that hold more than one component, with their size ``n`` and their ``first`` node by a hash (node, root); the others have nothing left to find."""
+    first = F.min(F.struct(F.xxhash64("band", "node").alias("h"), F.col("node"), F.col("root"))).alias("f")
+    of = places.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b"), first).where("a != b").select("band", "n", F.struct("f.node", "f.root").alias("first"))
     return durable(places.join(of, "band"), "near-divided")
 
 
@@ -223,9 +225,8 @@ def compared(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def families(places: DataFrame, sets: DataFrame) -> DataFrame:
-    """(band, node, root) of wide bands -> links (u, v): nodes that bands join are a family, and any two of its blocks of nodes are compared in a task."""
-    first = places.groupBy("band").agg(F.min("node").alias("first"))
-    of = connected_components(_pairs(places.join(first, "band"), "node", "first")).select("node", F.col("root").alias("family"))
+    """(band, node, root, first) of wide bands -> links (u, v): nodes that bands join are a family, and any two of its blocks of nodes are compared in a task."""
+    of = connected_components(_pairs(places, "node", F.col("first.node"))).select("node", F.col("root").alias("family"))
     rows = durable(places.select("node", "root").distinct().join(of, "node").join(sets, "node"), "near-families")
     n = F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int")
     blocks = durable(rows.groupBy("family").agg(n.alias("blocks")), "near-blocks")
@@ -235,6 +236,25 @@ def families(places: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.groupBy("family", "i", "j").applyInPandas(compared, "u long, v long")
 
 
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose ``sets`` (in buckets of their node) are similar. The set of one end goes to the other's, but for nodes of very many pairs, whose sets are broadcast."""
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "uv")
+    both = F.size(F.array_intersect("su", "sv"))
+    fits = (F.least(F.size("su"), F.size("sv")) >= SIMILARITY * F.greatest(F.size("su"), F.size("sv"))) & (both >= SIMILARITY * (F.size("su") + F.size("sv") - both))
+    pairs = durable(pairs.distinct(), "near-pairs")
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).groupBy("node").count().where(F.col("count") >= HOT)
+    hot = durable(sets.join(ends.select("node"), "node", "left_semi"), "near-hot")
+    if not 0 < (hot.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= BROADCAST_SHINGLES:
+        return durable(pairs.join(left, "u").join(right, "v").where(fits).select("u", "v"), "near-links")
+    ids = lambda end: F.broadcast(hot.select(F.col("node").alias(end)))
+    of_hot = F.broadcast(hot.select(F.col("node").alias("v"), F.col("shingles").alias("sv")))
+    other = pairs.join(ids("v"), "v", "left_anti")
+    turned = other.join(ids("u"), "u", "left_semi").select(F.col("v").alias("u"), F.col("u").alias("v"))
+    at_hot = pairs.join(ids("v"), "v", "left_semi").select("u", "v").unionByName(turned).join(left, "u").join(of_hot, "v")
+    rest = other.join(ids("u"), "u", "left_anti").join(left, "u").join(right, "v")
+    return durable(at_hot.unionByName(rest).where(fits).select("u", "v"), "near-links")
+
+
 def nearest_least(links: DataFrame) -> DataFrame:
     """(node, root): the least node within two links. Nodes of one root are in one component; a component may have several roots, which costs a few checks more and no link."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -253,14 +273,8 @@ def near_links_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     ends = places.select("node").unionByName(one.select(F.col("u").alias("node"))).unionByName(one.select(F.col("v").alias("node")))
     wanted = durable(ends.distinct(), "near-wanted")
     sets = sets_of(docs).join(maybe_broadcast(wanted, BROADCAST_NODES), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = durable(sets, "near-sets")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "uv")
-        both = F.size(F.array_intersect("su", "sv"))
-        fits = (F.least(F.size("su"), F.size("sv")) >= SIMILARITY * F.greatest(F.size("su"), F.size("sv"))) & (both >= SIMILARITY * (F.size("su") + F.size("sv") - both))
-        return durable(durable(pairs.distinct(), "near-pairs").join(left, "u").join(right, "v").where(fits).select("u", "v"), "near-links")
-
+    sets = bucketed(sets, "near-sets", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ("node",), placed=True)  # read in each wave without a shuffle
+    checked = partial(alike, sets=sets)
     found = [checked(one)]
 
     def labelled(places: DataFrame) -> DataFrame:
