@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+from tests.llm.test_near_copies import brute
+from tests.llm.test_operators import docs
 from veriframe.llm import near_copies
-from veriframe.llm.common import bucketed
+from veriframe.llm.common import bucketed, with_ids
 
 
 def test_pivots_need_no_join(spark):
@@ -33,3 +35,42 @@ def test_pairs_of_hot_nodes(spark, monkeypatch):
         monkeypatch.setattr(near_copies, "BROADCAST_SHINGLES", most)
         got = sorted(tuple(sorted((r.u, r.v))) for r in near_copies.alike(frame, held).collect())
         assert len(want) > 8 and got == want
+
+
+def test_ids_are_sent_to_the_texts(spark):
+    """Rows are found by bits of their ids, whatever these are, without a shuffle; beyond the bound by a join, with the same rows."""
+    here = [0, 1, 63, 64, 127, 128, -1, -64, -65, 2**63 - 1, -(2**63), 10**12, None]
+    frame = docs(spark, *[(k, f"text {k}") for k in [*here, *here, 2, 62, 65, -2, -63, 10**12 + 1]]).select("doc_id", "text")
+    for wanted in (here, here[:-1], [None], here[3:6], []):
+        ids = spark.createDataFrame([(k,) for k in wanted], "id long")
+        want = sorted(f"text {k}" for k in [*wanted, *wanted])
+        for most in (100, 0):
+            assert sorted(r.text for r in with_ids(frame, ids, most).collect()) == want
+
+
+def test_texts_are_neither_shuffled_nor_cut_twice(spark, monkeypatch):
+    """What stays is found where the texts lie, also where its ids are too many for Spark to broadcast by itself; only texts that have candidates are cut into shingles again."""
+    monkeypatch.setattr(near_copies, "WIDE", 4)
+    cut, whole = [], near_copies.sets_of
+    monkeypatch.setattr(near_copies, "sets_of", lambda some: cut.append(some.count()) or whole(some))
+    rng = random.Random(6)
+    texts = {k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for k in range(60)}
+    texts |= {100 + k: texts[k] + " more" for k in range(5)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stays = near_copies.one_of_each(docs(spark, *texts.items()).drop("_id"))
+        assert "SortMergeJoin" not in stays._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in stays.collect()) == brute(texts) == list(range(60))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert cut == [10]
+
+
+def test_wide_bands_of_one_component_need_no_shingles(spark, monkeypatch):
+    """Windows that slide along one text: bands hold nodes many links apart, all of one component, which leaves nothing to find by shingles."""
+    monkeypatch.setattr(near_copies, "WIDE", 4)
+    called, whole = [], near_copies.rarest
+    monkeypatch.setattr(near_copies, "rarest", lambda *a: called.append(1) or whole(*a))
+    texts = {k: " ".join(f"w{i}" for i in range(4 * k, 4 * k + 300)) for k in range(80)}
+    got = sorted(r.doc_id for r in near_copies.one_of_each(docs(spark, *texts.items()).drop("_id")).collect())
+    assert got == brute(texts) == [0] and not called

@@ -8,7 +8,7 @@ waves have joined is not looked at again, so that a large group of copies costs
    bits differ, far beyond any radius for which anchors are few, so that this wave finds close copies only;
 2. the first of each of the first three bands, of BANDS bands of ROWS min-hashes of the set;
 3. the first of each band, and then all pairs of a band that holds WIDE nodes or fewer and several components still;
-4. of the nodes in wider bands that still hold several components, all pairs that can be similar, by the rarest shingles of their
+4. of the nodes in wider bands that still hold several components, once these are known in full, all pairs that can be similar, by the rarest shingles of their
    sets: sets of similarity 0.8 share one of the first |s| - 0.8 |s| + 1 when all are put in order of how many sets have them. Pairs
    are made of the nodes of a shingle that WIDE nodes or fewer have among those, where sizes and places allow a similar pair whose
    first common shingle it is; nodes that meet at more common ones are one family, whose sets are held against one another block by block, in tasks of one size, each of which gives a forest and no list of pairs.
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriframe.llm.common import bucketed, durable, maybe_broadcast, slices, small_batches
+from veriframe.llm.common import bucketed, durable, maybe_broadcast, slices, small_batches, with_ids
 from veriframe.llm.components import connected_components
 from veriframe.llm.simhash import majority, near_links
 
@@ -39,7 +39,7 @@ SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS, WIDE, EARLY = 24, 5, 32, 3
 #: Nodes, and shingles, of a block on average; columns of a product at once.
 BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 512, 500_000, 4_096
-#: Nodes of candidate pairs, and ids, that are broadcast at most; more are joined by a shuffle.
+#: Nodes of candidate pairs, and words of 64 ids, that are broadcast at most; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 #: Pairs of a node, from which its set is broadcast; shingles that are broadcast so at most. Sets beyond that are sent to the other end of each pair.
 HOT, BROADCAST_SHINGLES = 1_000, 4_000_000
@@ -265,21 +265,25 @@ def nearest_least(links: DataFrame) -> DataFrame:
 
 def near_links_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``docs`` and their sketches -> links (u, v) of nodes."""
-    nodes = durable(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-nodes")
+    nodes = durable(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("doc_id").alias("id")), "near-nodes")
     places = nodes.select("node", F.posexplode("bands").alias("k", "band"))
     several = durable(distinct_bands(places, "k"), "near-bands")
     places = durable(places.join(several.select("band"), "band"), "near-places")
     one = durable(anchored(nodes), "near-pairs")
     ends = places.select("node").unionByName(one.select(F.col("u").alias("node"))).unionByName(one.select(F.col("v").alias("node")))
     wanted = durable(ends.distinct(), "near-wanted")
-    sets = sets_of(docs).join(maybe_broadcast(wanted, BROADCAST_NODES), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    ids = nodes.join(wanted, "node", "left_semi").select("id")  # a row of each node, so that no other text is cut up again
+    some = with_ids(docs.select("doc_id", "text"), ids, BROADCAST_NODES)
+    sets = sets_of(some).join(maybe_broadcast(wanted, BROADCAST_NODES), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = bucketed(sets, "near-sets", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ("node",), placed=True)  # read in each wave without a shuffle
     checked = partial(alike, sets=sets)
     found = [checked(one)]
 
-    def labelled(places: DataFrame) -> DataFrame:
+    def labelled(places: DataFrame, roots: DataFrame | None = None) -> DataFrame:
         """``places`` with a ``root`` for each node, by the links so far."""
-        of = maybe_broadcast(durable(nearest_least(reduce(DataFrame.unionByName, found)), "near-roots"), BROADCAST_NODES)
+        if roots is None:
+            roots = durable(nearest_least(reduce(DataFrame.unionByName, found)), "near-roots")
+        of = maybe_broadcast(roots, BROADCAST_NODES)
         return places.join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     found.append(checked(pivoted(divided(labelled(places.where(F.col("k") < EARLY))))))
@@ -287,9 +291,14 @@ def near_links_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     found.append(checked(pivoted(places)))
     places = divided(labelled(places.select("node", "band")))
     found.append(checked(within(places)))
-    wide = places.where(F.col("n") > WIDE).select("node", "root").distinct()
+    wide = places.where(F.col("n") > WIDE).select("node", "band")
     if not wide.isEmpty():
-        rare = durable(rarest(durable(wide, "near-wide"), sets), "near-rarest")
+        # Shingles are costlier than links: only bands that hold several components, once these are known in full, go on.
+        roots = durable(connected_components(reduce(DataFrame.unionByName, found)), "near-roots")
+        found = [roots.select(F.col("root").alias("u"), F.col("node").alias("v"))]
+        wide = durable(divided(labelled(wide, roots)).select("node", "root").distinct(), "near-wide")
+    if not wide.isEmpty():
+        rare = durable(rarest(wide, sets), "near-rarest")
         found.append(checked(meeting(rare)))
         if not (common := divided(rare).where(F.col("n") > WIDE)).isEmpty():
             found.append(durable(families(common, sets), "near-links"))
@@ -317,14 +326,13 @@ def one_of_each(docs: DataFrame, broadcast_ids: int = BROADCAST_NODES) -> DataFr
     """
     groups = durable(near_components(docs), "near-rows")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = groups.groupBy("doc_id").agg(F.count("*").alias("_n"), F.max(stays).alias("_stays")).where("_stays").select(F.col("doc_id").alias("_id"), "_n")
+    ids = groups.groupBy("doc_id").agg(F.count("*").alias("_n"), F.max(stays).alias("_stays")).where("_stays").select(F.col("doc_id").alias("id"), "_n")
     ids = durable(ids, "near-ids")
-    alone, several = ids.where("_n = 1 AND _id IS NOT NULL").select("_id"), ids.where("_n > 1 OR _id IS NULL").select("_id")
-    same_id = F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = docs.join(alone, F.col("doc_id") == F.col("_id"), "left_semi")
+    alone, several = ids.where("_n = 1 AND id IS NOT NULL").select("id"), ids.where("_n > 1 OR id IS NULL").select("id")
+    once = with_ids(docs, alone, broadcast_ids)
     if several.isEmpty():
         return once
     by_node = groups.where(stays).groupBy("node").agg(F.first("group").alias("_group"), F.first("component_id").alias("_least"))
-    again = with_nodes(docs.join(maybe_broadcast(several, broadcast_ids), same_id, "left_semi")).join(by_node.withColumnRenamed("node", "_node"), "_node").where(F.col("doc_id").eqNullSafe(F.col("_least")))
+    again = with_nodes(with_ids(docs, several, broadcast_ids)).join(by_node.withColumnRenamed("node", "_node"), "_node").where(F.col("doc_id").eqNullSafe(F.col("_least")))
     picked = again.groupBy("_group").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
     return once.unionByName(picked)
