@@ -1,35 +1,46 @@
 """Hard negatives by a two-dimensional block matrix product (the SUMMA scheme).
 
-The scores of anchors against all rows are a matrix product. Anchors are dealt into I blocks, rows into J, dimensions into K
-chunks. The panels of an anchor block are sent to each of its J tiles and those of a row block to each of its I, for each
-chunk, by one cogroup on (group, i, j, k); a task multiplies two panels, of bounded size, into a partial tile of integers.
-Partial tiles are shuffled to (group, i, j) and added. Of the whole tile only the best few rows of each anchor, or of each
-anchor and positive, go on; a ranked window over those gives the result. Blocks are by hash of the id, so that no label,
-however frequent, makes one larger.
-
-Two products: positives first, within groups of one label; then negatives, over all rows, whose window of scores follows from
-the positives. Of N rows, N^2 / 50 scores are made and K times as many partial ones are shuffled: a stated query set against all rows.
+The scores of anchors against all rows are a matrix product, made on a grid of cells. Anchors are dealt into blocks, some
+blocks to a row of the grid; rows of the table are packed into panels, some panels to a strip, a column of the grid. Strips
+lie in buckets and stay there; the panels of anchors are sent to each strip by a cogroup. A task goes through its cell tile by tile: panels of DIMS
+dimensions are multiplied into partial tiles, which are added where they are made, and of the whole tile only the best few rows of each
+anchor, or of each anchor and positive, are kept. So no score is shuffled but those: the best of each block and strip meet by block.
+
+Two products: positives first, within rows of one label; then negatives, over all rows, whose window of scores follows from
+the positives. Blocks are by hash of the id and panels by place, so that no label, however frequent, makes one larger. Of N rows,
+N^2 / 50 scores are made, a stated query set against all rows; what is written and shuffled is in proportion to N and to the number of strips.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import durable
+from veriframe.llm.common import bucketed, durable
 
 #: Anchors and rows of a tile, dimensions of a chunk.
 ANCHORS, ROWS, DIMS = 512, 1_024, 32
+#: What a task holds: blocks of anchors, and bytes of either side's components.
+BLOCKS, HELD = 64, 2**26
+#: Strips that a table is dealt into for the sake of tasks, of so many panels at least; more where HELD asks for them.
+STRIPS, PANELS = 16, 8
+#: Scores that wait until they are sorted in, and rows of a cell's first tile; each further one has twice as many.
+WAITING, FIRST = 2**16, 32
 #: Positives of an anchor, negatives of each, and the window of negative scores in hundredths of the positive's: fixed values.
 POSITIVES, NEGATIVES, FROM, TO = 5, 3, 50, 95
-#: Sums below this are exact in doubles, which BLAS multiplies.
-EXACT = 2**53
-_KEY = ["g", "i", "j", "k"]
-_TILE = "g long, i long, j long, k long, a_ids array<long>, a_labels array<long>, b_ids array<long>, b_labels array<long>, p_row array<long>, p_ids array<long>, p_scores array<long>, bytes int, tile binary"
+#: Sums below these are exact in doubles and in floats, which BLAS multiplies.
+EXACT, EXACT_FLOAT = 2**53, 2**24
+_SIDE = "ids binary, labels binary, width int, bytes int, least long, panel binary"
+_FOUND = "slots binary, found_ids binary, scores binary"
+_MOST = np.iinfo(np.int64).max
+_NONE = -_MOST
 
 
 def whole_vectors(embeddings: DataFrame) -> DataFrame:
@@ -41,97 +52,225 @@ def whole_vectors(embeddings: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("_r")).select("vec_id", "_r.label", "_r.v")
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Lists of integers as doubles, shorter ones filled with zeros."""
-    lists = column.combine_chunks()
+def _panel(rows: pa.RecordBatch | pa.Table) -> dict:
+    """Rows (vec_id, label, v) -> their ids, labels and components as bytes; shorter lists are filled with zeros.
+
+    Of the components what they have above the least is kept, the lowest byte of all first: the others are mostly zeros, which compress.
+    """
+    lists = rows["v"].combine_chunks() if isinstance(rows, pa.Table) else rows["v"]
     lengths = np.diff(lists.offsets.to_numpy())
-    out = np.zeros((len(lengths), int(lengths.max(initial=0))))
+    out = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int64)
     out[np.arange(out.shape[1]) < lengths[:, None]] = lists.flatten().to_numpy()
-    return out
+    size, least = _size(int(out.min(initial=0)), int(out.max(initial=0))), int(out.min(initial=0))
+    planes = (out - least).astype(f"<u{size}") if size < 8 else out  # the difference may be too large for a type of 8 bytes
+    panel = planes.view(np.uint8).reshape(-1, size).T.tobytes()
+    return {"ids": rows["vec_id"].to_numpy().tobytes(), "labels": rows["label"].to_numpy().tobytes(), "width": out.shape[1], "bytes": size, "least": least if size < 8 else 0, "panel": panel}
+
+
+def _components(panel: pa.BinaryScalar, size: int, least: int) -> np.ndarray:
+    """The components of a panel, row by row."""
+    planes = np.frombuffer(panel.as_buffer(), np.uint8).reshape(size, -1).T.copy()
+    return planes.view(f"<u{size}").astype(np.int64).ravel() + least if size < 8 else planes.view("<i8").ravel()
+
+
+def _size(low: int, high: int) -> int:
+    """Bytes of the smallest whole number type that holds both."""
+    return next(n for n in (2, 4, 8) if -(2 ** (8 * n - 1)) <= low and high < 2 ** (8 * n - 1))
+
+
+def _longs(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.int64) for x in column]
+
+
+def _side(panels: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Panels -> (ids, labels, components), in the order of the panels."""
+    ids, widths, sizes = _longs(panels["ids"]), panels["width"].to_pylist(), panels["bytes"].to_pylist()
+    out, at = np.zeros((sum(map(len, ids)), max(widths)), f"<i{max(sizes)}"), 0
+    for own, width, size, least, panel in zip(ids, widths, sizes, panels["least"].to_pylist(), panels["panel"]):
+        out[at : at + len(own), :width] = _components(panel, size, least).reshape(len(own), width)
+        at += len(own)
+    return np.concatenate(ids), np.concatenate(_longs(panels["labels"])), out
 
 
-def _multiply(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The panels of a tile and a chunk -> its partial sums, one row; none where either side has no row."""
-    schema = pa.schema([(n, pa.int64()) for n in _KEY] + [(n, pa.list_(pa.int64())) for n in ("a_ids", "a_labels", "b_ids", "b_labels", "p_row", "p_ids", "p_scores")] + [("bytes", pa.int32()), ("tile", pa.binary())])
-    if not left.num_rows or not right.num_rows:
-        return schema.empty_table()
-    left, right = (t.take(np.argsort(t[c].to_numpy())) for t, c in ((left, "vec_id"), (right, "b_id")))
-    a, b = _matrix(left["part"]), _matrix(right["part"])
+def _kinds(a: np.ndarray, b: np.ndarray, chunk: int) -> tuple[type, type]:
+    """The types in which partial tiles of ``a`` and ``b`` and their sums are exact."""
+    most = lambda x: max(int(x.max(initial=0)), -int(x.min(initial=0)))
+    bounds = [most(a[:, k : k + chunk]) * most(b[:, k : k + chunk]) * min(chunk, a.shape[1] - k) for k in range(0, a.shape[1], chunk)]
+    if max(bounds, default=0) >= EXACT:
+        raise ValueError("components too large: their products can't be summed exactly")
+    return (np.float32, np.float32) if sum(bounds) < EXACT_FLOAT else (np.float64, np.float64 if sum(bounds) < EXACT else np.int64)
+
+
+def _tile(a: np.ndarray, b: np.ndarray, chunk: int, kind: type) -> np.ndarray:
+    """The scores of ``a`` against ``b``: partial tiles of ``chunk`` dimensions, added."""
+    total = np.zeros((len(a), len(b)), kind) if not a.shape[1] else (a[:, :chunk] @ b[:, :chunk].T).astype(kind, copy=False)
+    for k in range(chunk, a.shape[1], chunk):
+        total += (a[:, k : k + chunk] @ b[:, k : k + chunk].T).astype(kind, copy=False)
+    return total
+
+
+def _ranks(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted slots: where each begins, and the place of every entry within its own."""
+    first = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]]) if len(slots) else np.zeros(0, np.int64)
+    return first, np.arange(len(slots)) - np.repeat(first, np.diff(np.r_[first, len(slots)]))
+
+
+def _best(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, barred: Callable, sizes: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` highest scores above ``low`` and up to ``high`` of each row of ``a`` and slot, and their rows of ``b``; of equal ones the first.
+
+    low, high: (rows of ``a``, slots). barred(rows of ``a``, rows of ``b``): pairs that don't count. Scores above the least that can still matter wait, and are sorted in many at a time.
+    """
+    n_slots = low.shape[1]
+    scores, at = np.full((low.size, k), _NONE), np.zeros((low.size, k), np.int64)
+    least, floor, waiting, n_waiting = low.copy(), low.min(axis=1), [], 0
+    of_anchors, of_rows, chunk = sizes
     width = min(a.shape[1], b.shape[1])  # what a vector lacks counts as zeros
     a, b = a[:, :width], b[:, :width]
-    if width and np.abs(a).max() * np.abs(b).max() * width >= EXACT:
-        raise ValueError("components too large: their products can't be summed exactly")
-    tile = (a @ b.T).astype(np.int64)
-    most = int(np.abs(tile).max(initial=0))
-    size = 2 if most < 2**15 else 4 if most < 2**31 else 8
-    lists = left["p_ids"].combine_chunks()
-    row = {n: left[n][0].as_py() for n in _KEY} | {"a_ids": left["vec_id"].to_pylist(), "a_labels": left["label"].to_pylist(), "b_ids": right["b_id"].to_pylist(), "b_labels": right["b_label"].to_pylist()}
-    row |= {"p_row": np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())).tolist(), "p_ids": lists.flatten().to_pylist(), "p_scores": left["p_scores"].combine_chunks().flatten().to_pylist()}
-    return pa.Table.from_pylist([row | {"bytes": size, "tile": tile.astype(f"<i{size}").tobytes()}], schema=schema)
-
-
-def _added(tiles: pa.Table) -> tuple[np.ndarray, dict]:
-    """The sum of a tile's partial ones as int64, and its sides as that of chunk 0 has them: only there are the positives, and a shuffle brings chunks in any order."""
-    first = tiles.slice(int(tiles["k"].to_numpy().argmin()), 1).drop_columns(["tile"]).to_pylist()[0]
-    total = np.zeros((len(first["a_ids"]), len(first["b_ids"])), np.int64)
-    for size, tile in zip(tiles["bytes"].to_pylist(), tiles["tile"]):
-        total += np.frombuffer(tile.as_buffer(), f"<i{size}").reshape(total.shape)
-    return total, {k: np.array(v, np.int64) for k, v in first.items() if isinstance(v, list)}
-
-
-_NONE = np.iinfo(np.int64).min
-
-
-def _best(scores: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(rows, columns) of the highest score of each row, then of the second and so on; of equal ones the first column. ``scores`` is used up."""
-    out = []
-    for _ in range(min(k, scores.shape[1])):
-        at = scores.argmax(axis=1)
-        rows = np.flatnonzero(scores[np.arange(len(at)), at] > _NONE)
-        if not len(rows):
-            break
-        out.append((rows, at[rows]))
-        scores[rows, at[rows]] = _NONE
-    return out
-
-
-def _positives(tiles: pa.Table) -> pa.Table:
-    """The best rows of each anchor in a tile of one label, the anchor itself left out."""
-    total, side = _added(tiles)
-    own = np.searchsorted(side["b_ids"], side["a_ids"])
-    held = np.flatnonzero(own < len(side["b_ids"]))
-    held = held[side["b_ids"][own[held]] == side["a_ids"][held]]
-    scores = total.copy()
-    scores[held, own[held]] = _NONE
-    picked = [(side["a_ids"][r], side["b_ids"][c], total[r, c]) for r, c in _best(scores, POSITIVES)]
-    return pa.table([np.concatenate([p[i] for p in picked]) if picked else pa.array([], pa.int64()) for i in range(3)], names=["anchor_id", "positive_id", "positive_score"])
-
-
-def _negatives(tiles: pa.Table) -> pa.Table:
-    """The best rows of another label of each anchor and positive in a tile, within the positive's window."""
-    total, side = _added(tiles)
-    rows, positive = side["p_row"], side["p_scores"]
-    scores = total[rows]
-    fits = (FROM * positive[:, None] <= 100 * scores) & (100 * scores <= TO * positive[:, None]) & (side["a_labels"][rows][:, None] != side["b_labels"][None, :])
-    kept = np.flatnonzero(fits.any(axis=1))
-    scores = np.where(fits[kept], scores[kept], _NONE)
-    picked = [(kept[r], c) for r, c in _best(scores, NEGATIVES)]
-    columns = [(side["a_ids"][rows[r]], side["p_ids"][r], positive[r], side["b_ids"][c], total[rows[r], c]) for r, c in picked]
-    names = ["anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"]
-    return pa.table([np.concatenate([x[i] for x in columns]) if columns else pa.array([], pa.int64()) for i in range(5)], names=names)
-
-
-def _product(anchors: DataFrame, rows: DataFrame, group: Column, blocks: tuple[int, int, int]) -> DataFrame:
-    """Partial tiles of ``anchors`` (vec_id, label, v, p_ids, p_scores) against ``rows`` (vec_id, label, v) of the same group."""
-    n_i, n_j, n_k = blocks
-    block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("long")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    chunk = F.slice("v", (F.col("k") * DIMS + 1).cast("int"), F.lit(DIMS)).alias("part")
-    left = anchors.withColumn("i", block(n_i, 1)).withColumn("j", every(n_j)).withColumn("k", every(n_k))
-    nothing = F.array().cast("array<long>")
-    left = left.select(group.alias("g"), "i", "j", "k", "vec_id", "label", chunk, *[F.when(F.col("k") == 0, F.col(c)).otherwise(nothing).alias(c) for c in ("p_ids", "p_scores")])
-    right = rows.withColumn("j", block(n_j, 2)).withColumn("i", every(n_i)).withColumn("k", every(n_k)).select(group.alias("g"), "i", "j", "k", F.col("vec_id").alias("b_id"), F.col("label").alias("b_label"), chunk)
-    return left.groupBy(*_KEY).cogroup(right.groupBy(*_KEY)).applyInArrow(_multiply, _TILE)
+    kind, sums = _kinds(a, b, chunk)
+    bound = EXACT_FLOAT if kind is np.float32 else EXACT if sums is np.float64 else _MOST  # no score is beyond it
+
+    def settle() -> None:
+        nonlocal n_waiting
+        row, col, score = (np.concatenate(x) for x in zip(*waiting))
+        waiting.clear()
+        n_waiting = 0
+        for some in np.array_split(np.arange(len(row)), math.ceil(len(row) / (4 * WAITING))):
+            some = some[~barred(row[some], col[some])]
+            e, slot = np.nonzero((score[some, None] > least[row[some]]) & (score[some, None] <= high[row[some]]))
+            if not len(e):
+                continue
+            e, slot = some[e], row[some[e]] * n_slots + slot
+            order = np.lexsort((col[e], -score[e], slot))
+            e, slot = e[order], slot[order]
+            first, rank = _ranks(slot)
+            here, of, kept = slot[first], np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(slot)])), rank < k
+            both, places = (np.concatenate([x[here], np.full((len(here), k), fill)], axis=1) for x, fill in ((scores, _NONE), (at, 0)))
+            both[of[kept], k + rank[kept]], places[of[kept], k + rank[kept]] = score[e[kept]], col[e[kept]]
+            best = np.argsort(-both, axis=1, kind="stable")[:, :k]
+            scores[here], at[here] = np.take_along_axis(both, best, 1), np.take_along_axis(places, best, 1)
+            least.reshape(-1)[here] = np.maximum(least.reshape(-1)[here], scores[here, k - 1])
+            rows = np.unique(here // n_slots)
+            floor[rows] = least[rows].min(axis=1)
+
+    start, step = 0, min(FIRST, of_rows)
+    while start < len(b):
+        right = b[start : start + step].astype(kind)
+        for top in range(0, len(a), of_anchors):
+            tile = _tile(a[top : top + of_anchors].astype(kind), right, chunk, sums)
+            above = np.clip(floor[top : top + of_anchors], -bound, bound).astype(sums)
+            hit = np.flatnonzero(tile.max(axis=1) > above)
+            if len(hit):
+                some = tile[hit]
+                at_once = np.flatnonzero(some > above[hit, None])
+                r, c = np.divmod(at_once, len(right))
+                waiting.append((top + hit[r], start + c, some.ravel()[at_once].astype(np.int64)))
+                n_waiting += len(r)
+                if n_waiting >= WAITING:
+                    settle()
+        start, step = start + step, min(of_rows, 2 * step)
+    if waiting:
+        settle()
+    return scores.reshape(*low.shape, k), at.reshape(*low.shape, k)
+
+
+def _cell(left: pa.Table, right: pa.Table, sizes: tuple[int, int, int], negatives: bool) -> pa.Table:
+    """A cell of the grid -> for each block of anchors the best rows of the strip: slots, their ids and scores. A slot is an anchor, or an anchor and a positive."""
+    out = {"block": [], "slots": [], "found_ids": [], "scores": []}
+    if left.num_rows and right.num_rows:
+        a_ids, a_labels, a = _side(left)
+        b_ids, b_labels, b = _side(right)
+        order = np.argsort(b_ids)  # of equal scores the first is that of the smallest id
+        b_ids, b_labels, b = b_ids[order], b_labels[order], b[order]
+        scores, at = (_negatives if negatives else _positives)(left, (a_ids, a_labels, a), (b_ids, b_labels, b), sizes)
+        lengths = [len(x) for x in _longs(left["ids"])]
+        for block, end, n in zip(left["block"].to_pylist(), np.cumsum(lengths), lengths):
+            own, ids = scores[end - n : end].reshape(n * scores.shape[1], -1), b_ids[at[end - n : end]].reshape(n * scores.shape[1], -1)
+            slot, place = np.nonzero(own > _NONE)
+            for name, x in zip(out, (block, slot.tobytes(), ids[slot, place].tobytes(), own[slot, place].tobytes())):
+                out[name].append(x)
+    return pa.table(out, schema=pa.schema([("block", pa.int64()), ("slots", pa.binary()), ("found_ids", pa.binary()), ("scores", pa.binary())]))
+
+
+def _positives(_: pa.Table, anchors: tuple, rows: tuple, sizes: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The best rows of each anchor's label, the anchor itself left out; label by label."""
+    (a_ids, a_labels, a), (b_ids, b_labels, b) = anchors, rows
+    scores, at = np.full((len(a), 1, POSITIVES), _NONE), np.zeros((len(a), 1, POSITIVES), np.int64)
+    by_label, there = np.argsort(a_labels, kind="stable"), np.argsort(b_labels, kind="stable")
+    labels, first = np.unique(a_labels[by_label], return_index=True)
+    begin, end = (np.searchsorted(b_labels[there], labels, side) for side in ("left", "right"))
+    for x, lo, hi in zip(np.split(by_label, first[1:]), begin, end):
+        y, bare = there[lo:hi], np.full((len(x), 1), _NONE)
+        scores[x], own = _best(a[x], b[y], bare, -bare, POSITIVES, lambda r, c, x=x, y=y: a_ids[x[r]] == b_ids[y[c]], sizes)
+        at[x] = y[own] if len(y) else 0
+    return scores, at
+
+
+def _negatives(armed: pa.Table, anchors: tuple, rows: tuple, sizes: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The best rows of another label of each anchor and positive, within the positive's window."""
+    (_, a_labels, a), (_, b_labels, b) = anchors, rows
+    low, high = np.full((len(a), POSITIVES), _MOST), np.full((len(a), POSITIVES), _NONE)
+    at = 0
+    for ids, slots, positive in zip(*(_longs(armed[c]) for c in ("ids", "slots", "scores"))):
+        q, r = np.divmod(positive, 100)  # so that no product is too large
+        place = (at + slots, _ranks(slots)[1])
+        low[place], high[place] = q * FROM - (-r * FROM) // 100 - 1, q * TO + r * TO // 100
+        at += len(ids)
+    return _best(a, b, low, high, NEGATIVES, lambda r, c: a_labels[r] == b_labels[c], sizes)
+
+
+def _merged(found: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the strips found for a block -> (slots, ids, scores), the best ``k`` of each slot, in order."""
+    slots, ids, scores = (np.concatenate([np.zeros(0, np.int64), *_longs(found[c])]) for c in ("slots", "found_ids", "scores"))
+    order = np.lexsort((ids, -scores, slots))
+    order = order[_ranks(slots[order])[1] < k]
+    return slots[order], ids[order], scores[order]
+
+
+def _armed(found: pa.Table, anchors: pa.Table) -> pa.Table:
+    """A block of anchors with the positives that the strips found for it."""
+    for name, x in zip(("slots", "found_ids", "scores"), _merged(found, POSITIVES)):
+        anchors = anchors.append_column(name, pa.array([x.tobytes()] * anchors.num_rows, pa.binary()))
+    return anchors
+
+
+def _rows(found: pa.Table, armed: pa.Table) -> pa.Table:
+    """A block's anchors, positives and the negatives that the strips found for these."""
+    slots, ids, scores = _merged(found, NEGATIVES)
+    anchor, positive = np.divmod(slots, POSITIVES)
+    out = [np.zeros(0, np.int64)] * 6
+    if len(slots) and armed.num_rows:
+        a_ids, of, p_ids, p_scores = (_longs(armed[c])[0] for c in ("ids", "slots", "found_ids", "scores"))
+        p = np.searchsorted(of, anchor) + positive
+        out = [a_ids[anchor], p_ids[p], _ranks(slots)[1] + 1, ids, p_scores[p], scores]
+    return pa.table(out, schema=pa.schema([(n, pa.int32() if n == "rank" else pa.int64()) for n in ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")]))
+
+
+def _packed(batches: Iterator[pa.RecordBatch], rows: int, strips: list[int]) -> Iterator[pa.RecordBatch]:
+    """Rows -> panels, dealt to the strips in turn."""
+    at = TaskContext.get().partitionId()
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield pa.RecordBatch.from_pylist([{"strip": strips[at % len(strips)]} | _panel(batch.slice(start, rows))], schema=_schema("strip"))
+            at += 1
+
+
+def _schema(key: str) -> pa.Schema:
+    return pa.schema([(key, pa.int64()), ("ids", pa.binary()), ("labels", pa.binary()), ("width", pa.int32()), ("bytes", pa.int32()), ("least", pa.int64()), ("panel", pa.binary())])
+
+
+def _keys(spark, n: int) -> list[int]:
+    """A number for each of ``n`` buckets, which holds no other of them."""
+    found = spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n))).agg(F.min("id").alias("key")).collect()
+    return sorted(r.key for r in found)
+
+
+def _grid(anchors: DataFrame, strips: DataFrame, keys: list[int], n_rows: int, sizes: tuple[int, int, int], negatives: bool) -> DataFrame:
+    """What each strip has for each block of ``anchors``; cells of one row of the grid after the other, so that strips are read again and not shuffled."""
+    cells = []
+    for i in range(n_rows):
+        sent = anchors.where(F.col("block") % n_rows == i).withColumn("strip", F.explode(F.array(*map(F.lit, keys)).cast("array<long>")))
+        cells.append(sent.groupBy("strip").cogroup(strips.groupBy("strip")).applyInArrow(lambda left, right: _cell(left, right, sizes, negatives), f"block long, {_FOUND}"))
+    return reduce(DataFrame.union, cells)
 
 
 def hard_negatives(embeddings: DataFrame, every: int = 50) -> DataFrame:
@@ -141,19 +280,22 @@ def hard_negatives(embeddings: DataFrame, every: int = 50) -> DataFrame:
     smallest by (label, vector) does. What a shorter vector lacks counts as zeros; an empty one scores 0. Equal scores go by the smaller
     id. Other columns are ignored, whatever their names. No anchor, no rows. Components so large that products can't be summed exactly raise.
     """
+    spark = embeddings.sparkSession
     vectors = durable(whole_vectors(embeddings), "vectors")
-    anchors = vectors.where(F.col("vec_id") % every == 0)
-    size = vectors.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("anchors"), F.max(F.size("v")).alias("dims")).first()
-    blocks = tuple(max(1, math.ceil((n or 0) / of)) for n, of in ((size.anchors, ANCHORS), (size.n, ROWS), (size.dims, DIMS)))
-    nothing = F.array().cast("array<long>")
-    bare = anchors.withColumn("p_ids", nothing).withColumn("p_scores", nothing)
-    found = _product(bare, vectors, F.col("label"), blocks).groupBy("g", "i", "j").applyInArrow(_positives, "anchor_id long, positive_id long, positive_score long")
-    first = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id"))
-    positives = found.withColumn("_r", first).where(F.col("_r") <= POSITIVES).groupBy(F.col("anchor_id").alias("vec_id")).agg(F.sort_array(F.collect_list(F.struct("_r", "positive_id", "positive_score"))).alias("_p"))
-    armed = durable(anchors.join(positives, "vec_id").select("vec_id", "label", "v", F.col("_p.positive_id").alias("p_ids"), F.col("_p.positive_score").alias("p_scores")), "armed-anchors")
-    rows = _product(armed, vectors, F.lit(0).cast("long"), blocks).groupBy("g", "i", "j").applyInArrow(_negatives, "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
-    rank = F.row_number().over(Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= NEGATIVES).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    anchor = F.col("vec_id") % every == 0
+    size = vectors.agg(F.count("*").alias("n"), F.count_if(anchor).alias("anchors"), F.max(F.size("v")).alias("dims"), F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high")).first()
+    length = max(1, (size.dims or 0) * _size(size.low or 0, size.high or 0))  # bytes of the longest vector
+    of_anchors, of_rows = (max(1, min(n, HELD // length)) for n in (ANCHORS, ROWS))
+    sizes, n_blocks = (of_anchors, of_rows, DIMS), max(1, math.ceil(size.anchors / of_anchors))
+    n_rows = math.ceil(n_blocks / max(1, min(BLOCKS, HELD // (of_anchors * length))))
+    keys = _keys(spark, max(1, min(STRIPS, math.ceil(size.n / (PANELS * of_rows))), math.ceil(size.n * length / HELD)))
+    strips = bucketed(vectors.mapInArrow(lambda batches: _packed(batches, of_rows, keys), f"strip long, {_SIDE}"), "strips", len(keys), ("strip",))
+    dealt = vectors.where(anchor).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("long"))
+    blocks = durable(dealt.groupBy("block").applyInArrow(lambda key, rows: pa.Table.from_pylist([{"block": key[0].as_py()} | _panel(rows)], schema=_schema("block")), f"block long, {_SIDE}"), "blocks")
+    found = _grid(blocks, strips, keys, n_rows, sizes, False)
+    armed = durable(found.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_armed, f"block long, {_SIDE}, {_FOUND}"), "armed-blocks")
+    best = _grid(armed, strips, keys, n_rows, sizes, True)
+    return best.groupBy("block").cogroup(armed.groupBy("block")).applyInArrow(_rows, "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
 
 
 def op12_hard_negatives(spark, sf_dir: str) -> DataFrame:
