@@ -8,7 +8,7 @@ anchor, or of each anchor and positive, are kept. So no score is shuffled but th
 
 Two products: positives first, within rows of one label; then negatives, over all rows, whose window of scores follows from
 the positives. Blocks are by hash of the id and panels by place, so that no label, however frequent, makes one larger. Of N rows,
-N^2 / 50 scores are made, a stated query set against all rows; what is written and shuffled is in proportion to N and to the number of strips.
+N^2 / 50 scores are made, a stated query set against all rows; what is written and shuffled is in proportion to N, but for the anchors, which are sent once to each strip.
 """
 
 from __future__ import annotations
@@ -82,14 +82,17 @@ def _longs(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.int64) for x in column]
 
 
-def _side(panels: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Panels -> (ids, labels, components), in the order of the panels."""
-    ids, widths, sizes = _longs(panels["ids"]), panels["width"].to_pylist(), panels["bytes"].to_pylist()
-    out, at = np.zeros((sum(map(len, ids)), max(widths)), f"<i{max(sizes)}"), 0
-    for own, width, size, least, panel in zip(ids, widths, sizes, panels["least"].to_pylist(), panels["panel"]):
-        out[at : at + len(own), :width] = _components(panel, size, least).reshape(len(own), width)
+def _side(panels: pa.Table, by_id: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Panels -> (ids, labels, components), in the order of the ids or of the panels."""
+    parts, widths, sizes = _longs(panels["ids"]), panels["width"].to_pylist(), panels["bytes"].to_pylist()
+    ids, labels = np.concatenate(parts), np.concatenate(_longs(panels["labels"]))
+    order = np.argsort(ids) if by_id else np.arange(len(ids))
+    place = np.argsort(order)
+    out, at = np.zeros((len(ids), max(widths)), f"<i{max(sizes)}"), 0
+    for own, width, size, least, panel in zip(parts, widths, sizes, panels["least"].to_pylist(), panels["panel"]):
+        out[place[at : at + len(own)], :width] = _components(panel, size, least).reshape(len(own), width)
         at += len(own)
-    return np.concatenate(ids), np.concatenate(_longs(panels["labels"])), out
+    return ids[order], labels[order], out
 
 
 def _kinds(a: np.ndarray, b: np.ndarray, chunk: int) -> tuple[type, type]:
@@ -177,14 +180,11 @@ def _cell(left: pa.Table, right: pa.Table, sizes: tuple[int, int, int], negative
     """A cell of the grid -> for each block of anchors the best rows of the strip: slots, their ids and scores. A slot is an anchor, or an anchor and a positive."""
     out = {"block": [], "slots": [], "found_ids": [], "scores": []}
     if left.num_rows and right.num_rows:
-        a_ids, a_labels, a = _side(left)
-        b_ids, b_labels, b = _side(right)
-        order = np.argsort(b_ids)  # of equal scores the first is that of the smallest id
-        b_ids, b_labels, b = b_ids[order], b_labels[order], b[order]
-        scores, at = (_negatives if negatives else _positives)(left, (a_ids, a_labels, a), (b_ids, b_labels, b), sizes)
+        anchors, rows = _side(left, False), _side(right, True)  # of equal scores the first is then that of the smallest id
+        scores, at = (_negatives if negatives else _positives)(left, anchors, rows, sizes)
         lengths = [len(x) for x in _longs(left["ids"])]
         for block, end, n in zip(left["block"].to_pylist(), np.cumsum(lengths), lengths):
-            own, ids = scores[end - n : end].reshape(n * scores.shape[1], -1), b_ids[at[end - n : end]].reshape(n * scores.shape[1], -1)
+            own, ids = scores[end - n : end].reshape(n * scores.shape[1], -1), rows[0][at[end - n : end]].reshape(n * scores.shape[1], -1)
             slot, place = np.nonzero(own > _NONE)
             for name, x in zip(out, (block, slot.tobytes(), ids[slot, place].tobytes(), own[slot, place].tobytes())):
                 out[name].append(x)
@@ -294,7 +294,7 @@ def hard_negatives(embeddings: DataFrame, every: int = 50) -> DataFrame:
     blocks = durable(dealt.groupBy("block").applyInArrow(lambda key, rows: pa.Table.from_pylist([{"block": key[0].as_py()} | _panel(rows)], schema=_schema("block")), f"block long, {_SIDE}"), "blocks")
     found = _grid(blocks, strips, keys, n_rows, sizes, False)
     armed = durable(found.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_armed, f"block long, {_SIDE}, {_FOUND}"), "armed-blocks")
-    best = _grid(armed, strips, keys, n_rows, sizes, True)
+    best = _grid(armed.drop("found_ids"), strips, keys, n_rows, sizes, True)
     return best.groupBy("block").cogroup(armed.groupBy("block")).applyInArrow(_rows, "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
 
 
